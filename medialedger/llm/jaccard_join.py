@@ -9,7 +9,8 @@ Exact for every pair (up to 64-bit hashes of shingles and sets); no candidate is
 3. Each node takes its prefix, rarest tokens first: single tokens as long as they are rare, combinations of two tokens
    of one group after that. The prefix is long enough that a similar set must share one of these signatures.
 4. Signatures join nodes. All nodes of a signature are first verified against the one with the fewest own tokens; only
-   nodes that are still in different components are then verified with each other. Components take the links.
+   nodes that are still in different components, and whose sizes and own tokens leave room for enough shared ones, are
+   then verified with each other. Components take the links.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from medialedger.llm.wordscan import Words, mix, scan_words, slices, spans_hash
 _U = np.uint64
 _ROWS = "doc_id bigint, node bigint, n_shingles bigint, open boolean"
 _SETS = "node bigint, tokens binary"
-_SIGNATURES = "sig bigint, node bigint, own int, n int"
+_SIGNATURES = "sig bigint, node bigint, own int, n int, short boolean"
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +195,12 @@ class JaccardJoin:
         return found.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
 
     def signatures(self, sets: DataFrame) -> DataFrame:
-        """Step 3: (sig, node, own, n) for each signature of each node's prefix."""
-        slack, rare, ratio = self.slack, self.rare, (self.num, 100)
+        """Step 3: (sig, node, own, n, short) for each signature of each node's prefix.
+
+        In a pair, the set with fewer tokens can miss at most n * (100 - num) / (100 + num) of them; ``short`` marks the
+        signatures of the prefix that is long enough for that part. A pair meets in a short one of its smaller set.
+        """
+        num, slack, rare, ratio = self.num, self.slack, self.rare, (self.num, 100)
 
         def part_tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             blobs = part.column("tokens").to_pylist()
@@ -220,17 +225,19 @@ class JaccardJoin:
             total[places[: len(counts)]] = counts
             total = total[inverse]
             ends = np.cumsum(sizes)
-            sigs, nodes, owns, ns = [], [], [], []
+            sigs, nodes, owns, ns, shorts = [], [], [], [], []
             for node, end, n in zip(payload.column("node").to_pylist(), ends, sizes, strict=True):
-                sig, own = prefix_signatures(tokens[end - n : end], total[end - n : end], int(slack(int(n))), rare, ratio)
+                mine = tokens[end - n : end], total[end - n : end]
+                sig, own = prefix_signatures(*mine, int(slack(int(n))), rare, ratio)
                 sigs.append(np.unique(sig))
                 size = len(sigs[-1])
+                shorts.append(np.isin(sigs[-1], prefix_signatures(*mine, int(n) * (100 - num) // (100 + num), rare, ratio)[0]))
                 nodes.append(np.full(size, node))
                 owns.append(np.full(size, own))
                 ns.append(np.full(size, n))
             cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
             sig = pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64))
-            return pa.table([sig, cat(nodes, np.int64), cat(owns, np.int32), cat(ns, np.int32)], names=["sig", "node", "own", "n"])
+            return pa.table([sig, cat(nodes, np.int64), cat(owns, np.int32), cat(ns, np.int32), cat(shorts, bool)], names=["sig", "node", "own", "n", "short"])
 
         return recurring(sets, chunks, finish, _SIGNATURES, with_counts=True)
 
@@ -271,11 +278,14 @@ class JaccardJoin:
         labelled = sigs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
         apart = materialize(labelled.join(split, "sig", "left_semi"), "jaccard-apart")
-        p = apart.select("sig", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"))
-        q = apart.select("sig", F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("q_n"))
-        fits = F.least("p_n", "q_n") * 100 >= F.greatest("p_n", "q_n") * self.num
-        rest = p.join(q, "sig").where((F.col("p_root") < F.col("q_root")) & fits).select(*ends("p", "q")).distinct()
-        more = materialize(self.verify(rest.join(star, ["a", "b"], "left_anti"), sets), "jaccard-links")
+        sides = {x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "n", "own")] for x in "pq"}
+        p, q = apart.where("short").select("sig", *sides["p"]), apart.select("sig", *sides["q"])
+        ordered = (F.col("p_n") < F.col("q_n")) | ((F.col("p_n") == F.col("q_n")) & (F.col("p_node") != F.col("q_node")))
+        # Tokens that no other set has are never shared.
+        common = F.least(F.col("p_n") - F.col("p_own"), F.col("q_n") - F.col("q_own"))
+        fits = common * 100 >= (F.col("p_n") + F.col("q_n") - common) * self.num
+        rest = p.join(q, "sig").where((F.col("p_root") != F.col("q_root")) & ordered & fits).select(*ends("p_node", "q_node"))
+        more = materialize(self.verify(rest.distinct().join(star, ["a", "b"], "left_anti"), sets), "jaccard-links")
         return found.unionByName(more)
 
     def roots(self, links: DataFrame) -> DataFrame:
