@@ -138,6 +138,17 @@ def windows(words: Words, k: int, kind: str = "gram") -> tuple[np.ndarray, np.nd
     return at, spans_hash(words.hash, at, at + k, kind)
 
 
+def distinct_rows(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks over (row, hash) pairs in order: is it the first of its kind, and does its kind occur twice or more?"""
+    first, again = np.ones(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
+    order = np.lexsort((hashes, rows))
+    same = (hashes[order[1:]] == hashes[order[:-1]]) & (rows[order[1:]] == rows[order[:-1]])
+    first[order[1:][same]] = False
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    return first, again
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about ``max_bytes`` of text; one longer row comes by itself."""
     for batch in batches:
