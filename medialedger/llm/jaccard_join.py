@@ -30,7 +30,7 @@ from medialedger.llm.wordscan import Words, mix, scan_words, slices, spans_hash
 _U = np.uint64
 _ROWS = "doc_id bigint, node bigint, n_shingles bigint, open boolean"
 _SETS = "node bigint, tokens binary"
-_SIGNATURES = "sig bigint, node bigint, own int, n int, short boolean"
+_SIGNATURES = "sig bigint, node bigint, own int, alone int, n int, short boolean"
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +78,8 @@ def _combined(tokens: np.ndarray, groups: np.ndarray, salt: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, slack: int, rare: int, ratio: tuple[int, int]) -> tuple[np.ndarray, int]:
-    """Signatures of one set, and how many of its tokens no other set has.
+def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, slack: int, rare: int, ratio: tuple[int, int]) -> tuple[np.ndarray, int, int]:
+    """Signatures of one set, how many of them are single tokens (they come first), and how many tokens no other set has.
 
     ``counts`` are corpus counts. Up to ``slack`` tokens may be missing in a partner. Rare tokens stand for themselves;
     of the frequent ones, groups of m tokens account for m - 1 misses unless two of them are shared. Sets of different
@@ -89,7 +89,7 @@ def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, slack: int, rare:
     n, n_own = len(tokens), int(own.sum())
     need = slack + 1 - n_own
     if need <= 0 or (n + 1) * ratio[0] > n * ratio[1]:  # too small for a different partner, larger or smaller
-        return np.zeros(0, dtype=np.uint64), n_own
+        return np.zeros(0, dtype=np.uint64), 0, n_own
     tokens, counts = tokens[~own], counts[~own]
     order = np.lexsort((tokens, counts))
     tokens, counts = tokens[order], counts[order]
@@ -109,13 +109,13 @@ def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, slack: int, rare:
             extra[order[1:]] = groups[order[1:]] == groups[order[:-1]]
             length = int(np.searchsorted(np.cumsum(extra), need)) + 1
             out.append(_combined(frequent[:length], groups[:length], c + 1))
-    return np.concatenate(out), n_own
+    return np.concatenate(out), len(out[0]), n_own
 
 
 class JaccardJoin:
     """Links of documents whose shingle sets have a Jaccard similarity of ``numerator / 100`` or more."""
 
-    def __init__(self, shingle: int = 5, numerator: int = 80, rare: int = 8, member_bits_log2: int = 23):
+    def __init__(self, shingle: int = 5, numerator: int = 80, rare: int = 16, member_bits_log2: int = 23):
         self.k, self.num, self.rare, self.log2_bits = shingle, numerator, rare, member_bits_log2
 
     def slack(self, n: np.ndarray | int) -> np.ndarray | int:
@@ -195,8 +195,9 @@ class JaccardJoin:
         return found.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
 
     def signatures(self, sets: DataFrame) -> DataFrame:
-        """Step 3: (sig, node, own, n, short) for each signature of each node's prefix.
+        """Step 3: (sig, node, own, alone, n, short) for each signature of each node's prefix.
 
+        own counts the tokens that no other set has, alone those that a set met in this signature cannot share.
         In a pair, the set with fewer tokens can miss at most n * (100 - num) / (100 + num) of them; ``short`` marks the
         signatures of the prefix that is long enough for that part. A pair meets in a short one of its smaller set.
         """
@@ -225,19 +226,22 @@ class JaccardJoin:
             total[places[: len(counts)]] = counts
             total = total[inverse]
             ends = np.cumsum(sizes)
-            sigs, nodes, owns, ns, shorts = [], [], [], [], []
+            sigs, nodes, owns, alones, ns, shorts = [], [], [], [], [], []
             for node, end, n in zip(payload.column("node").to_pylist(), ends, sizes, strict=True):
                 mine = tokens[end - n : end], total[end - n : end]
-                sig, own = prefix_signatures(*mine, int(slack(int(n))), rare, ratio)
-                sigs.append(np.unique(sig))
+                sig, singles, own = prefix_signatures(*mine, int(slack(int(n))), rare, ratio)
+                singles, combined = np.unique(sig[:singles]), np.unique(sig[singles:])
+                sigs.append(np.concatenate([singles, combined]))
                 size = len(sigs[-1])
+                # With combinations, all rare tokens are signatures: a pair that meets in a combination only shares none.
+                alones.append(np.repeat([own, int((mine[1] <= rare).sum())], [len(singles), len(combined)]))
                 shorts.append(np.isin(sigs[-1], prefix_signatures(*mine, int(n) * (100 - num) // (100 + num), rare, ratio)[0]))
                 nodes.append(np.full(size, node))
                 owns.append(np.full(size, own))
                 ns.append(np.full(size, n))
             cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
             sig = pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64))
-            return pa.table([sig, cat(nodes, np.int64), cat(owns, np.int32), cat(ns, np.int32), cat(shorts, bool)], names=["sig", "node", "own", "n", "short"])
+            return pa.table([sig, cat(nodes, np.int64), cat(owns, np.int32), cat(alones, np.int32), cat(ns, np.int32), cat(shorts, bool)], names=["sig", "node", "own", "alone", "n", "short"])
 
         return recurring(sets, chunks, finish, _SIGNATURES, with_counts=True)
 
@@ -278,14 +282,14 @@ class JaccardJoin:
         labelled = sigs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
         apart = materialize(labelled.join(split, "sig", "left_semi"), "jaccard-apart")
-        sides = {x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "n", "own")] for x in "pq"}
+        sides = {x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "n", "alone")] for x in "pq"}
         p, q = apart.where("short").select("sig", *sides["p"]), apart.select("sig", *sides["q"])
         ordered = (F.col("p_n") < F.col("q_n")) | ((F.col("p_n") == F.col("q_n")) & (F.col("p_node") != F.col("q_node")))
-        # Tokens that no other set has are never shared.
-        common = F.least(F.col("p_n") - F.col("p_own"), F.col("q_n") - F.col("q_own"))
+        common = F.least(F.col("p_n") - F.col("p_alone"), F.col("q_n") - F.col("q_alone"))
         fits = common * 100 >= (F.col("p_n") + F.col("q_n") - common) * self.num
         rest = p.join(q, "sig").where((F.col("p_root") != F.col("q_root")) & ordered & fits).select(*ends("p_node", "q_node"))
-        more = materialize(self.verify(rest.distinct().join(star, ["a", "b"], "left_anti"), sets), "jaccard-links")
+        rest = materialize(rest.distinct().join(star, ["a", "b"], "left_anti"), "jaccard-rest")
+        more = materialize(self.verify(rest, sets), "jaccard-links")
         return found.unionByName(more)
 
     def roots(self, links: DataFrame) -> DataFrame:
