@@ -9,8 +9,9 @@ what the rounding of the program left over) go where they fit best.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 from medialedger.llm.store import materialize
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_SPACES = str.maketrans("\t\n\r", "   ")
+#: Byte-level models spell bytes as characters: printable ones as themselves, the others in order from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: A Latin-1 word and what may follow it; its two parts are tokens of their own to the word tokenizer.
-_PLAIN = re.compile(r'([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()"]+)')
+_PLAIN = re.compile(r'([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()"]*)')
 
 
 class WordIds(dict):
@@ -32,28 +35,42 @@ class WordIds(dict):
     Words are kept up to a fixed number, then the table starts anew; long words are never kept.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
         self.tokenizer, self.limit, self.parts = Tokenizer.from_file(path), limit, {}
+        self.model = self.tokenizer.model
+        sample = ["a", "the", "straße", "éàçñöü", "quantification"]
+        self.letters = self._model_ids if all(self._model_ids(w) == self.encode(w) for w in sample) else self.encode
 
     def encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def part(self, text: str) -> bytes:
+    def _model_ids(self, word: str) -> bytes:
+        """The ids of one lower-case Latin-1 word: the model alone, without the steps before it that change nothing."""
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SPELL))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def part(self, text: str, encode: Callable[[str], bytes]) -> bytes:
         ids = self.parts.get(text)
         if ids is None:
-            if len(self.parts) >= self.limit:
+            if len(self.parts) >= 2 * self.limit:
                 self.parts.clear()
-            ids = self.parts[text] = self.encode(text)
+            ids = self.parts[text] = encode(text)
         return ids
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > 64:
             return self.encode(word)
         plain = _PLAIN.fullmatch(word)
-        ids = self.part(plain[1].lower()) + self.part(plain[2]) if plain else self.part(word.lower()) if word.isascii() and word.isalpha() else self.encode(word)
+        if plain is None:
+            ids = self.encode(word)
+        else:
+            ids = self.part(plain[1].lower(), self.letters)
+            if plain[2]:
+                ids += self.part(plain[2], self.encode)
         if len(self) >= self.limit:
             self.clear()
             self[""] = b""
@@ -62,7 +79,8 @@ class WordIds(dict):
 
     def text(self, text: str) -> bytes:
         """The ids of a whole text: those of its words, since no token reaches over ASCII white space."""
-        return b"".join(map(self.__getitem__, text.translate(_SPACES).split(" ")))
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
 
 _tables: dict[str, WordIds] = {}
