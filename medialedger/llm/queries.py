@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialedger.llm import decontamination, packing, quality_rules, substring_dedup
+from medialedger.llm import chat, decontamination, packing, pseudonyms, quality_rules, sharding, substring_dedup
 from medialedger.llm.jaccard_join import JaccardJoin
+from medialedger.llm.store import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the registered queries; a deployment passes its own.
+PSEUDONYM_KEY = "medialedger"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+def op2_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sharding.shuffled_shards(docs, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", shards=8)
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id", (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +49,26 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ok = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", ok), (-7, 1, "assistant", ok)], rows.schema)
+    examples = chat.expand(rows.unionByName(probe))
+    loss = F.struct("example", chat.read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_length")).alias("text"))
+    read = examples.groupBy("conv_id").agg(
+        F.max_by("formatted", "example").alias("whole"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(loss)), lambda x: x["text"]), "").alias("loss"),
+        F.sum(F.length("formatted")).alias("formatted_chars"),
+    )
+    read = read.withColumn("turns", chat.read_turns(F.col("whole")))
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), sha(F.array_join(F.transform("turns", line), "")).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), sha(F.col("loss")).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(shingle=5, numerator=80).components(table(spark, sf_dir, "documents"))
 
@@ -39,9 +79,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
+    "op2_two_pass_shuffle": op2_two_pass_shuffle,
     "op3_quality_rules": op3_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
