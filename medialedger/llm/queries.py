@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialedger.llm import chat, decontamination, packing, pseudonyms, quality_rules, sharding, substring_dedup
+from medialedger.llm import chat, decontamination, fm_classifier, html_mincut, packing, pseudonyms, quality_rules, sharding, substring_dedup
 from medialedger.llm.jaccard_join import JaccardJoin
 from medialedger.llm.store import shared_dir
 
@@ -40,6 +40,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_fm_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fm_classifier.score(docs, fm_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer, end_id=1, capacity=4096)
@@ -82,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_two_pass_shuffle": op2_two_pass_shuffle,
     "op3_quality_rules": op3_quality_rules,
+    "op4_html_mincut": op4_html_mincut,
+    "op5_fm_classifier": op5_fm_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
