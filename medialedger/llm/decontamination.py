@@ -151,7 +151,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 15, block_byte
 
         def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = sent.value
-            for part in slices(batches, "text"):
+            for part in slices(batches, "text", 1 << 20):
                 found = list(find_items(scan_words(part.column("text"), fold=True), block))
                 ids = part.column("doc_id").to_pylist()
                 columns = [
@@ -172,7 +172,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 15, block_bytes:
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def drop(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, "text"):
+            for part in slices(batches, "text", 1 << 20):
                 keep = np.ones(len(part), dtype=bool)
                 keep[[f[0] for f in find_items(scan_words(part.column("text"), fold=True), sent.value)]] = False
                 yield part.filter(pa.array(keep))

@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **options) -
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(iter([batch]), "text"):
+            for part in slices(iter([batch]), "text", 1 << 20):
                 for at in range(0, len(part), _ROWS):
                     piece = part.slice(at, _ROWS)
                     x = features(piece.column("text"))
@@ -131,7 +131,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
     """
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             for at in range(0, len(part), _ROWS):
                 piece = part.slice(at, _ROWS)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(machine.scores(features(piece.column("text"))))], names=["doc_id", "score"])

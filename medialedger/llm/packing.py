@@ -35,7 +35,7 @@ class WordIds(dict):
     Words are kept up to a fixed number, then the table starts anew; long words are never kept.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})

@@ -27,7 +27,7 @@ _MARK = np.zeros(256, dtype=bool)
 _MARK[np.frombuffer(b"!?@^_~=+/\\{}[]", dtype=np.uint8)] = True
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
-_LARGE = 8 << 20
+_LARGE = 4 << 20
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the counts, base_failed and level of every row of ``docs`` (doc_id, text, lang)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             c = count_features(part.column("text"))
             columns = [part.column("doc_id"), part.column("lang"), *(pa.array(c[x]) for x in COUNTS)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(base_failed(c)), pa.array(levels(c))], names=["doc_id", "lang", *COUNTS, "base_failed", "level"])
@@ -190,7 +190,7 @@ def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float =
     cutoffs = fit(materialize(features(docs), "quality-features"), labels, risk, error)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             c = count_features(part.column("text"))
             yield part.filter(pa.array(~base_failed(c) & (levels(c) > cutoffs.of(part.column("lang").to_pylist()))))
 
