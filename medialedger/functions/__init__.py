@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def clean(c: Column) -> Column:
@@ -20,7 +21,7 @@ def fold(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_key(titles: pd.Series) -> pd.Series:
     """Key of a title: compatibility form without combining marks, single spaces, case folded; Spark has no such form."""
 
@@ -33,7 +34,7 @@ def title_key(titles: pd.Series) -> pd.Series:
     return titles.map(key)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else html.unescape(v))
 
