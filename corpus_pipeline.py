@@ -41,8 +41,11 @@ def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    """The pieces of all documents with their places in sequences of 4096 tokens.
+
+    Workers are shared with the stages before, so fewer words are kept than when packing runs by itself.
+    """
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, words_kept=150_000)
 
 
 STAGES = [
