@@ -38,6 +38,15 @@ UNION ALL SELECT -1 - o_orderkey, CAST(4000000 + o_custkey AS BIGINT), CAST(1 +
        CASE event_type WHEN 'view' THEN 'media.play' WHEN 'click' THEN 'media.resume' WHEN 'error' THEN 'media.pause'
             WHEN 'signup' THEN 'media.stop' WHEN 'purchase' THEN 'media.scrobble' END AS event_type,
        CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS progress_percent FROM events""",
+    "libraries": """SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(1 + n_nationkey % 2 AS INT) AS source_id, concat('l', CAST(n_nationkey AS STRING)) AS external_id, n_name AS name,
+       CASE n_regionkey % 3 WHEN 0 THEN 'movie' WHEN 1 THEN 'show' ELSE 'music' END AS media_type, n_nationkey % 4 <> 0 AS enabled, n_nationkey % 5 <> 0 AS available FROM nation""",
+    "runs": """SELECT o_orderkey AS id, o_orderpriority AS job_id, CAST(1 + o_custkey % 2 AS INT) AS source_id,
+       CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderdate AS created_at FROM orders""",
+    "staged": """SELECT CAST(1 + p_partkey % 2 AS INT) AS source_id, concat('s', CAST(p_partkey AS STRING)) AS external_id, 'movie' AS kind, p_name AS title, CAST(1975 + p_size AS INT) AS year,
+       CAST(1000000 + p_partkey AS BIGINT) AS item_id, CAST(NULL AS INT) AS season_number, CAST(NULL AS STRING) AS show_external_id, CAST(NULL AS STRING) AS show_title, p_type AS genre,
+       concat(p_name, '/', p_brand, '/', p_type) AS identifier FROM part
+UNION ALL SELECT CAST(1 + c_custkey % 2 AS INT), concat('c', CAST(c_custkey AS STRING)), 'episode', c_name, NULL, CAST(4000000 + c_custkey AS BIGINT), CAST(c_custkey % 9 AS INT),
+       concat('t', CAST(c_nationkey AS STRING)), c_mktsegment, c_mktsegment, concat('c', CAST(c_custkey AS STRING)) FROM customer""",
 }
 
 
@@ -66,3 +75,6 @@ class Tables:
     events = cached_property(lambda self: self._view("watch_events"))
     states = cached_property(lambda self: self._view("watch_states"))
     playback = cached_property(lambda self: self._view("playback_stream"))
+    libraries = cached_property(lambda self: self._view("libraries"))
+    runs = cached_property(lambda self: self._view("runs"))
+    staged = cached_property(lambda self: self._view("staged"))
