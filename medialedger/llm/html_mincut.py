@@ -43,6 +43,15 @@ _BAD_NAME = re.compile(
     re.IGNORECASE,
 )
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|content|main|story|body|text|prose)(?=$|[\s_-])", re.IGNORECASE)
+#: Names of a box of its own kind, unlike those that only tell of a layout (has-sidebar, no-comments, nav-open).
+_BOX_NAME = re.compile(
+    r"(?:^|\s)(?:(?:comments?|commentlist|disqus|respond|replies|discussion|related|recommend\w*|ads?|advert\w*|adsense|sponsor\w*)(?![\w-]*[_-](?:open|opened|closed|enabled|disabled|on|off|none)(?:$|\s))(?:[_-][\w-]*)?"
+    r"|outbrain|taboola|nav|navbar|navigation|menu|(?:site|page|main)?[_-]?footer|sidebar)(?=$|\s)",
+    re.IGNORECASE,
+)
+#: The same for an element that is an article itself: a whole word of the class must be a bad name.
+_BAD_WORD = re.compile(_BAD_NAME.pattern.replace(r"(?:^|[\s_-])", r"(?:^|\s)", 1).replace(r"(?=$|[\s_-])", r"(?=$|\s)"), re.IGNORECASE)
+_ARTICLE_PROPS = frozenset(("articlebody", "maincontentofpage"))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -52,6 +61,9 @@ class Node:
     parent: Node | None
     bias: float
     in_article: bool
+    good: float = 0.0
+    hard: bool = False
+    nested: bool = False
 
 
 @dataclass
@@ -63,26 +75,38 @@ class Block:
     text: str = ""
 
 
-def _bias(name: str, attributes: str, above: Node | None) -> tuple[float, bool]:
-    """(what this element and those around it say about a block, whether an article is around it)."""
-    bias, inside = (above.bias, above.in_article) if above else (0.0, False)
+def _bias(name: str, attributes: str, above: Node | None) -> tuple[float, bool, float, bool, bool]:
+    """What this element and those around it say about a block: (bias, an article or main is around it, the best that is
+    said, whether the worst stands for any article inside, an article is around it)."""
+    bias, inside, best, hard, nested = (above.bias, above.in_article, above.good, above.hard, above.nested) if above else (0.0, False, 0.0, False, False)
     own = _ELEMENT.get(name, 0.0)
     if name == "header" and inside:
         own = 0.0  # the head of an article carries its title
-    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    firm = own <= -7.0 and name != "form"  # some servers put a whole page into one form
+    article, main = name == "article", name == "main"
+    found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)] if attributes else ()
+    for key, value in found:
+        article |= key == "role" and value.lower() == "article" or key == "itemprop" and not _ARTICLE_PROPS.isdisjoint(value.lower().split())
+        main |= key == "role" and value.lower() == "main"
+    for key, value in found:
         if key == "role":
-            own = min(own, _ROLE[value.lower()]) if _ROLE.get(value.lower(), 0.0) < 0 else own + _ROLE.get(value.lower(), 0.0)
+            role = _ROLE.get(value.lower(), 0.0)
+            own, firm = (min(own, role), True) if role < 0 else (own + role, firm)
         elif key in ("class", "id") and name not in ("body", "html"):
-            if _BAD_NAME.search(value):
-                own = min(own, -8.0) if not (inside and name in ("header", "h1", "h2", "h3")) else own
+            box = _BOX_NAME.search(value) is not None
+            if box or (_BAD_WORD if article or main else _BAD_NAME).search(value):
+                if not (inside and name in ("header", "h1", "h2", "h3")):
+                    own, firm = min(own, -8.0), firm or box
             elif _GOOD_NAME.search(value):
                 own = max(own, 3.0) if own >= 0 else own
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            own = -9.0
+            own, firm = -9.0, True
+    if (article or main) and own > -7.0 and bias <= -7.0 and not hard and not nested:
+        bias = best  # the wrapper was only named badly; an article within an article is no such sign
+    best = max(best, own, 0.0)
     good, bad = max(bias, own, 0.0), min(bias, own, 0.0)
-    # A negative element stays negative whatever stands inside it, unless an article lies in it that says otherwise.
-    return (bad if bad <= -7.0 else good + bad), inside or name in ("article", "main")
+    # A negative element stays negative whatever stands inside it, unless it is only a name and an article lies in it.
+    return (bad if bad <= -7.0 else good + bad), inside or name in ("article", "main"), best, hard or firm, nested or article
 
 
 def blocks(page: str) -> list[Block]:

@@ -35,6 +35,24 @@ def test_main_text_of_a_page():
     assert h.main_text(deep) == "deep words are here"
 
 
+def test_article_in_a_flagged_wrapper():
+    whole = "\n\n".join(WANT)
+    for names in ('class="page has-sidebar"', 'class="no-comments"', 'id="nav-open"', 'class="layout-side"', 'class="wrap" id="overlay"', "class=comments-open"):
+        inner = PAGE.replace("<main>", f"<div {names}><main>").replace("</main>", "</main></div>")
+        assert h.main_text(inner) == whole
+        assert h.main_text(PAGE.replace("<main>", f"<main><div {names}>").replace("</main>", "</div></main>")) == whole
+        assert h.main_text(PAGE.replace("<main>", f"<main {names}>")) == whole
+        assert h.main_text(inner.replace("<main>", "<div role=main>").replace("</main>", "</div>")) == whole
+    assert h.main_text(PAGE.replace("<main>", "<form action=x><main>").replace("</main>", "</main></form>")) == whole
+    text = "These are the words of a story that is told at some length, so that it counts as content."
+    assert h.main_text(f'<div class="has-sidebar"><div itemprop="articleBody"><p>{text}</p></div></div>') == text
+    for box in ("nav", "footer", "aside", 'div class="comments"', 'ol class="comment-list"', 'div class="x related-posts"', "div hidden", "div role=complementary"):
+        assert h.main_text(f"<{box}><article><p>{text}</p></article></{box.split()[0]}>") == ""
+        assert h.main_text(f'<div class="has-sidebar"><{box}><article><p>{text}</p></article></{box.split()[0]}></div>') == ""
+    teaser = f'<div class="promo-box"><article><p>{text}</p></article></div>'
+    assert h.main_text(PAGE.replace("<main>", '<div class="has-sidebar"><main>').replace("<blockquote>", teaser + "<blockquote>")) == whole
+
+
 def test_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(200):
