@@ -11,6 +11,8 @@ from medialedger.identity.components import connected_components
 
 STABLE_PROVIDERS = ("tmdb", "tvdb", "imdb", "musicbrainz")
 KINDS = ("movie", "show", "artist", "album", "track")
+WATCHED_PROVIDERS = ("tmdb", "tvdb", "imdb")
+WATCHED_KINDS = ("movie", "episode", "track")
 
 
 def _keyed(items: DataFrame, identifiers: DataFrame, kinds: tuple[str, ...], providers: tuple[str, ...]) -> DataFrame:
@@ -71,22 +73,34 @@ def remap_states(states: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def propagation(items: DataFrame, members: DataFrame, refs: DataFrame, events: DataFrame, states: DataFrame, a: int = 1, b: int = 2) -> DataFrame:
+def propagation(items: DataFrame, identifiers: DataFrame, refs: DataFrame, events: DataFrame, states: DataFrame, sources: DataFrame, users: dict[int, str],
+                cut: Callable[[DataFrame], DataFrame], a: int = 1, b: int = 2, start: int | None = None) -> DataFrame:
     """Plays that one of two sources lacks: (group_id, source_id, media_item_id, external_id, watched_at) of the target.
 
-    Items without a group are their own. A group counts if each source has exactly one item with an available reference in
-    it; a side is complete with a completed state or event, at its latest time; only one-sided groups are returned.
+    Movies, episodes and tracks with an available reference to either source are grouped by shared identifiers; items without
+    a group are their own. A group counts if each source has exactly one item in it; a side is complete with a completed state
+    (last watched, else observed) or a completed event of the source's user in ``users``, at its latest time; only one-sided
+    groups are returned, with ``start`` only those complete on that source. Both sources must be enabled and have a user.
     """
-    own = items.where("kind IN ('movie', 'episode', 'track')").select(F.col("id").alias("media_item_id"))
-    grouped = own.join(members, "media_item_id", "left").select("media_item_id", F.coalesce("group_id", "media_item_id").alias("group_id"))
-    held = refs.where("available").groupBy("media_item_id", "source_id").agg(F.min("external_id").alias("external_id")).join(grouped, "media_item_id")
+    if start not in (None, a, b):
+        raise ValueError("start must be one of the two sources")
+    users = {s: (users.get(s) or "").strip() for s in (a, b)}
+    enabled = sources.where(F.col("enabled") & F.col("id").isin(a, b)).agg(F.countDistinct("id").alias("_n")).where(F.col("_n") == (2 if all(users.values()) else None))
+    held = refs.where(F.col("available") & F.col("source_id").isin(a, b)).groupBy("media_item_id", "source_id").agg(F.min("external_id").alias("external_id"))
+    usable = items.where(F.col("kind").isin(*WATCHED_KINDS)).join(held.select(F.col("media_item_id").alias("id")), "id", "left_semi")
+    members = groups(usable, identifiers, cut, WATCHED_KINDS, WATCHED_PROVIDERS)
+    own = usable.select(F.col("id").alias("media_item_id")).join(members, "media_item_id", "left")
+    grouped = cut(own.select("media_item_id", F.coalesce("group_id", "media_item_id").alias("group_id")))
+    held = held.join(grouped, "media_item_id")
     one = held.groupBy("group_id", "source_id").agg(F.count("*").alias("n"), F.first("media_item_id").alias("media_item_id"), F.first("external_id").alias("external_id")).where("n = 1")
-    done = events.where("completed").select("media_item_id", "source_id", F.col("watched_at").alias("t")).unionByName(
-        states.where("completed").select("media_item_id", "source_id", F.col("last_watched_at").alias("t"))
+    user = ((F.col("source_id") == a) & (F.col("playback_user") == users[a])) | ((F.col("source_id") == b) & (F.col("playback_user") == users[b]))
+    done = events.where(F.col("completed") & user).select("media_item_id", "source_id", F.col("watched_at").alias("t")).unionByName(
+        states.where("completed").select("media_item_id", "source_id", F.coalesce("last_watched_at", "observed_at").alias("t"))
     )
     at = done.join(grouped, "media_item_id").groupBy("group_id", "source_id").agg(F.max("t").alias("t"))
     sides = one.join(at, ["group_id", "source_id"], "left")
-    side = lambda s, p: sides.where(F.col("source_id") == s).select("group_id", *[F.col(c).alias(f"{p}_{c}") for c in ("source_id", "media_item_id", "external_id", "t")])
-    pairs = side(a, "a").join(side(b, "b"), "group_id").where(F.col("a_t").isNull() != F.col("b_t").isNull())
-    target = lambda c: F.when(F.col("a_t").isNull(), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c)
-    return pairs.select("group_id", target("source_id"), target("media_item_id"), target("external_id"), F.coalesce("a_t", "b_t").alias("watched_at"))
+    side = lambda s: F.max(F.when(F.col("source_id") == s, F.struct("source_id", "media_item_id", "external_id", "t")))
+    pairs = sides.groupBy("group_id").agg(side(a).alias("a"), side(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND (a.t IS NULL) <> (b.t IS NULL)").crossJoin(F.broadcast(enabled))
+    target = lambda c: F.when(F.col("a.t").isNull(), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
+    found = pairs.select("group_id", target("source_id"), target("media_item_id"), target("external_id"), F.coalesce("a.t", "b.t").alias("watched_at"))
+    return found if start is None else found.where(F.col("source_id") != start)

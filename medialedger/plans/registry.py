@@ -352,7 +352,30 @@ SELECT a.group_id, CASE WHEN a.t IS NULL THEN a.source_id ELSE b.source_id END A
 CASE WHEN a.t IS NULL THEN a.external_id ELSE b.external_id END AS external_id, coalesce(a.t, b.t) AS watched_at
 FROM side a JOIN side b ON a.group_id = b.group_id AND a.source_id = 1 AND b.source_id = 2 WHERE (a.t IS NULL) <> (b.t IS NULL)""")
 def _(t: Tables) -> DataFrame:
-    return merge.propagation(t.items, found_groups(t), t.refs, t.events, t.states)
+    return merge.propagation(t.items, t.identifiers, t.refs, t.events.withColumn("playback_user", F.lit("u")), t.states, t.sources, {1: "u", 2: "u"}, written)
+
+
+# The test tables have no identifiers of episodes, users or null times, so these are derived. The pairs of episodes are (2k, 2k + 1).
+@register("m29_propagation_by_user", """, ids AS (SELECT media_item_id, provider, external_id FROM media_identifiers
+  UNION ALL SELECT id, CASE WHEN id % 4 < 2 THEN 'tvdb' ELSE 'musicbrainz' END, concat('e', CAST(id // 2 AS VARCHAR)) FROM media_items WHERE kind = 'episode'),
+ref AS (SELECT media_item_id, source_id, min(external_id) AS external_id FROM source_media_refs WHERE available GROUP BY ALL),
+k AS (SELECT DISTINCT i.kind, d.provider, d.external_id, i.id FROM ids d JOIN media_items i ON i.id = d.media_item_id WHERE d.provider IN ('tmdb', 'tvdb', 'imdb') AND i.kind IN ('movie', 'episode', 'track') AND i.id IN (SELECT media_item_id FROM ref)),
+edge AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b USING (kind, provider, external_id) WHERE a.id <> b.id),
+reach AS (SELECT a AS id, a AS other FROM edge UNION SELECT r.id, e.b FROM reach r JOIN edge e ON e.a = r.other),
+grp AS (SELECT id, min(other) AS group_id FROM reach GROUP BY id),
+own AS (SELECT i.id AS media_item_id, coalesce(g.group_id, i.id) AS group_id FROM media_items i LEFT JOIN grp g USING (id) WHERE i.kind IN ('movie', 'episode', 'track') AND i.id IN (SELECT media_item_id FROM ref)),
+one AS (SELECT group_id, source_id, min(media_item_id) AS media_item_id, min(external_id) AS external_id FROM ref JOIN own USING (media_item_id) GROUP BY group_id, source_id HAVING count(*) = 1),
+st AS (SELECT media_item_id, source_id, CASE WHEN media_item_id % 3 <> 0 THEN last_watched_at END AS last_watched_at, observed_at FROM watch_states WHERE completed AND media_item_id % 11 = 0),
+done AS (SELECT o.group_id, d.source_id, max(d.t) AS t FROM (SELECT media_item_id, source_id, watched_at AS t FROM watch_events WHERE completed AND abs(id) % 5 = source_id
+  UNION ALL SELECT media_item_id, source_id, coalesce(last_watched_at, observed_at) FROM st) d JOIN own o USING (media_item_id) GROUP BY o.group_id, d.source_id),
+side AS (SELECT one.*, done.t FROM one LEFT JOIN done USING (group_id, source_id))
+SELECT a.group_id, b.source_id, b.media_item_id, b.external_id, a.t AS watched_at FROM side a JOIN side b ON a.group_id = b.group_id AND a.source_id = 1 AND b.source_id = 2 WHERE a.t IS NOT NULL AND b.t IS NULL""")
+def _(t: Tables) -> DataFrame:
+    half = F.floor(F.col("id") / 2).cast("string")
+    more = t.items.where("kind = 'episode'").select(F.col("id").alias("media_item_id"), F.when(F.col("id") % 4 < 2, "tvdb").otherwise("musicbrainz").alias("provider"), F.concat(F.lit("e"), half).alias("external_id"))
+    events = t.events.withColumn("playback_user", (F.abs("id") % 5).cast("string"))
+    states = t.states.where("media_item_id % 11 = 0").withColumn("last_watched_at", F.when(F.col("media_item_id") % 3 != 0, F.col("last_watched_at")))
+    return merge.propagation(t.items, t.identifiers.unionByName(more), t.refs, events, states, t.sources, {1: "1", 2: "2"}, written, start=1)
 
 
 @register("q01_duplicate_keys", "SELECT media_item_id, source_id, CAST(watched_at AS TIMESTAMP) AS watched_at, count(*) AS n FROM watch_events GROUP BY ALL HAVING count(*) > 1")

@@ -43,6 +43,27 @@ def test_merge_plan(spark):
     assert [tuple(r) for r in merge.merge_plan(members, refs, sources).collect()] == [(1, 2)]
 
 
+def test_propagation(spark):
+    items = spark.createDataFrame([(1, "episode"), (2, "episode"), (3, "track"), (4, "track"), (5, "movie"), (6, "movie"), (7, "movie"), (8, "show")], "id bigint, kind string")
+    ids = spark.createDataFrame([(1, "tvdb", "x"), (2, "tvdb", "x"), (3, "musicbrainz", "m"), (4, "musicbrainz", "m"), (5, "tvdb", "x"), (9, "imdb", "z")], "media_item_id bigint, provider string, external_id string")
+    refs = [(1, 1, "p1"), (2, 2, "j2"), (3, 1, "p3"), (4, 2, "j4"), (5, 1, "p5"), (5, 2, "j5"), (6, 1, "p6"), (6, 2, "j6"), (7, 1, "p7"), (7, 2, "j7"), (8, 1, "p8"), (8, 2, "j8")]
+    refs = spark.createDataFrame([(*r, True) for r in refs], "media_item_id bigint, source_id int, external_id string, available boolean")
+    events = [(1, 1, T0, True, "me"), (5, 1, T0, True, "other"), (6, 2, T0, True, "you"), (7, 1, T0, True, "me"), (8, 1, T0, True, "me")]
+    events = spark.createDataFrame(events, "media_item_id bigint, source_id int, watched_at timestamp_ntz, completed boolean, playback_user string")
+    later = T0 + timedelta(days=1)
+    states = spark.createDataFrame([(7, 2, None, later, True), (3, 1, None, None, True), (6, 1, None, later, False)], "media_item_id bigint, source_id int, last_watched_at timestamp_ntz, observed_at timestamp_ntz, completed boolean")
+    servers = lambda on: spark.createDataFrame([(1, True), (2, on)], "id int, enabled boolean")
+
+    def run(users=None, on=True, start=None, states=states):
+        rows = merge.propagation(items, ids, refs, events, states, servers(on), {1: "me", 2: "you"} if users is None else users, tables.written, start=start).collect()
+        return sorted((r["media_item_id"], r["source_id"], r["external_id"], r["watched_at"]) for r in rows)
+
+    assert run() == [(2, 2, "j2", T0), (6, 1, "p6", T0)]
+    assert run(start=1) == [(2, 2, "j2", T0)] and run(start=2) == [(6, 1, "p6", T0)]
+    assert run(on=False) == run(users={1: "me"}) == run(users={1: "me", 2: " "}) == []
+    assert run(states=states.where("media_item_id <> 7").unionByName(spark.createDataFrame([(5, 2, None, later, True)], states.schema))) == [(2, 2, "j2", T0), (5, 1, "p5", later), (6, 1, "p6", T0), (7, 2, "j7", T0)]
+
+
 def test_now_playing(spark):
     at = lambda m: T0 + timedelta(minutes=m)
     rows = [
