@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from medialedger import functions as fn
+
 GAP_SECONDS = 120
+EVENT = ("media_item_id", "source_id", "source_event_id", "dedup_key", "watched_at", "completed", "progress_ms", "duration_ms", "view_number", "playback_user", "origin")
 
 
 def without_near_duplicates(events: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
-    """Completed events of which none lies within the gap (inclusive) of an earlier kept one of its item.
+    """Completed events of which none lies within the gap (inclusive) of an earlier kept one of its item.
 
     Order is (watched_at, source_id, id). A gap to the event before starts an island; islands are independent, so each is
     folded by itself over times alone, and a busy item is spread over its islands.
@@ -31,6 +34,44 @@ def without_near_duplicates(events: DataFrame, gap_seconds: int = GAP_SECONDS) -
     return out.select(F.col("k.id").alias("id"), "media_item_id", F.col("k.source_id").alias("source_id"), F.col("k.watched_at").alias("watched_at"))
 
 
+def persist_events(stored: DataFrame, batch: DataFrame, refs: DataFrame, gap_seconds: int = GAP_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """(the new version of ``stored`` with its columns EVENT, error rows of the batch with a ``message``).
+
+    ``batch`` has media_external_id in place of the item and the key, and a unique ``seq`` that gives its order. Incomplete
+    events are dropped, unknown media are errors. An event stored under the same source_event_id takes the new values (another
+    item is an error; within a batch the first row names the item and the last one gives the values). Then repeats of a
+    dedup_key are dropped, and events within the gap of a stored one of their item; what is left is folded by itself.
+    """
+    known = refs.select("source_id", F.col("external_id").alias("media_external_id"), "media_item_id")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("source_id", "source_event_id", "media_external_id", "watched_at", "completed", "progress_ms", "duration_ms", "view_number")]
+    rows = batch.where("completed").join(known, ["source_id", "media_external_id"], "left").withColumn("dedup_key", fn.key_hash(*parts, sep="\x1f"))
+    unknown = rows.where("media_item_id IS NULL").withColumn("message", F.lit("unknown media"))
+    rows = rows.where("media_item_id IS NOT NULL")
+    identity = ["source_id", "source_event_id"]
+    first = rows.where("source_event_id IS NOT NULL").groupBy(*identity).agg(F.min_by("media_item_id", "seq").alias("_first"))
+    held = stored.where("source_event_id IS NOT NULL").select(*identity, F.col("media_item_id").alias("_held"))
+    named = rows.join(first, identity).join(held, identity, "left")
+    same = F.col("media_item_id") == F.coalesce("_held", "_first")
+    changed = named.where(~same).withColumn("message", F.lit("identity changed its media"))
+    pick = F.struct("seq", *EVENT)
+    last = named.where(same).groupBy(*identity).agg(F.max_by(pick, "seq").alias("e"), F.max("_held").alias("_held")).select("e.*", "_held")
+    updates = last.where("_held IS NOT NULL").select(*EVENT)
+    now = stored.select(*EVENT).join(updates.select(*identity), identity, "left_anti").select(*EVENT).unionByName(updates)
+    new = last.where("_held IS NULL").drop("_held").unionByName(rows.where("source_event_id IS NULL").select("seq", *EVENT))
+    new = new.groupBy("source_id", "dedup_key").agg(F.min_by(pick, "seq").alias("e")).select("e.*").join(now.select("source_id", "dedup_key"), ["source_id", "dedup_key"], "left_anti")
+    # Times within the gap lie in one slice of its length or in neighbours.
+    micros, gap = F.unix_micros(F.col("watched_at").cast("timestamp")), gap_seconds * 1_000_000
+    piece = F.floor(F.col("t") / gap)
+    near = now.where("completed").select("media_item_id", micros.alias("t")).select("media_item_id", F.col("t").alias("_t"), F.explode(F.array(piece - 1, piece, piece + 1)).alias("_piece"))
+    new = new.withColumn("t", micros).withColumn("_piece", piece).alias("n")
+    near = near.alias("o")
+    close = (F.col("n.media_item_id") == F.col("o.media_item_id")) & (F.col("n._piece") == F.col("o._piece")) & (F.abs(F.col("n.t") - F.col("o._t")) <= gap)
+    far = new.join(near, close, "left_anti").select("seq", *EVENT)
+    kept = without_near_duplicates(far.withColumnRenamed("seq", "id"), gap_seconds).select(F.col("id").alias("seq"))
+    errors = [e.select("seq", "source_id", "source_event_id", "media_external_id", "message") for e in (unknown, changed)]
+    return now.unionByName(far.join(kept, "seq", "left_semi").select(*EVENT)), errors[0].unionByName(errors[1])
+
+
 def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
     """States by item and source after an observation; counts never fall, completion stays, a fall is flagged."""
     key = ["media_item_id", "source_id"]

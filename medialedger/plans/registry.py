@@ -272,6 +272,26 @@ def _(t: Tables) -> DataFrame:
     return ledger.without_near_duplicates(t.events)
 
 
+@register("m14_persisted_events", """, st AS (SELECT * FROM watch_events WHERE id % 2 = 0),
+b AS (SELECT id, media_item_id, source_id, watched_at + INTERVAL 1 HOUR AS watched_at, completed FROM watch_events WHERE id % 3 <> 0 AND completed AND media_item_id % 10 <> 0),
+cur AS (SELECT * FROM st WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT * FROM b WHERE id IN (SELECT id FROM st)),
+far AS (SELECT * FROM b WHERE id NOT IN (SELECT id FROM st) AND NOT EXISTS (SELECT 1 FROM cur c WHERE c.completed AND c.media_item_id = b.media_item_id AND c.watched_at BETWEEN b.watched_at - INTERVAL 120 SECOND AND b.watched_at + INTERVAL 120 SECOND)),
+ev AS (SELECT *, row_number() OVER (PARTITION BY media_item_id ORDER BY watched_at, source_id, id) AS r FROM far),
+fold AS (SELECT *, watched_at AS last, true AS kept FROM ev WHERE r = 1 UNION ALL
+SELECT e.*, CASE WHEN e.watched_at - f.last > INTERVAL 120 SECOND THEN e.watched_at ELSE f.last END, e.watched_at - f.last > INTERVAL 120 SECOND
+FROM fold f JOIN ev e ON e.media_item_id = f.media_item_id AND e.r = f.r + 1)
+SELECT CAST(id AS VARCHAR) AS source_event_id, media_item_id, source_id, watched_at, completed FROM cur UNION ALL SELECT CAST(id AS VARCHAR), media_item_id, source_id, watched_at, completed FROM fold WHERE kept""")
+def _(t: Tables) -> DataFrame:
+    extra = {c: F.lit(None).cast(k) for c, k in (("progress_ms", "bigint"), ("duration_ms", "bigint"), ("view_number", "int"), ("playback_user", "string"), ("origin", "string"))}
+    rows = t.events.withColumn("source_event_id", F.col("id").cast("string")).withColumns(extra)
+    stored = rows.where("id % 2 = 0").withColumn("dedup_key", F.concat(F.lit("old"), F.col("id").cast("string")))
+    batch = rows.where("id % 3 <> 0").withColumn("watched_at", F.expr("watched_at + INTERVAL 1 HOUR")).withColumn("media_external_id", F.concat(F.lit("x"), F.col("media_item_id").cast("string")))
+    items = t.items.where("id % 10 <> 0").select(F.col("id").alias("media_item_id"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("external_id"))
+    refs = items.crossJoin(F.broadcast(t.sources.select(F.col("id").alias("source_id"))))
+    events, _ = ledger.persist_events(stored, batch.withColumnRenamed("id", "seq").drop("media_item_id"), refs)
+    return events.select("source_event_id", "media_item_id", "source_id", "watched_at", "completed")
+
+
 @register("a13_refreshed_states", """, n AS (SELECT media_item_id, source_id, count(*) AS n, max(watched_at) AS t FROM watch_events WHERE completed GROUP BY ALL)
 SELECT coalesce(s.media_item_id, n.media_item_id) AS media_item_id, coalesce(s.source_id, n.source_id) AS source_id, CAST(greatest(coalesce(s.view_count, n.n), coalesce(n.n, s.view_count)) AS BIGINT) AS view_count,
 greatest(coalesce(s.last_watched_at, n.t), coalesce(n.t, s.last_watched_at)) AS last_watched_at, coalesce(s.completed, false) OR n.n IS NOT NULL AS completed

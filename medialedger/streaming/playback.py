@@ -7,8 +7,12 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from medialedger import tables
+from medialedger.operators import ledger
+
 ACTIVE = ("media.play", "media.resume")
 KINDS = (*ACTIVE, "media.pause", "media.stop", "media.scrobble")
 STALE_US = 3_600_000_000
@@ -117,6 +121,23 @@ def deduplicated(stream: DataFrame, within: str = "10 minutes") -> DataFrame:
     return stream.withColumn("at", F.col("occurred_at").cast("timestamp")).withWatermark("at", within).dropDuplicatesWithinWatermark(["source_id", "event_id"])
 
 
+def persisted(stream: DataFrame, refs: DataFrame, root: str, within: str = "10 minutes") -> DataStreamWriter:
+    """Completed notifications into the published table ``watch_events`` under ``root``: each stable id once, then M14 with
+    its dedup key and two minutes per item across sources. A batch that runs again changes nothing; errors are appended."""
+
+    def store(batch: DataFrame, _: int) -> None:
+        none = F.lit(None)
+        rows = batch.select(
+            F.col("event_id").alias("seq"), "source_id", F.col("external_id").alias("media_external_id"), F.concat(F.lit("webhook:"), F.col("event_id").cast("string")).alias("source_event_id"),
+            F.col("occurred_at").alias("watched_at"), "completed", *[none.cast("bigint").alias(c) for c in ("progress_ms", "duration_ms")], none.cast("int").alias("view_number"), "playback_user", F.lit("webhook").alias("origin"),
+        )
+        new, errors = ledger.persist_events(tables.current(batch.sparkSession, root, "watch_events"), rows, refs)
+        errors.write.mode("append").parquet(f"{root}/watch_event_errors")
+        tables.publish(new, root, "watch_events")
+
+    return deduplicated(completed(stream).where("completed"), within).writeStream.foreachBatch(store)
+
+
 def outbox(candidates: DataFrame, sent: DataFrame) -> DataFrame:
     """Rows to send to the other server, once for each (source, item, time) whatever is replayed."""
     at = F.date_format(F.col("watched_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -43,6 +43,32 @@ def test_merge_plan(spark):
     assert [tuple(r) for r in merge.merge_plan(members, refs, sources).collect()] == [(1, 2)]
 
 
+def test_persisted_events(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    tail = "watched_at timestamp_ntz, completed boolean, progress_ms bigint, duration_ms bigint, view_number int, playback_user string, origin string"
+    stored = [(10, 1, "a", "k1", at(0)), (10, 2, None, "k2", at(60)), (20, 1, "b", "k3", at(0))]
+    stored = spark.createDataFrame([(*r, True, None, None, None, "u", "s") for r in stored], f"media_item_id bigint, source_id int, source_event_id string, dedup_key string, {tail}")
+    refs = spark.createDataFrame([(1, "x", 10), (2, "y", 10), (1, "z", 20)], "source_id int, external_id string, media_item_id bigint")
+    batch = [(1, 1, "a", "x", at(5), True), (2, 1, "b", "x", at(9), True), (3, 2, "c", "y", at(7), True), (4, 2, "d", "y", at(8), True), (5, 1, "e", "q", at(1), True), (6, 1, "f", "x", at(20), False),
+             (7, 1, None, "x", at(58), True), (8, 1, None, "z", at(30), True), (9, 1, None, "z", at(30), True), (10, 2, "h", "y", at(9), True)]
+    batch = spark.createDataFrame([(*r, None, None, None, "u", "s") for r in batch], f"seq bigint, source_id int, source_event_id string, media_external_id string, {tail}")
+    new, errors = ledger.persist_events(stored, batch, refs)
+    want = {(10, 1, "a", at(5)), (10, 2, None, at(60)), (20, 1, "b", at(0)), (10, 2, "d", at(8)), (20, 1, None, at(30))}
+    shown = lambda df: sorted(map(repr, ((r["media_item_id"], r["source_id"], r["source_event_id"], r["watched_at"]) for r in df.collect())))
+    assert shown(new) == sorted(map(repr, want))
+    assert sorted((r["seq"], r["message"]) for r in errors.collect()) == [(2, "identity changed its media"), (5, "unknown media")]
+    assert shown(ledger.persist_events(tables.written(new), batch, refs)[0]) == sorted(map(repr, want))
+
+    told = [(1, at(0), 1, "u", "x", "media.scrobble", None), (2, at(1), 2, "v", "y", "media.stop", 95), (1, at(0), 1, "u", "x", "media.scrobble", None), (3, at(9), 1, "u", "x", "media.scrobble", None), (4, at(9), 1, "u", "w", "media.scrobble", None)]
+    told = spark.createDataFrame(told, "event_id bigint, occurred_at timestamp_ntz, source_id int, playback_user string, external_id string, event_type string, progress_percent int")
+    told.coalesce(1).write.parquet(f"{tmp_path}/in")
+    tables.publish(stored.limit(0), str(tmp_path), "watch_events")
+    query = playback.persisted(spark.readStream.schema(told.schema).parquet(f"{tmp_path}/in"), refs, str(tmp_path)).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert query.awaitTermination(120) and query.exception() is None
+    assert shown(tables.current(spark, str(tmp_path), "watch_events")) == sorted(map(repr, [(10, 1, "webhook:1", at(0)), (10, 1, "webhook:3", at(9))]))
+    assert [r["seq"] for r in spark.read.parquet(f"{tmp_path}/watch_event_errors").collect()] == [4]
+
+
 def test_propagation(spark):
     items = spark.createDataFrame([(1, "episode"), (2, "episode"), (3, "track"), (4, "track"), (5, "movie"), (6, "movie"), (7, "movie"), (8, "show")], "id bigint, kind string")
     ids = spark.createDataFrame([(1, "tvdb", "x"), (2, "tvdb", "x"), (3, "musicbrainz", "m"), (4, "musicbrainz", "m"), (5, "tvdb", "x"), (9, "imdb", "z")], "media_item_id bigint, provider string, external_id string")
