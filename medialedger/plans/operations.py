@@ -402,6 +402,34 @@ def _(t: Tables) -> DataFrame:
     return enrichment.records_after(wanted, answers)
 
 
+def told(answers: DataFrame) -> DataFrame:
+    """The answers with genres, posters and failures, derived from their largest item."""
+    n = F.col("duration_ms")
+    genre = F.concat(F.lit(" G  "), (n % 5).cast("string"))
+    return answers.select(
+        "provider", "external_id", F.when(n % 2 == 0, F.array(genre, genre, F.lit(" "))).otherwise(F.array().cast("array<string>")).alias("genres"), F.when(n % 3 == 0, F.concat(F.lit("u"), n.cast("string"))).alias("poster_url"),
+        F.lit("tmdb").alias("poster_provider"), F.when(n % 11 == 0, "failed").alias("status"),
+    )
+
+
+@register("m33_genres_and_posters", f"""{RECORDS}, ok AS (SELECT c.media_item_id, c.provider, a.duration_ms AS n FROM cand c JOIN ans a USING (provider, external_id) WHERE a.duration_ms % 11 <> 0),
+p AS (SELECT DISTINCT media_item_id FROM media_identifiers WHERE media_item_id % 10 = 0)
+SELECT DISTINCT media_item_id, 'genre' AS kind, normalized_name AS value FROM media_genres UNION SELECT media_item_id, 'genre', concat('g ', CAST(n % 5 AS VARCHAR)) FROM ok WHERE n % 2 = 0
+UNION ALL SELECT media_item_id, 'poster', 'old' FROM p UNION ALL SELECT media_item_id, 'poster', concat('u', CAST(arg_min(n, provider) AS VARCHAR)) FROM ok WHERE n % 3 = 0 AND media_item_id NOT IN (SELECT media_item_id FROM p) GROUP BY media_item_id""")
+def _(t: Tables) -> DataFrame:
+    _, wanted, answers = to_enrich(t)
+    images = t.identifiers.where("media_item_id % 10 = 0").select("media_item_id", F.lit("poster").alias("image_type"), F.lit("own").alias("provider"), F.lit("old").alias("source_url"), F.lit("cached").alias("cache_status")).distinct()
+    genres = enrichment.enriched_genres(t.genres, wanted, told(answers)).select("media_item_id", F.lit("genre").alias("kind"), F.col("normalized_name").alias("value"))
+    return genres.unionByName(enrichment.enriched_images(images, wanted, told(answers)).select("media_item_id", F.col("image_type").alias("kind"), F.col("source_url").alias("value")))
+
+
+@register("m33_failed_records", f"""{RECORDS} SELECT c.media_item_id, c.provider, CASE WHEN coalesce(bool_or(a.duration_ms % 11 <> 0), false) THEN 'succeeded' WHEN count(a.duration_ms) > 0 THEN 'failed' ELSE 'not_found' END AS status,
+CAST(coalesce(max(c.attempts), 0) + 1 AS INTEGER) AS attempts FROM cand c LEFT JOIN ans a USING (provider, external_id) GROUP BY c.media_item_id, c.provider""")
+def _(t: Tables) -> DataFrame:
+    _, wanted, answers = to_enrich(t)
+    return enrichment.records_after(wanted, told(answers))
+
+
 @register("s13_incremental_scan", "SELECT id, media_item_id FROM watch_events WHERE watched_at > TIMESTAMP '1998-01-01'")
 def _(t: Tables) -> DataFrame:
     return t.events.where(F.col("watched_at") > ntz("1998-01-01")).select("id", "media_item_id")
