@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import random
 import re
@@ -25,6 +26,120 @@ def test_feistel_is_a_permutation(spark):
     assert days.select(pseudonyms._date(F.col("d"), "k").alias("p")).distinct().count() == 146097
 
 
+def brute_feistel(left, right, a, b, key, tag):
+    for i in range(8):
+        noise = lambda half: int(hashlib.sha256(f"{key}|{tag}|{i}|{half}".encode()).hexdigest()[:15], 16)  # noqa: E731, B023
+        if i % 2 == 0:
+            left = (left + noise(right)) % a
+        else:
+            right = (right + noise(left)) % b
+    return left, right
+
+
+def brute_digits(number, key, kind):
+    half = len(number) // 2
+    sides = brute_feistel(int(number[:half]), int(number[half:]), 10**half, 10 ** (len(number) - half), key, f"{kind}{len(number)}")
+    return str(sides[0]).zfill(half) + str(sides[1]).zfill(len(number) - half)
+
+
+def brute_refill(shape, number):
+    rest = iter(number)
+    return "".join(next(rest) if "0" <= c <= "9" else c for c in shape)
+
+
+def iban_rest(plain):
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def brute_date(value, key):
+    for layout in ("%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y", "%b %d, %Y", "%B %d, %Y", "%d %b %Y", "%d %B %Y", "%Y-%m-%d"):
+        try:
+            day = (datetime.datetime.strptime(value, layout).date() - datetime.date(1800, 1, 1)).days
+        except ValueError:
+            continue
+        if not 0 <= day < 189 * 773:
+            return value
+        left, right = brute_feistel(day // 773, day % 773, 189, 773, key, "date")
+        shown = (datetime.date(1800, 1, 1) + datetime.timedelta(left * 773 + right)).strftime(layout)
+        parts = re.split(r"[/.]", value)
+        keeps_zeros = "-" in value or len(parts) == 3 and len(parts[0]) == len(parts[1]) == 2
+        return shown if keeps_zeros else re.sub(r"\b0(\d)\b", r"\1", shown)
+    return value
+
+
+def brute_pseudonym(value, key):
+    kind = next(k for k, p in pseudonyms.KINDS.items() if re.fullmatch(p, value))
+    plain = re.sub(r"\D", "", value)
+    sha = lambda *x: hashlib.sha256("|".join(x).encode()).hexdigest()
+    if kind == "email":
+        return f"user-{sha(key, 'email', value.lower())[:16]}@example.invalid"
+    if kind == "secret":
+        digest = sha(key, "secret", value.lower())[: len(value)]
+        return digest.upper() if value == value.upper() else digest
+    if kind == "token":
+        prefix = re.match(r"A[KS]IA|[a-z]+[_-]", value)[0]
+        digest = (sha(key, "token", value) + sha(key, "token, second part", value))[: len(value) - len(prefix)]
+        return prefix + (digest.upper() if value[0] == "A" else digest)
+    if kind == "iban":
+        joined = value.replace(" ", "")
+        body = re.sub(r"\D", "", joined[4:])
+        if iban_rest(joined) != 1 or len(body) < 2:
+            return value
+        moved = brute_refill(joined[4:], brute_digits(body, key, "iban"))
+        check = f"{98 - iban_rest(joined[:2] + '00' + moved):02d}"
+        return brute_refill(value, check + re.sub(r"\D", "", moved))
+    if kind == "date":
+        return brute_date(value, key)
+    if kind == "ip":
+        p = [int(x) for x in value.split(".")]
+        left, right = brute_feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, key, "ip")
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if kind == "phone":
+        kept = 0 if value[0] != "+" else 1 if plain[0] in "17" else 2 if plain[:2] in pseudonyms.CODES_OF_TWO else 3
+        return brute_refill(value, plain[:kept] + brute_digits(plain[kept:], key, "phone"))
+    if kind == "ssn":
+        good = re.match(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)", value)
+        return brute_refill(value, brute_digits(plain, key, "ssn")) if good else value
+    if not luhn(plain):
+        return value
+    body = brute_digits(plain[:-1], key, "card")
+    return brute_refill(value, next(body + str(c) for c in range(10) if luhn(body + str(c))))
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = [
+        lambda: f"a.b{number(2)}@mail{number(1)}.example.com", lambda: hashlib.sha1(number(5).encode()).hexdigest(), lambda: hashlib.md5(number(5).encode()).hexdigest().upper(),
+        lambda: "AKIA" + hashlib.md5(number(5).encode()).hexdigest()[:16].upper(), lambda: "sk-" + number(24), lambda: "DE89 3704 0044 0532 0130 00", lambda: "GB82WEST12345698765432",
+        lambda: "FR1420041010050500013M02606", lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1700, 2300)}",
+        lambda: f"{rng.randint(1, 31):02d}/{rng.randint(1, 31):02d}/{rng.randint(1800, 2199)}", lambda: f"{rng.choice(['Jan', 'May', 'December'])} {rng.randint(1, 31)}, 2001",
+        lambda: f"{rng.randint(1, 28)} March 1999", lambda: ".".join(str(rng.randint(0, 280)) for _ in range(4)), lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}",
+        lambda: f"+49 30 {number(8)}", lambda: f"+4930{number(8)}", lambda: f"{number(3)}-{number(3)}-{number(4)}", lambda: f"030 {number(7)}", lambda: f"{number(3)}-{number(2)}-{number(4)}",
+        lambda: number(16), lambda: f"{number(4)} {number(4)} {number(4)} {number(4)}", lambda: "4111-1111-1111-1111", lambda: number(19), lambda: number(rng.randint(1, 9)),
+    ]
+    texts = []
+    for i in range(400):
+        parts = [rng.choice(["word", "é!", "\n", "x", "", pseudonyms._MARK if i % 40 == 0 else ","]) for _ in range(6)]
+        texts.append(" ".join(x for p in parts for x in (p, rng.choice(made)())))
+    docs = documents(spark, texts).withColumns({"parts": F.lit(1), "n_pseudonyms": F.lit("clash")})
+    rows = pseudonyms.pseudonymize(docs, "k").orderBy("doc_id").collect()
+    whole = re.compile(pseudonyms.PATTERN, re.ASCII)
+    for t, r in zip(texts, rows, strict=True):
+        found = [m[0] for m in whole.finditer(t)]
+        assert r["text"] == whole.sub(lambda m: brute_pseudonym(m[0], "k"), t), t
+        assert r["n_pseudonyms"] == sum(brute_pseudonym(v, "k") != v for v in found)
+
+
+def test_one_number_written_in_ways_and_long_texts(spark):
+    texts = ["+49 30 12345678", "+493012345678", "+49 (30) 1234-5678", "+1 555 123 4567", "(555) 123-4567", "x@" + "a." * 500_000 + "com", "a" * 10**6 + "@b.com 1"]
+    texts += ["1" * 10**6, "+1 " * 300_000, "1.1." * 250_000, "a@" * 400_000, "4111 " * 200_000, "AB12" + " ABCD" * 200_000]
+    rows = [r["text"] for r in pseudonyms.pseudonymize(documents(spark, texts), "k").orderBy("doc_id").collect()]
+    plain = [re.sub(r"\D", "", t) for t in rows[:5]]
+    assert plain[0] == plain[1] == plain[2] != re.sub(r"\D", "", texts[0]) and plain[3] == "1" + plain[4]
+    assert all(re.fullmatch(r"user-[0-9a-f]{16}@example.invalid( 1)?", t) for t in rows[5:7]) and rows[7:9] == texts[7:9]
+
+
 def test_texts(spark):
     card, bad = "4111 1111 1111 1111", "4111111111111112"
     t = f"Ann é {card}, {bad}! x.30@mail1.example.com +1 (017) 555-7713### 217.75.41.129 300.1.1.1 2024-02-29 2023-02-30 31/12/1999 078-05-1120 4.0. 3.\n" + 'token = "ffc3105535f423f352535e4ac53b5fefe076ac6d"!! 4111111111111111'
@@ -44,22 +159,41 @@ def test_texts(spark):
 
 
 def test_shards(spark, tmp_path):
-    texts = [None, "", "same", "same", *("t%d é" % i for i in range(200)), "long " * 4000]
-    docs = documents(spark, texts, ids=[1, 1, *range(2, 205)]).repartition(3).persist()
-    out = sharding.shuffled_shards(docs, f"file://{tmp_path}/a", 8, 1, 2048)
-    rows = out.collect()
-    assert sorted((r["doc_id"], r["text"] or "") for r in rows) == sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
-    sizes = []
-    for s in range(8):
-        slots = sorted(r["slot"] for r in rows if r["shard"] == s)
-        assert slots == list(range(len(slots)))
-        sizes.append(len(slots))
-    assert max(sizes) - min(sizes) <= 1
-    order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["slot"], r["shard"]))]
+    texts = [None, "", "same", "same", *("t%d é" % i for i in range(200)), "long " * 4000, *["copy"] * 3000]
+    ids = [1, 1, *range(2, 205), *[7] * 3000]
+    docs = documents(spark, texts, ids=ids)
+    got = []
+    for k, split in enumerate((docs.repartition(3), docs.orderBy(F.rand(1)).repartition(5, "text"))):
+        out = sharding.shuffled_shards(split, f"file://{tmp_path}/a{k}", 8, 1, 2048)
+        rows = out.collect()
+        assert out.columns == [*docs.columns, "shard", "slot"]
+        assert sorted((r["doc_id"], r["text"] or "") for r in rows) == sorted((i, t or "") for i, t in zip(ids, texts, strict=True))
+        sizes = []
+        for s in range(8):
+            slots = sorted(r["slot"] for r in rows if r["shard"] == s)
+            assert slots == list(range(len(slots)))
+            sizes.append(len(slots))
+        assert max(sizes) - min(sizes) <= 1
+        got.append(sorted((r["slot"], r["shard"], r["doc_id"], r["text"] or "") for r in rows))
+    assert got[0] == got[1]  # one seed, one order, however the table is split
+    order = [r[2] for r in got[0] if r[3] != "copy"]
     assert order != sorted(order) and abs(sum(a < b for a, b in zip(order, order[1:], strict=False)) - 102) < 40
+    # Copies are dealt over all shards and places as other rows are.
+    assert max(sum(r[1] == s and r[3] == "copy" for r in got[0]) for s in range(8)) < 500
     assert sharding.shuffled_shards(documents(spark, []), f"file://{tmp_path}/b").collect() == []
 
 
+def test_fisher_yates_equals_brute_force(spark):
+    rows = spark.range(60).select((F.col("id") + 1).cast("int").alias("n"), F.xxhash64("id").alias("seed"))
+    draws = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.pmod(F.xxhash64("seed", i), i + 1))
+    for r in rows.select("n", sharding.fisher_yates(F.col("n"), F.col("seed")).alias("got"), draws.alias("draws")).collect():
+        a = list(range(r["n"]))
+        for i in range(r["n"] - 1, 0, -1):
+            j = r["draws"][i]
+            a[i], a[j] = a[j], a[i]
+        assert r["got"] == a
+
+
 def test_chat_round_trip(spark, tmp_path):
     rng = random.Random(1)
     bits = ["</s>", "[INST]", "<|end|>", "<|", "<\\|", "\\", "<", "|", "é", "\n", "a", "<|text|>", "$1", "[/INST]", "\\\\"]
