@@ -1,25 +1,36 @@
 """Benchmark decontamination by pigeonhole edit matching over words.
 
 An item of L words that occurs in a text with at most k word edits, cut into k + 1 pieces, leaves one piece untouched.
-Exact hits of pieces are found by rolling hashes; each is verified with Myers' bit-parallel edit distance of the whole
-item against the words around the hit. The benchmark is sent to the tasks in blocks of bounded size; every block reads the
-documents once, so no side has to fit in memory and nothing is shuffled.
+Exact hits of pieces are found by joining rolling hashes; each candidate is verified with Myers' bit-parallel edit distance
+of the whole item against the words around its hits. The steps, all of them Spark jobs over tables of any size:
+
+1. Items and texts are told apart by a hash of their words or bytes, so copies of either cost one row each.
+2. The hashes of all pieces fill a bit table of bounded size. One pass over the documents sends, for each text and hash
+   that the table lets pass, the places where it starts; the join with the pieces is exact.
+3. Items whose budget is 0 are one piece: such a hit is the match. For the others, the texts with candidates are read
+   again and cut to the words around the hits, which meet the item's words for verification.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialedger.llm.wordscan import Words, scan_words, slices, spans_hash, windows
+from medialedger.llm.store import discard, has_member, materialize, member_bits, small
+from medialedger.llm.wordscan import mix, scan_words, slices, spans_hash, windows
 
-_MATCHES = "doc_id bigint, item_id bigint, item_words int, distance int, start_word bigint, end_word bigint"
-_BITS = 20
+_ITEMS = "item_id bigint, item bigint, item_words int, budget int, words binary"
+_PIECES = "item bigint, piece bigint, length int, at int"
+_HITS = "k1 bigint, k2 bigint, piece bigint, places array<int>"
+_FOUND = "k1 bigint, k2 bigint, item bigint, distance int, start_word bigint, end_word bigint"
+_AROUND = "k1 bigint, k2 bigint, item bigint, begin bigint, around binary"
+#: The candidates of one text are held in this many parts, each by one task.
+_PARTS = 16
 
 
 def search(pattern: list[int], text: list[int], anchored: bool = False) -> list[int]:
@@ -59,123 +70,186 @@ def best_match(pattern: list[int], text: list[int], budget: int) -> tuple[int, i
     return distance, end - length, end
 
 
-@dataclass
-class Block:
-    """Some benchmark items: their words, budgets, and their pieces by length."""
-
-    ids: list[int | None]
-    words: list[list[int]]
-    budgets: list[int]
-    #: length -> (bit table of hashes, sorted hashes, item of each, place of each in its item)
-    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-
-def make_block(items: list[tuple[int | None, str | None]], percent: int) -> Block:
-    table = scan_words(pa.array([t or "" for _, t in items], pa.string()), fold=True)
-    block = Block([i for i, _ in items], [], [], {})
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    for n, (a, b) in enumerate(zip(table.first[:-1], table.first[1:], strict=True)):
-        hashes = table.hash[a:b]
-        k = len(hashes) * percent // 100
-        block.words.append(hashes.tolist())
-        block.budgets.append(k)
-        if len(hashes):
-            cuts = np.arange(k + 2) * len(hashes) // (k + 1)
-            for h, s, e in zip(spans_hash(hashes, cuts[:-1], cuts[1:], "gram"), cuts[:-1], cuts[1:], strict=True):
-                found.setdefault(int(e - s), []).append((int(h), n, int(s)))
-    for length, rows in found.items():
-        rows.sort()
-        hashes = np.array([r[0] for r in rows], dtype=np.uint64)
-        bits = np.zeros(1 << _BITS, dtype=bool)
-        bits[hashes & np.uint64((1 << _BITS) - 1)] = True
-        block.pieces[length] = (bits, hashes, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-    return block
-
-
-def find_items(words: Words, block: Block) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, distance, start word, end word) of the closest occurrence of each item in each row that has one."""
-    places: dict[tuple[int, int], set[int]] = {}
-    for length, (bits, hashes, items, offsets) in block.pieces.items():
-        at, windowed = windows(words, length)
-        hit = np.flatnonzero(bits[windowed & np.uint64((1 << _BITS) - 1)])
-        lo, hi = np.searchsorted(hashes, windowed[hit], "left"), np.searchsorted(hashes, windowed[hit], "right")
-        for i in np.flatnonzero(hi > lo):
-            word = int(at[hit[i]])
-            for j in range(lo[i], hi[i]):
-                places.setdefault((int(words.row[word]), int(items[j])), set()).add(word - int(offsets[j]))
-    first = words.first
-    for (row, item), starts in places.items():
-        pattern, k = block.words[item], block.budgets[item]
-        best = None
-        reach = -1
-        order = sorted(starts)
-        for i, start in enumerate(order):  # hits of one occurrence lie within k of each other: one stretch of words
-            if start <= reach:
-                continue
-            end = start
-            for later in order[i:]:
-                if later > end + 2 * k + 1:
-                    break
-                end = later
-            reach = end
-            a, b = max(int(first[row]), start - k), min(int(first[row + 1]), end + len(pattern) + k)
-            match = best_match(pattern, words.hash[a:b].tolist(), k)
-            if match and (best is None or match[0] < best[0]):
-                best = (match[0], a + match[1], a + match[2])
-        if best:
-            yield row, item, best[0], best[1] - int(first[row]), best[2] - int(first[row])
-
-
-def blocks(benchmark: DataFrame, percent: int, block_bytes: int) -> Iterator[Block]:
-    """The benchmark (item_id, text) in blocks of about ``block_bytes`` of text, one at a time on the driver."""
-    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
-    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for i in range(n):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield make_block([(r[0], r[1]) for r in mine.collect()], percent)
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 15, block_bytes: int = 4 << 20) -> DataFrame:
+
+
+def text_keys(text: Column) -> list[Column]:
+    """Two hashes of a text that are independent of each other: k1, k2."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def _rows(columns: dict[str, list | np.ndarray], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[t]) for n, t in fields], names=[n for n, _ in fields])
+
+
+def items(benchmark: DataFrame, percent: int) -> DataFrame:
+    """item_id, item (hash of the words), item_words, budget, words (hashes) of every row of the benchmark with a word."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            words = scan_words(part.column("text"), fold=True)
+            full = np.flatnonzero(words.per_row)
+            first = words.first
+            keys = mix(spans_hash(words.hash, first[full], first[full + 1], "gram") + words.per_row[full].astype(np.uint64))
+            ids = part.column("item_id").to_pylist()
+            yield _rows({
+                "item_id": [ids[i] for i in full], "item": keys.view(np.int64), "item_words": words.per_row[full],
+                "budget": words.per_row[full] * percent // 100, "words": [words.hash[first[i] : first[i + 1]].tobytes() for i in full],
+            }, _ITEMS)
+
+    return benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(read, _ITEMS)
+
+
+def pieces(distinct: DataFrame) -> DataFrame:
+    """item, piece (hash), length, at (place in the item) of the budget + 1 pieces of every item."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"item": [], "piece": [], "length": [], "at": []}
+            for item, k, blob in zip(*(batch.column(c).to_pylist() for c in ("item", "budget", "words")), strict=True):
+                hashes = np.frombuffer(blob, dtype=np.uint64)
+                cuts = np.arange(k + 2) * len(hashes) // (k + 1)
+                out["item"] += [item] * (k + 1)
+                out["piece"] += _sized(spans_hash(hashes, cuts[:-1], cuts[1:], "gram"), np.diff(cuts)).tolist()
+                out["length"] += np.diff(cuts).tolist()
+                out["at"] += cuts[:-1].tolist()
+            yield _rows(out, _PIECES)
+
+    return distinct.mapInArrow(cut, _PIECES)
+
+
+def _sized(hashes: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+    """Hashes of word runs that differ by the run's length too."""
+    return mix(hashes + np.asarray(lengths, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def hits(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
+    """k1, k2, piece, places of every run of words in every text whose hash the bit table lets pass."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            words = scan_words(part.column("text"), fold=True)
+            k1, k2, first = part.column("k1").to_numpy(), part.column("k2").to_numpy(), words.first
+            for length in lengths:
+                at, hashed = windows(words, length)
+                hashed = _sized(hashed, length)
+                hit = np.flatnonzero(has_member(bits, hashed))
+                row, piece, place = words.row[at[hit]], hashed[hit], at[hit]
+                order = np.lexsort((place, piece, row))
+                row, piece, place = row[order], piece[order], place[order] - first[row[order]]
+                heads = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (piece[1:] != piece[:-1]))) if len(row) else np.zeros(0, np.int64)
+                places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(row)), pa.int32()), pa.array(place, pa.int32()))
+                columns = [pa.array(k1[row[heads]]), pa.array(k2[row[heads]]), pa.array(piece[heads]), places]
+                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "piece", "places"])
+
+    text = F.col("text").cast("string")
+    # Copies send the same rows; one of each is kept, first within each task.
+    return docs.select(text.alias("text"), *text_keys(text)).mapInArrow(find, _HITS).dropDuplicates(["k1", "k2", "piece"])
+
+
+def verify(around: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The closest match of every item within its budget in every text, from the words around the hits."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c.split(" ")[0]: [] for c in _FOUND.split(", ")}
+            for r in batch.to_pylist():
+                pattern, text = (np.frombuffer(r[c], dtype=np.uint64).tolist() for c in ("words", "around"))
+                match = best_match(pattern, text, r["budget"])
+                if match:
+                    for name, x in zip(out, (r["k1"], r["k2"], r["item"], match[0], r["begin"] + match[1], r["begin"] + match[2]), strict=True):
+                        out[name].append(x)
+            yield _rows(out, _FOUND)
+
+    return around.join(distinct.select("item", "budget", "words"), "item").mapInArrow(check, _FOUND)
+
+
+def stretches(starts: np.ndarray, words: int, budget: int, size: int) -> Iterator[tuple[int, int]]:
+    """The ranges of words around places where an item may start: hits of one occurrence lie within the budget of each other."""
+    starts = np.unique(starts)
+    cuts = np.flatnonzero(np.diff(starts) > 2 * budget + 1) + 1
+    for group in np.split(starts, cuts):
+        yield max(0, int(group[0]) - budget), min(size, int(group[-1]) + words + budget)
+
+
+def around_hits(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The words around the hits of each candidate (k1, k2, item, item_words, budget, starts), read from the texts again."""
+    bits = member_bits(candidates, F.col("k1"))
+
+    def candidate(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_member(bits, batch.column("k1").to_numpy())))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            words = scan_words(part.column("text"), fold=True)
+            out: dict[str, list] = {c.split(" ")[0]: [] for c in _AROUND.split(", ")}
+            for row, (k1, k2, found) in enumerate(zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "found")), strict=True)):
+                a, size = int(words.first[row]), int(words.per_row[row])
+                for c in found:
+                    for begin, end in stretches(np.array(c["starts"]), c["item_words"], c["budget"], size):
+                        for name, x in zip(out, (k1, k2, c["item"], begin, words.hash[a + begin : a + end].tobytes()), strict=True):
+                            out[name].append(x)
+                if len(out["k1"]) > 1000:
+                    yield _rows(out, _AROUND)
+                    out = {name: [] for name in out}
+            yield _rows(out, _AROUND)
+
+    text = F.col("text").cast("string")
+    texts = docs.select(text.alias("text"), *text_keys(text)).mapInArrow(partial(candidate, bits), "text string, k1 bigint, k2 bigint")
+    part = F.pmod("item", F.lit(_PARTS)).alias("part")
+    grouped = candidates.groupBy("k1", "k2", part).agg(F.collect_list(F.struct("item", "item_words", "budget", "starts")).alias("found"))
+    return texts.dropDuplicates(["k1", "k2"]).join(grouped, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(cut, _AROUND)
+
+
+def text_matches(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """k1, k2, item, distance, start_word, end_word: the closest occurrence of each item in each text that has one."""
+    parts = materialize(pieces(distinct), "benchmark-pieces")
+    lengths = [r["length"] for r in parts.select("length").distinct().collect()]  # about 100 / percent of them at most
+    # 64 bits for each piece, between 1 KB and 8 MB.
+    size = min(26, max(13, int(64 * parts.count()).bit_length()))
+    bits = member_bits(parts, F.col("piece"), size)
+    met = hits(docs, bits, sorted(lengths)).join(small(parts), "piece").join(small(distinct.select("item", "item_words", "budget")), "item")
+    met = materialize(met.select("k1", "k2", "item", "item_words", "budget", F.transform("places", lambda p: p - F.col("at")).alias("starts")), "benchmark-hits")
+    first = F.array_min("starts").cast("bigint")
+    whole = met.where("budget = 0").groupBy("k1", "k2", "item").agg(F.min(first).alias("start_word"), F.max("item_words").alias("n"))
+    whole = whole.select("k1", "k2", "item", F.lit(0).alias("distance"), "start_word", (F.col("start_word") + F.col("n")).alias("end_word"))
+    candidates = met.where("budget > 0").groupBy("k1", "k2", "item", "item_words", "budget").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    candidates = materialize(candidates, "benchmark-candidates")
+    found = verify(around_hits(docs, candidates), distinct)
+    best = found.groupBy("k1", "k2", "item").agg(F.min(F.struct("distance", "start_word", "end_word")).alias("m")).select("k1", "k2", "item", "m.*")
+    out = materialize(whole.unionByName(best), "benchmark-matches")
+    discard(parts, met, candidates)
+    return out
+
+
+def _distinct(named: DataFrame) -> DataFrame:
+    return materialize(named.drop("item_id").dropDuplicates(["item"]), "benchmark-items")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 15) -> DataFrame:
     """Every (document, item) such that the item occurs in the document with at most ``percent`` % of its words edited.
 
     Words are runs of characters other than space and U+0009 to U+000D, A-Z as a-z; an edit inserts, drops or changes a
     word. Returns doc_id, item_id, item_words, distance, start_word, end_word of the closest occurrence (the first one of
     equal ones) in each row. Null and empty texts match nothing and items without words are in nothing; null ids stay
-    null; repeated rows and items give repeated results; extra columns are ignored.
+    null; repeated rows and items give repeated results; extra columns are ignored. ``docs`` is read three times, whatever
+    the size of the benchmark.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    spark, out = docs.sparkSession, None
-    for block in blocks(benchmark, percent, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
-
-        def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            for part in slices(batches, "text", 1 << 20):
-                found = list(find_items(scan_words(part.column("text"), fold=True), block))
-                ids = part.column("doc_id").to_pylist()
-                columns = [
-                    pa.array([ids[f[0]] for f in found], pa.int64()), pa.array([block.ids[f[1]] for f in found], pa.int64()),
-                    pa.array([len(block.words[f[1]]) for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()),
-                    pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "item_words", "distance", "start_word", "end_word"])
-
-        part = rows.mapInArrow(match, _MATCHES)
-        out = part if out is None else out.unionByName(part)
-    return out
+    named = items(benchmark, percent)
+    found = text_matches(docs, _distinct(named))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint"), *text_keys(text))
+    return (
+        rows.join(small(found), ["k1", "k2"]).join(named.select("item_id", "item", "item_words"), "item")
+        .select("doc_id", "item_id", "item_words", "distance", "start_word", "end_word")
+    )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 15, block_bytes: int = 4 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 15) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item by ``matches``, all columns as they are."""
-    for block in blocks(benchmark, percent, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def drop(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, "text", 1 << 20):
-                keep = np.ones(len(part), dtype=bool)
-                keep[[f[0] for f in find_items(scan_words(part.column("text"), fold=True), sent.value)]] = False
-                yield part.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(drop, docs.schema)
-    return docs
+    dirty = small(text_matches(docs, _distinct(items(benchmark, percent))).select("k1", "k2").distinct())
+    k1, k2 = text_keys(F.col("text").cast("string"))
+    # A null text hashes like no other and matches nothing.
+    return docs.join(dirty, (k1 == dirty["k1"]) & (k2 == dirty["k2"]), "left_anti").select(*docs.columns)

@@ -48,17 +48,19 @@ def test_equals_brute_force(spark):
         texts.append(rng.choice([" ", "\n"]).join(x.upper() if rng.random() < 0.1 else x for x in w[:at] + item + w[at:]))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").withColumn("doc_id", F.lit(9))
     docs = documents(spark, texts)
-    for size in (4 << 20, 200):
-        got = {(r["doc_id"], r["item_id"]): r["distance"] for r in dc.matches(docs, bench, 15, size).collect()}
-        want = {}
-        for i, t in enumerate(texts):
-            for j, item in enumerate(items):
-                p = lower(item)
-                if p and (d := distance(p, lower(t))) <= len(p) * 15 // 100:
-                    want[i, j] = d
-        assert got == want
+    want = {}
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            p = lower(item)
+            if p and (d := distance(p, lower(t))) <= len(p) * 15 // 100:
+                want[i, j] = d
+    rows = dc.matches(docs, bench, 15).collect()
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in rows} == want and len(rows) == len(want)
+    for r in rows:
+        part = lower(texts[r["doc_id"]])[r["start_word"] : r["end_word"]]
+        assert distance(lower(items[r["item_id"]]), part) == r["distance"]
     dirty = {i for i, _ in want}
-    kept = dc.clean(docs, bench, 15, 200)
+    kept = dc.clean(docs, bench, 15)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if i not in dirty]
 
@@ -68,3 +70,26 @@ def test_empty_tables(spark):
     assert dc.matches(documents(spark, ["a b"]), none).collect() == []
     assert dc.clean(documents(spark, ["a b"], ids=[None]), none).count() == 1
     assert dc.matches(documents(spark, []), none).collect() == []
+
+
+def test_repeated_rows_and_long_texts(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    item = " ".join(word() for _ in range(20))
+    short = [" ".join(word() for _ in range(3)) for _ in range(2000)]
+    long = " ".join(rng.choice(short) if rng.random() < 0.5 else word() for _ in range(20000))
+    edited = " ".join(w if i != 7 else "zz" for i, w in enumerate(item.split()))
+    texts = [item, item, f"x {edited} y", long, f"{long} {edited}"]
+    docs = documents(spark, texts, ids=[1, 1, None, 4, 5]).withColumns({"k1": F.lit("clash"), "item": F.lit(0)})
+    bench = spark.createDataFrame([(0, item), (None, item), (0, item), *((10 + i, t) for i, t in enumerate(short))], "item_id bigint, text string")
+    rows = dc.matches(docs, bench).collect()
+    assert sorted((r["doc_id"] or -1, r["item_id"] if r["item_id"] is not None else -1, r["distance"]) for r in rows if r["item_words"] == 20) == sorted(
+        (d, i, e) for d, e in ((1, 0), (1, 0), (-1, 1), (5, 1)) for i in (0, 0, -1)
+    )
+    found = {(r["doc_id"], r["item_id"]): r["start_word"] for r in rows if r["item_words"] == 3}
+    w = long.split()
+    at = {}
+    for i in range(len(w) - 2):
+        at.setdefault(" ".join(w[i : i + 3]), i)
+    assert found == {(d, 10 + i): at[t] for d in (4, 5) for i, t in enumerate(short) if t in at}
+    assert dc.clean(docs, bench).count() == 0
