@@ -10,12 +10,15 @@ Exact for every pair (up to 64-bit hashes of shingles and sets); no candidate is
    of one group after that. The prefix is long enough that a similar set must share one of these signatures.
 4. Signatures join nodes. All nodes of a signature are first verified against the one with the fewest own tokens; only
    nodes that are still in different components, and whose sizes and own tokens leave room for enough shared ones, are
-   then verified with each other. Components take the links.
+   then verified with each other: they meet by signature and class of size, where the classes a node goes to are those its
+   own tokens leave room for, and nodes of a signature's largest component only meet those of others. Components take the
+   links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,13 @@ from pyspark.sql import functions as F
 
 from medialedger.identity.components import connected_components
 from medialedger.llm.ledger import Chunk, distinct_places, recurring
-from medialedger.llm.store import has_member, materialize, member_bits
+from medialedger.llm.store import discard, has_member, materialize, member_bits, small
 from medialedger.llm.wordscan import Words, mix, scan_words, slices, spans_hash
 
 _U = np.uint64
-_ROWS = "doc_id bigint, node bigint, n_shingles bigint, open boolean"
+_ROWS = "doc_id bigint, text_key bigint, node bigint, n_shingles bigint, open boolean"
+#: Sizes of one class differ by this factor at most.
+_CLASS = 1.05
 _SETS = "node bigint, tokens binary"
 _SIGNATURES = "sig bigint, node bigint, own int, alone int, n int, short boolean"
 
@@ -126,7 +131,8 @@ class JaccardJoin:
         return np.minimum(1.0, 1.4 * (1 - self.num / 100) + 16 / np.maximum(n, 1e-9))
 
     def documents(self, docs: DataFrame) -> DataFrame:
-        """Step 1: doc_id, node (null for an empty set), n_shingles, and whether the node may have a partner.
+        """Step 1: doc_id, text_key (a hash of the text), node (null for an empty set), n_shingles, and whether the node may
+        have a partner.
 
         Copies within one chunk carry ``open`` only once.
         """
@@ -146,11 +152,11 @@ class JaccardJoin:
                 places, again = distinct_places(hashes_sent)
                 payload = pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array(nodes, mask=sizes == 0), pa.array(sizes), pa.array(first),
+                        part.column("doc_id"), part.column("text_key"), pa.array(nodes, mask=sizes == 0), pa.array(sizes), pa.array(first),
                         pa.array(np.bincount(rows_sent, minlength=len(part))),
                         pa.array(np.bincount(rows[looked], minlength=len(part))),
                     ],
-                    names=["doc_id", "node", "n", "first", "sent", "looked"],
+                    names=["doc_id", "text_key", "node", "n", "first", "sent", "looked"],
                 )
                 yield Chunk(hashes_sent[places], mix(hashes_sent[places] ^ _U(0x94D049BB133111EB)), places, payload, known=again)
 
@@ -165,11 +171,12 @@ class JaccardJoin:
             hits = np.bincount(row[seen], minlength=len(n))
             is_open = payload.column("first").to_numpy(zero_copy_only=False) & (looked - hits <= slack(n))
             return pa.RecordBatch.from_arrays(
-                [payload.column("doc_id"), payload.column("node"), payload.column("n"), pa.array(is_open)],
-                names=["doc_id", "node", "n_shingles", "open"],
+                [*(payload.column(c) for c in ("doc_id", "text_key", "node", "n")), pa.array(is_open)],
+                names=["doc_id", "text_key", "node", "n_shingles", "open"],
             )
 
-        rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+        text = F.col("text").cast("string")
+        rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.xxhash64(text).alias("text_key"))
         return recurring(rows, chunks, finish, _ROWS)
 
     def sets(self, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,11 +185,13 @@ class JaccardJoin:
         bits = member_bits(nodes, F.col("node"), self.log2_bits)
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sent: set[int] = set()
+            sent: set[int] = set()  # of bounded size: it saves shuffling copies, which are dropped below in any case
             for part in slices(batches, "text"):
                 rows, hashes = shingle_sets(scan_words(part.column("text"), fold=True), k)
                 sizes, ids = set_nodes(rows, hashes, len(part))
                 ends = np.cumsum(sizes)
+                if len(sent) > 1 << 16:
+                    sent.clear()
                 out: tuple[list, list] = ([], [])
                 for i in np.flatnonzero((sizes > 0) & has_member(bits, ids)):
                     if int(ids[i]) not in sent:
@@ -280,23 +289,44 @@ class JaccardJoin:
         found = materialize(self.verify(star, sets), "jaccard-links")
         roots = self.roots(found)
         labelled = sigs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-        apart = materialize(labelled.join(split, "sig", "left_semi"), "jaccard-apart")
+        by_root = labelled.groupBy("sig", "root").agg(F.count("*").alias("size"))
+        split = by_root.groupBy("sig").agg(F.count("*").alias("roots"), F.max(F.struct("size", "root")).alias("top")).where("roots > 1")
+        largest = F.col("root") == F.col("top.root")
+        apart = materialize(labelled.join(split, "sig").select("sig", "node", "root", "n", "alone", "short", largest.alias("largest")), "jaccard-apart")
+        rest = materialize(self.apart_pairs(apart).select(*ends("p_node", "q_node")).distinct().join(star, ["a", "b"], "left_anti"), "jaccard-rest")
+        more = materialize(self.verify(rest, sets), "jaccard-links")
+        discard(sigs, star, apart, rest)
+        return found.unionByName(more)
+
+    def apart_pairs(self, apart: DataFrame) -> DataFrame:
+        """Pairs (p_node, q_node) of different components that meet in a signature and may share enough tokens.
+
+        Two sets of n and m >= n tokens are similar only if m <= c * (100 + num) / num - n, where c counts the tokens that the
+        first may share at all; so it goes to the classes of those sizes, mostly to none where own tokens use up the slack.
+        """
+        num = self.num
+        size_class = lambda n: F.floor(F.log(n.cast("double")) / F.lit(float(np.log(_CLASS))))
+        most = F.floor(((F.col("n") - F.col("alone")) * (100 + num) - F.col("n") * num) / num)
         sides = {x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "n", "alone")] for x in "pq"}
-        p, q = apart.where("short").select("sig", *sides["p"]), apart.select("sig", *sides["q"])
+        p = apart.where(F.col("short") & (most >= F.col("n")))
+        p = p.select("sig", *sides["p"], "largest", F.explode(F.sequence(size_class(F.col("n")), size_class(most))).alias("class"))
+        q = apart.select("sig", *sides["q"], F.col("largest").alias("q_largest"), size_class(F.col("n")).alias("class"))
+        of_others = p.where("NOT largest").join(q, ["sig", "class"])
+        of_largest = p.where("largest").join(q.where("NOT q_largest"), ["sig", "class"])
         ordered = (F.col("p_n") < F.col("q_n")) | ((F.col("p_n") == F.col("q_n")) & (F.col("p_node") != F.col("q_node")))
         common = F.least(F.col("p_n") - F.col("p_alone"), F.col("q_n") - F.col("q_alone"))
-        fits = common * 100 >= (F.col("p_n") + F.col("q_n") - common) * self.num
-        rest = p.join(q, "sig").where((F.col("p_root") != F.col("q_root")) & ordered & fits).select(*ends("p_node", "q_node"))
-        rest = materialize(rest.distinct().join(star, ["a", "b"], "left_anti"), "jaccard-rest")
-        more = materialize(self.verify(rest, sets), "jaccard-links")
-        return found.unionByName(more)
+        fits = common * 100 >= (F.col("p_n") + F.col("q_n") - common) * num
+        return of_others.unionByName(of_largest).where((F.col("p_root") != F.col("q_root")) & ordered & fits)
 
     def roots(self, links: DataFrame) -> DataFrame:
         return connected_components(links, "a", "b", lambda df: materialize(df, "jaccard-components"))
 
     def components(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
+        """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text); see ``classes``."""
+        return self.classes(docs).select("doc_id", "n_shingles", "component_id")
+
+    def classes(self, docs: DataFrame) -> DataFrame:
+        """doc_id, text_key (hash of the text), n_shingles, root (of the component), component_id for every row of ``docs``.
 
         A-Z are lower-cased; words are runs of characters other than space and U+0009 to U+000D. A set holds the
         distinct shingles, or the whole sequence where a text has fewer words than a shingle. component_id is the
@@ -311,7 +341,34 @@ class JaccardJoin:
         smallest = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"))
         smallest = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         component = smallest.groupBy("root").agg(F.min("doc").alias("component_id"))
-        by_node = smallest.join(component, "root").select("node", "component_id")
-        full = rows.where("node IS NOT NULL").join(by_node, "node", "left").select("doc_id", "n_shingles", "component_id")
-        empty = rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        by_node = smallest.join(component, "root").select("node", "root", "component_id")
+        full = rows.where("node IS NOT NULL").join(by_node, "node", "left").select("doc_id", "text_key", "n_shingles", "root", "component_id")
+        none = F.lit(None).cast("bigint").alias("root")
+        empty = rows.where("node IS NULL").select("doc_id", "text_key", "n_shingles", none, F.col("doc_id").alias("component_id"))
+        discard(sets)
         return full.unionByName(empty)
+
+    def first_of_each(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs`` (doc_id, text and more) without near duplicates: one row of each component, all columns.
+
+        The row with the smallest id stays (one with an id before one without, then by a hash of the text); of rows with
+        equal id and text in that place one stays, and it is not determined which. Rows without a word all stay, whatever
+        their ids. Ids may repeat or be null: rows are told apart by id and text.
+        """
+        found = materialize(self.classes(docs), "jaccard-classes")
+        row = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+        best = found.where("root IS NOT NULL").groupBy("root").agg(F.min(row).alias("best"))
+        held = found.where("root IS NOT NULL").join(best, "root").withColumn("wins", row == F.col("best"))
+        gone = materialize(held.where("NOT wins").select("doc_id", "text_key").distinct(), "jaccard-gone")
+        twice = materialize(held.where("wins").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "jaccard-twice")
+        discard(found)
+        names = {c: f"{c}_{uuid4().hex[:8]}" for c in ("doc_id", "text_key")}
+        keyed = docs.withColumns({names["doc_id"]: F.col("doc_id").cast("bigint"), names["text_key"]: F.xxhash64(F.col("text").cast("string"))})
+        same = lambda other: F.col(names["doc_id"]).eqNullSafe(other["doc_id"]) & (F.col(names["text_key"]) == other["text_key"])
+        gone = small(gone)
+        kept = keyed.join(gone, same(gone), "left_anti")
+        if not twice.isEmpty():
+            again = small(twice)
+            one = kept.join(again, same(again), "left_semi").dropDuplicates(list(names.values()))
+            kept = kept.join(again, same(again), "left_anti").unionByName(one)
+        return kept.select(*docs.columns)

@@ -1,11 +1,14 @@
 """Which hashes occur again anywhere in the corpus, counted by a Spark shuffle of packed postings.
 
-Documents are read in chunks of a few megabytes. A chunk sends one posting (seven bytes of hash, place, count) for each
+Documents are read in chunks of a few megabytes. A chunk sends one posting (eight bytes of hash, place, count) for each
 distinct hash, packed by bucket, so that a hash that every document holds costs one posting per chunk and not one per
 document. The buckets are shuffled, each is sorted by itself, and the places of hashes that occur again go back to their
 chunk, where ``finish`` turns them into rows. Tasks hold one chunk or one bucket at a time.
 
-The bucket comes from a second hash, so two different grams only meet if 56 bits and the bucket agree.
+The bucket comes from a second hash, so two different grams only meet if 64 bits and the bucket agree. There are 32 buckets
+for each shuffle partition (1024 at least) and a task holds one bucket whole, about 10 bytes for each posting: 10**13 windows
+(some 100 TB of text) in buckets of 64 MB need 50,000 shuffle partitions. With that many buckets some 85 bits tell two
+windows apart, so of the 5 * 10**25 pairs about one unequal pair is expected to meet.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from medialedger.llm.store import shuffle_partitions
+from medialedger.llm.wordscan import mix
 
 _POSTINGS = "bucket int, chunk bigint, hashes binary, places binary, counts binary, payload binary"
 _ARROW = pa.schema(
@@ -86,7 +90,7 @@ def _send(chunk: Chunk, number: int, n_buckets: int) -> Iterator[pa.RecordBatch]
         steps[cuts[:-1]] = places[cuts[:-1]]
         # Places rise within a bucket, so their steps mostly need two bytes.
         steps = steps.astype(np.uint16) if steps.max(initial=0) < 1 << 16 else steps
-        hashes = chunk.hashes[order].view(np.uint8).reshape(-1, 8)[:, :7]
+        hashes = chunk.hashes[order]
         nothing = pa.nulls(len(heads), pa.binary())
         counts = nothing if chunk.counts is None else _binary(chunk.counts[order].astype(np.uint32), cuts)
         yield pa.RecordBatch.from_arrays(
@@ -94,7 +98,7 @@ def _send(chunk: Chunk, number: int, n_buckets: int) -> Iterator[pa.RecordBatch]
             schema=_ARROW,
         )
     yield pa.RecordBatch.from_pylist(
-        [{"bucket": number % n_buckets, "chunk": number, "places": chunk.known.astype(np.uint32).tobytes(), "payload": pack_batch(chunk.payload)}],
+        [{"bucket": int(mix(np.array([number], dtype=np.uint64))[0] % np.uint64(n_buckets)), "chunk": number, "places": chunk.known.astype(np.uint32).tobytes(), "payload": pack_batch(chunk.payload)}],
         schema=_ARROW,
     )
 
@@ -114,10 +118,8 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 def _again(bucket: int, rows: list[dict], with_counts: bool) -> Iterator[dict]:
     """The places whose hash has a total of two or more in this bucket, by chunk."""
-    sizes = np.array([len(r["hashes"]) // 7 for r in rows])
-    wide = np.zeros((sizes.sum(), 8), dtype=np.uint8)
-    wide[:, :7] = np.frombuffer(b"".join(r["hashes"] for r in rows), dtype=np.uint8).reshape(-1, 7)
-    hashes = wide.view(np.uint64).ravel()
+    sizes = np.array([len(r["hashes"]) // 8 for r in rows])
+    hashes = np.frombuffer(b"".join(r["hashes"] for r in rows), dtype=np.uint64)
     order = np.argsort(hashes, kind="stable")
     heads = np.concatenate([[0], np.flatnonzero(hashes[order][1:] != hashes[order][:-1]) + 1])
     if with_counts:
