@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialedger.llm.ledger import Chunk, distinct_places, recurring
+from medialedger.llm.store import has_member, materialize, member_bits
 from medialedger.llm.wordscan import scan_words, slices, windows
 
+_KEYED = "doc_id bigint, text string, text_key binary"
 _SPANS = "doc_id bigint, n_words bigint, n_removed bigint, text_key binary, spans array<int>"
 
 
@@ -83,10 +86,12 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Spans belong to texts, not to ids, so ids may repeat or be null.
     """
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(bits: np.ndarray, wanted: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            keys = pa.array(_text_key(part.column("text")), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), keys], names=["doc_id", "text", "text_key"])
+            keys = _text_key(part.column("text"))
+            member = has_member(bits, np.array([int.from_bytes(k[:7], "big") for k in keys], dtype=np.int64))
+            columns = [part.column("doc_id"), part.column("text"), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "text_key"]).filter(pa.array(member == wanted))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -121,10 +126,14 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             )
 
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    texts = texts.mapInArrow(keyed, "doc_id bigint, text string, text_key binary")
-    cuts = spans.filter(F.col("n_removed") > 0).select("text_key", "spans").dropDuplicates(["text_key"])
-    joined = texts.join(cuts, "text_key", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<int>")).alias("spans"))
-    return joined.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    cuts = materialize(spans.filter(F.col("n_removed") > 0).select("text_key", "spans").dropDuplicates(["text_key"]), "spans")
+    # Only texts that may lose words are shuffled to meet their spans; the filter has a fixed size and lets some others pass.
+    bits = member_bits(cuts, F.conv(F.hex(F.substring("text_key", 1, 7)), 16, 10).cast("bigint"))
+    none = F.array().cast("array<int>")
+    whole = texts.mapInArrow(partial(keyed, bits, False), _KEYED).select("doc_id", "text", none.alias("spans"))
+    met = texts.mapInArrow(partial(keyed, bits, True), _KEYED).join(cuts, "text_key", "left")
+    rows = whole.unionByName(met.select("doc_id", "text", F.coalesce("spans", none).alias("spans")))
+    return rows.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
