@@ -18,9 +18,12 @@ UNION ALL SELECT CAST(3000000 + n_nationkey AS BIGINT), 'season', CAST(2000000 +
        CAST(n_nationkey AS INT), NULL, NULL, NULL FROM nation
 UNION ALL SELECT CAST(4000000 + c_custkey AS BIGINT), 'episode', CAST(3000000 + c_nationkey AS BIGINT), c_name, NULL,
        CAST(c_nationkey AS INT), CAST(c_custkey AS INT), NULL, c_acctbal FROM customer""",
-    "source_media_refs": """SELECT id AS media_item_id, 1 AS source_id, concat('p', CAST(id AS STRING)) AS external_id, id % 5 <> 0 AS available
+    "source_media_refs": """SELECT id AS media_item_id, 1 AS source_id, concat('p', CAST(id AS STRING)) AS external_id, id % 5 <> 0 AS available, CAST(id % 12 * 2 AS BIGINT) AS library_id
   FROM media_items WHERE id % 3 <> 0
-UNION ALL SELECT id, 2, concat('j', CAST(id AS STRING)), id % 7 <> 0 FROM media_items WHERE id % 2 = 0""",
+UNION ALL SELECT id, 2, concat('j', CAST(id AS STRING)), id % 7 <> 0, CAST(id % 12 * 2 + 1 AS BIGINT) FROM media_items WHERE id % 2 = 0""",
+    "item_dates": """SELECT id, CASE WHEN id % 3 = 0 THEN concat('The ', title) END AS sort_title, CASE WHEN id % 4 = 0 THEN concat('Orig ', title) END AS original_title,
+       CASE WHEN id % 5 <> 0 THEN concat('20', lpad(CAST(id % 24 AS STRING), 2, '0')) END AS source_added_at, concat('19', lpad(CAST(id % 90 AS STRING), 2, '0')) AS created_at,
+       concat('20', lpad(CAST(id % 17 AS STRING), 2, '0')) AS updated_at FROM media_items""",
     "media_identifiers": """SELECT CAST(1000000 + p_partkey AS BIGINT) AS media_item_id, 'tmdb' AS provider,
        concat(p_name, '/', p_brand, '/', p_type) AS external_id FROM part
 UNION ALL SELECT CAST(1000000 + p_partkey AS BIGINT), 'imdb',
@@ -61,7 +64,7 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def _view(self, name: str) -> DataFrame:
-        needed = {"source_media_refs": ("media_items", name), "watch_states": ("watch_events", name)}.get(name, (name,))
+        needed = {"source_media_refs": ("media_items", name), "item_dates": ("media_items", name), "watch_states": ("watch_events", name)}.get(name, (name,))
         text = with_views(needed)
         for base in BASE:
             text = text.replace(f"FROM {base}", f"FROM parquet.`{self.folder}/{base}.parquet`")
@@ -77,4 +80,5 @@ class Tables:
     playback = cached_property(lambda self: self._view("playback_stream"))
     libraries = cached_property(lambda self: self._view("libraries"))
     runs = cached_property(lambda self: self._view("runs"))
+    item_dates = cached_property(lambda self: self._view("item_dates"))
     staged = cached_property(lambda self: self._view("staged"))

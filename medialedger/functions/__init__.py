@@ -79,9 +79,69 @@ def retired_identity(kind: str, row: Column, identity: Column) -> Column:
     return F.concat(F.lit(f"retired:{kind}:"), row.cast("string"), F.lit(":"), F.substring(F.sha2(identity, 256), 1, 16))
 
 
+NOTHING = "\u2014"
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """The fields as JSON text with sorted keys, no spaces and nulls spelled out: different values never give one text."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def signature(fields: dict[str, Column]) -> Column:
+    """SHA-256 of the canonical JSON."""
+    return F.sha2(canonical_json(fields), 256)
+
+
+def utc_iso(c: Column) -> Column:
+    """UTC text as ``2024-01-01T00:00:00+00:00``, with six decimals only where there are any."""
+    at = c.cast("timestamp")
+    whole = F.unix_micros(at) % 1_000_000 == 0
+    return F.concat(F.when(whole, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), F.lit("+00:00"))
+
+
+def event_key(source_id: Column, source_event_id: Column, media_external_id: Column, watched_at: Column, completed: Column, progress_ms: Column, duration_ms: Column, view_number: Column) -> Column:
+    """What two reports of one play share: SHA-256 of the canonical JSON of eight fields. Users and libraries are not among them.
+
+    The session's time zone is to be UTC, as for all texts of times here.
+    """
+    return signature({
+        "source_id": source_id, "source_event_id": source_event_id, "media_external_id": media_external_id, "watched_at": utc_iso(watched_at),
+        "completed": completed, "progress_ms": progress_ms, "duration_ms": duration_ms, "view_number": view_number,
+    })
+
+
+def cut(c: Column, most: int) -> Column:
+    """The first characters of a text (500 for messages, 255 for titles, 32 for names)."""
+    return F.substring(c, 1, most)
+
+
+def local_text(c: Column, zone: str) -> Column:
+    """Local day and time of a UTC time; a dash for none."""
+    return F.coalesce(F.date_format(F.from_utc_timestamp(c.cast("timestamp"), zone), "dd/MM/yyyy HH:mm"), F.lit(NOTHING))
+
+
 def duration_text(ms: Column) -> Column:
+    """``1h 05min`` or ``56 min``; a dash for none."""
     minutes = F.floor(ms / 60000)
-    return F.when(minutes >= 60, F.format_string("%dh %dmin", F.floor(minutes / 60), minutes % 60)).otherwise(F.format_string("%dmin", minutes))
+    long = F.format_string("%dh %02dmin", F.floor(minutes / 60), minutes % 60)
+    return F.when(ms.isNull(), NOTHING).when(minutes >= 60, long).otherwise(F.format_string("%d min", minutes))
+
+
+def elapsed_text(started: Column, finished: Column) -> Column:
+    """``2m 05s`` between two times, never below zero; a dash without a start."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    seconds = F.greatest(F.lit(0), F.floor((micros(finished) - micros(started)) / 1_000_000))
+    return F.when(started.isNull(), NOTHING).otherwise(F.format_string("%dm %02ds", F.floor(seconds / 60), seconds % 60))
+
+
+def is_mbid(c: Column) -> Column:
+    """The shape of a MusicBrainz id."""
+    return F.coalesce(c.rlike("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.lit(False))
+
+
+def is_numeric_id(c: Column) -> Column:
+    """The shape of a numeric provider id."""
+    return F.coalesce(c.rlike("^[0-9]+$"), F.lit(False))
 
 
 def retry_delay(attempts: Column) -> Column:

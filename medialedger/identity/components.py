@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def connected_components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFrame], DataFrame], drop: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """(node, root) for every node of an undirected edge list, root being the smallest node that can be reached.
 
     Each pass only keeps, for every node, its edges to smaller nodes and rewires them to the smallest neighbour, so no
     pass holds more edges than the input and no neighbour list is ever gathered. ``cut`` must return its argument with
-    the lineage cut (a checkpoint or a written table); it is called once a pass. Loops and repeated edges are allowed,
-    edges with a null end are dropped; a table without edges gives no rows.
+    the lineage cut (a checkpoint or a written table); it is called once a pass, and ``drop`` with the table of the pass
+    before. Loops and repeated edges are allowed, edges with a null end are dropped; a table without edges gives no rows.
     """
     current = cut(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -28,7 +28,9 @@ def connected_components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFr
         large = both.join(smallest, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        before, current = current, cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        if drop is not None:
+            drop(before)
         # Every pass keeps the components; when a pass changes nothing, each node points at its root.
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:

@@ -83,20 +83,36 @@ def ancestors(items: DataFrame) -> DataFrame:
     return of("episode").select("id", F.col("parent_id").alias("season_id")).join(seasons, "season_id").join(shows, "show_id").select("id", "season_id", "show_id")
 
 
-def target_of(plays: DataFrame, refs: DataFrame) -> DataFrame:
-    """For each (media_item_id, source_id) the one available reference of its item in another source; with none or
+def target_of(plays: DataFrame, refs: DataFrame, sources: DataFrame) -> DataFrame:
+    """For each (media_item_id, source_id) the one available reference of its item in another enabled source; with none or
     several, no row."""
-    held = refs.where("available").select("media_item_id", F.col("source_id").alias("target_source"), F.col("external_id").alias("target_external"))
+    enabled = sources.where("enabled").select(F.col("id").alias("target_source"))
+    held = refs.where("available").select("media_item_id", F.col("source_id").alias("target_source"), F.col("external_id").alias("target_external")).join(enabled, "target_source", "left_semi")
     met = plays.select("media_item_id", "source_id").distinct().join(held, "media_item_id").where("target_source <> source_id")
     best = met.groupBy("media_item_id", "source_id").agg(F.count("*").alias("n"), F.min(F.struct("target_source", "target_external")).alias("t"))
     return best.where("n = 1").select("media_item_id", "source_id", "t.*")
 
 
 def arrived(pending: DataFrame, refs: DataFrame) -> DataFrame:
-    """Pending plays whose item has come into the catalog; the others stay pending."""
+    """Pending plays whose item has come into the catalog; the others stay pending."""
     return pending.join(refs.select("source_id", "external_id", "media_item_id").distinct(), ["source_id", "external_id"])
 
 
+def replayed(pending: DataFrame, refs: DataFrame, libraries: DataFrame) -> DataFrame:
+    """Completed pending notifications (id, source_id, external_id, occurred_at) whose item has arrived, as events to persist.
+
+    Their identity is ``webhook:<id>``, so a replay changes nothing. The library is that of the reference, or where it has none the
+    source's library with the lowest id.
+    """
+    lowest = libraries.groupBy("source_id").agg(F.min("id").alias("_lowest"))
+    known = refs.groupBy("source_id", "external_id").agg(F.min("media_item_id").alias("media_item_id"), F.min("library_id").alias("library_id"))
+    rows = pending.where("completed").join(known, ["source_id", "external_id"]).join(lowest, "source_id", "left")
+    return rows.select(
+        F.col("id").alias("seq"), "source_id", F.col("external_id").alias("media_external_id"), F.coalesce("library_id", "_lowest").alias("library_id"), "media_item_id",
+        F.concat(F.lit("webhook:"), F.col("id").cast("string")).alias("source_event_id"), F.col("occurred_at").alias("watched_at"), F.lit(True).alias("completed"),
+    )
+
+
 def hierarchy_merge(items: DataFrame, shows: DataFrame) -> DataFrame:
     """(season, target, action) for the seasons of losing shows (``media_item_id`` -> ``winner_id``).
 
@@ -110,6 +126,27 @@ def hierarchy_merge(items: DataFrame, shows: DataFrame) -> DataFrame:
     return rows.select("season_id", F.when(one, F.col("match")).otherwise(F.col("winner_id")).alias("target_id"), F.when(one, "merge").otherwise("reparent").alias("action"))
 
 
+def episode_merge(items: DataFrame, identifiers: DataFrame, refs: DataFrame, seasons: DataFrame) -> DataFrame:
+    """(episode_id, target_id, action) for the episodes of merged seasons (season_id -> target_id with action merge).
+
+    An episode is merged into the one episode of the winner's season that shares an identifier with it, if no source holds both;
+    else it is reparented to the winner's season.
+    """
+    moved = seasons.where("action = 'merge'").select(F.col("season_id").alias("parent_id"), F.col("target_id").alias("winner_season"))
+    episodes = items.where("kind = 'episode'").select(F.col("id").alias("episode_id"), "parent_id")
+    lost = episodes.join(moved, "parent_id").select("episode_id", "winner_season")
+    ids = identifiers.select(F.col("media_item_id").alias("episode_id"), "provider", "external_id").distinct()
+    theirs = items.select(F.col("id").alias("match_id"), F.col("parent_id").alias("winner_season")).join(ids.withColumnRenamed("episode_id", "match_id"), "match_id")
+    shared = lost.join(ids, "episode_id").join(theirs, ["winner_season", "provider", "external_id"])
+    one = shared.groupBy("episode_id").agg(F.min("match_id").alias("match_id"), F.max("match_id").alias("high")).where("match_id = high").select("episode_id", "match_id")
+    held = refs.select("media_item_id", "source_id").distinct()
+    both = one.join(held.withColumnRenamed("media_item_id", "episode_id"), "episode_id").join(held.withColumnRenamed("media_item_id", "match_id"), ["match_id", "source_id"])
+    safe = one.join(both.select("episode_id").distinct(), "episode_id", "left_anti")
+    rows = lost.join(safe, "episode_id", "left")
+    merged = F.col("match_id").isNotNull()
+    return rows.select("episode_id", F.coalesce("match_id", "winner_season").alias("target_id"), F.when(merged, "merge").otherwise("reparent").alias("action"))
+
+
 def fill_missing(items: DataFrame, plan: DataFrame, fields: list[str]) -> DataFrame:
     """Winners with null fields taken from their losers, the smallest loser that has a value first; losers are dropped."""
     lost = items.join(plan.select(F.col("media_item_id").alias("id"), "winner_id"), "id")

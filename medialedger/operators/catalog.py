@@ -131,24 +131,25 @@ def deduplicated(rows: DataFrame, identifiers: DataFrame, order: list[Column]) -
         F.concat_ws("\x1f", "kind", F.lower(F.trim("title")), F.coalesce(F.col("year").cast("string"), F.lit("")))
     )
     keyed = rows.join(best, "id", "left").withColumn("key", key)
-    first = keyed.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(*order))).where("r = 1")
     content = [c for c in rows.columns if c not in ("on_plex", "on_jellyfin")]
-    merged = keyed.groupBy("key").agg(
-        F.min_by(F.struct(*content), "id").alias("c"), F.bool_or("on_plex").alias("on_plex"), F.bool_or("on_jellyfin").alias("on_jellyfin")
+    # The window and the aggregate share one shuffle by key.
+    merged = keyed.withColumn("_place", F.row_number().over(W.partitionBy("key").orderBy(*order))).groupBy("key").agg(
+        F.min_by(F.struct(*content), "id").alias("c"), F.min_by("id", "_place").alias("placed_by"), F.bool_or("on_plex").alias("on_plex"), F.bool_or("on_jellyfin").alias("on_jellyfin")
     )
-    place = first.select("key", F.struct(*[F.col(c) for c in content]).alias("place"))
-    return merged.join(place, "key").select("c.*", "on_plex", "on_jellyfin", F.col("place.id").alias("placed_by"))
+    return merged.select("c.*", "on_plex", "on_jellyfin", "placed_by")
 
 
+#: Each sort key of the catalog with the columns it takes, the first that has a value.
 SORT_KEYS = {
-    "title": "title", "year": "year", "last_played": "last_played", "first_played": "first_completed",
-    "play_count": "completion_count", "duration": "duration_ms", "rating": "audience_rating",
+    "title": ("sort_title", "title"), "original_title": ("original_title", "title"), "year": ("year",), "last_played": ("last_played",),
+    "first_played": ("first_completed",), "play_count": ("completion_count",), "added": ("source_added_at", "created_at"), "updated": ("updated_at",),
+    "removed": ("removed_at",), "duration": ("duration_ms",), "rating": ("audience_rating",),
 }
 
 
 def sort_order(key: str, descending: bool) -> list[Column]:
-    """Nulls last both ways, ties by title and id."""
-    c = F.col(SORT_KEYS[key])
+    """Nulls last both ways, ties by title and id; the rows need the columns of the key in ``SORT_KEYS``."""
+    c = F.coalesce(*SORT_KEYS[key])
     return [c.desc_nulls_last() if descending else c.asc_nulls_last(), F.col("title").asc_nulls_last(), F.col("id").asc()]
 
 
@@ -178,24 +179,36 @@ def container_progress(items: DataFrame, events: DataFrame, states: DataFrame) -
 
 
 def container_states(items: DataFrame, events: DataFrame, states: DataFrame, refs: DataFrame) -> DataFrame:
-    """Per source, the state of each season and show from its available episodes.
+    """Per source and library, the state of each season and show from its episodes available there.
 
-    A container's count is the smallest of its children, 0 if any was never completed; the last play is kept anyway.
+    A child counts the larger of its state's count and its completed events; a container's count is the smallest of its
+    children, 0 if any was never played; the last play is kept anyway.
     """
     e = events.where("completed").groupBy("media_item_id", "source_id").agg(F.count("*").alias("n"), F.max("watched_at").alias("t"))
-    s = states.where("completed").select("media_item_id", "source_id", "view_count", "last_watched_at")
+    s = states.select("media_item_id", "source_id", "view_count", "last_watched_at")
     key = ["media_item_id", "source_id"]
     leaf = items.where("kind IN ('episode', 'track')").select(F.col("id").alias("media_item_id"), "parent_id")
-    child = refs.where("available").select(*key).join(leaf, "media_item_id").join(e, key, "left").join(s, key, "left")
+    child = refs.where("available").select(*key, "library_id").distinct().join(leaf, "media_item_id").join(e, key, "left").join(s, key, "left")
     child = child.select(
-        "source_id", "parent_id", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("view_count", F.lit(0))).alias("plays"), F.greatest("t", "last_watched_at").alias("last")
+        "source_id", "library_id", "parent_id", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("view_count", F.lit(0))).alias("plays"), F.greatest("t", "last_watched_at").alias("last")
     )
     up = items.select(F.col("id").alias("parent_id"), F.col("parent_id").alias("grandparent_id"))
-    rows = child.join(up, "parent_id").select("source_id", F.explode(F.array_compact(F.array("parent_id", "grandparent_id"))).alias("media_item_id"), "plays", "last")
-    done = rows.groupBy("media_item_id", "source_id").agg(F.greatest(F.min("plays"), F.lit(0)).cast("bigint").alias("view_count"), F.max("last").alias("last_watched_at"))
+    rows = child.join(up, "parent_id").select("source_id", "library_id", F.explode(F.array_compact(F.array("parent_id", "grandparent_id"))).alias("media_item_id"), "plays", "last")
+    done = rows.groupBy("media_item_id", "source_id", "library_id").agg(F.greatest(F.min("plays"), F.lit(0)).cast("bigint").alias("view_count"), F.max("last").alias("last_watched_at"))
     return done.withColumn("completed", F.col("view_count") > 0)
 
 
+def rebuild_container_states(items: DataFrame, events: DataFrame, states: DataFrame, refs: DataFrame, source_id: int, library_id: int, observed_at: object) -> DataFrame:
+    """``states`` after the containers of one library were derived anew: their progress is null, all others stay."""
+    new = container_states(items, events, states, refs.where((F.col("source_id") == source_id) & (F.col("library_id") == library_id)))
+    kept = states.join(new.select("media_item_id", "source_id"), ["media_item_id", "source_id"], "left_anti")
+    rows = new.select(
+        "media_item_id", "source_id", F.col("view_count").cast(states.schema["view_count"].dataType).alias("view_count"), "last_watched_at", "completed",
+        F.lit(None).cast(states.schema["progress_ms"].dataType).alias("progress_ms"), F.lit(observed_at).cast(states.schema["observed_at"].dataType).alias("observed_at"),
+    )
+    return kept.select(*rows.columns).unionByName(rows)
+
+
 def latest_state(states: DataFrame) -> DataFrame:
     """The latest state row of each item; ties by source, the highest first."""
     w = W.partitionBy("media_item_id").orderBy(F.col("last_watched_at").desc_nulls_last(), F.desc("source_id"))
@@ -203,8 +216,9 @@ def latest_state(states: DataFrame) -> DataFrame:
 
 
 def media(items: DataFrame, refs: DataFrame, states: DataFrame, kind: str | None = None, parent_id: int | None = None, year: int | None = None, title: str | None = None,
-          available: bool | None = None, watched: bool | None = None, source_id: int | None = None) -> DataFrame:
-    """items by field; ``available`` and ``watched`` ask for a reference or state with that very value."""
+          available: bool | None = None, watched: bool | None = None, library_id: int | None = None, after_id: int | None = None, size: int | None = None) -> DataFrame:
+    """items by field; ``available`` and ``watched`` ask for a reference or state with that very value (F09), ``library_id``
+    for a reference in that library. With ``size`` the page after ``after_id`` in order of id, and one row more."""
     rows = items
     for c, v in (("kind", kind), ("parent_id", parent_id), ("year", year)):
         rows = rows.where(F.col(c) == v) if v is not None else rows
@@ -214,20 +228,27 @@ def media(items: DataFrame, refs: DataFrame, states: DataFrame, kind: str | None
         rows = rows.join(own(refs.where(F.col("available") == available)), "id", "left_semi")
     if watched is not None:
         rows = rows.join(own(states.where(F.col("completed") == watched)), "id", "left_semi")
-    return rows.join(own(refs.where(F.col("source_id") == source_id)), "id", "left_semi") if source_id is not None else rows
+    rows = rows.join(own(refs.where(F.col("library_id") == library_id)), "id", "left_semi") if library_id is not None else rows
+    rows = rows.where(F.col("id") > after_id) if after_id is not None else rows
+    return rows.orderBy("id").limit(size + 1) if size is not None else rows
 
 
 def watch_events(events: DataFrame, items: DataFrame, refs: DataFrame, kind: str | None = None, source_id: int | None = None, completed: bool | None = None,
-                 in_source: int | None = None, since: object = None, until: object = None) -> DataFrame:
-    """Events by source, kind, completion, half-open time range and the sources that list their item."""
+                 library_id: int | None = None, since: object = None, until: object = None, media_id: int | None = None, before_id: int | None = None, size: int | None = None) -> DataFrame:
+    """Events by item, source, kind, completion, half-open time range and a library that lists their item.
+
+    With ``size`` the newest of those with an id below ``before_id``, ties by id, and one row more.
+    """
     rows = events
-    for c, v in (("source_id", source_id), ("completed", completed)):
+    for c, v in (("source_id", source_id), ("completed", completed), ("media_item_id", media_id)):
         rows = rows.where(F.col(c) == v) if v is not None else rows
     rows = rows.where(F.col("watched_at") >= F.lit(since)) if since is not None else rows
     rows = rows.where(F.col("watched_at") < F.lit(until)) if until is not None else rows
     if kind:
         rows = rows.join(items.where(F.col("kind") == kind).select(F.col("id").alias("media_item_id")), "media_item_id", "left_semi")
-    return rows.join(refs.where(F.col("source_id") == in_source).select("media_item_id"), "media_item_id", "left_semi") if in_source is not None else rows
+    rows = rows.join(refs.where(F.col("library_id") == library_id).select("media_item_id"), "media_item_id", "left_semi") if library_id is not None else rows
+    rows = rows.where(F.col("id") < before_id) if before_id is not None else rows
+    return rows.orderBy(F.desc("watched_at"), F.desc("id")).limit(size + 1) if size is not None else rows
 
 
 def series_titles(items: DataFrame) -> DataFrame:
@@ -240,3 +261,9 @@ def series_titles(items: DataFrame) -> DataFrame:
 def keep_last(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The last ``n`` rows of each group."""
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def ordered_children(items: DataFrame) -> DataFrame:
+    """Each child with its place under its parent, by disc, track, episode and id, those without a number first."""
+    w = W.partitionBy("parent_id").orderBy("disc_number", "track_number", "episode_number", "id")
+    return items.where("parent_id IS NOT NULL").withColumn("place", F.row_number().over(w).cast("bigint"))

@@ -16,6 +16,12 @@ def missing_any(fields: list[str]) -> Column:
     return F.greatest(*[F.col(c).isNull() for c in fields], F.lit(False))
 
 
+def incomplete(items: DataFrame, fields: list[str], images: DataFrame) -> DataFrame:
+    """items that miss one of the fields or a poster."""
+    held = posters(images).select(F.col("media_item_id").alias("id")).withColumn("_has", F.lit(True))
+    return items.join(held, "id", "left").where(missing_any(fields) | F.col("_has").isNull()).select(*items.columns)
+
+
 def candidates(items: DataFrame, identifiers: DataFrame, records: DataFrame, fields: list[str], images: DataFrame | None = None) -> DataFrame:
     """Identifiers of items that miss a field (with ``images`` also a poster) and were not answered yet, with
     ``attempts`` and ``checked_at`` so far.

@@ -2,36 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from medialedger import functions as fn
+from medialedger import tables
 
 GAP_SECONDS = 120
 EVENT = ("media_item_id", "source_id", "source_event_id", "dedup_key", "watched_at", "completed", "progress_ms", "duration_ms", "view_number", "playback_user", "origin")
 
 
-def without_near_duplicates(events: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
+def without_near_duplicates(events: DataFrame, gap_seconds: int = GAP_SECONDS, slice_seconds: int = 86_400) -> DataFrame:
     """Completed events of which none lies within the gap (inclusive) of an earlier kept one of its item.
 
-    Order is (watched_at, source_id, id). A gap to the event before starts an island; islands are independent, so each is
-    folded by itself over times alone, and a busy item is spread over its islands.
+    Order is (watched_at, source_id, id). An item's time is cut into slices, which are folded by themselves, so a busy item is
+    spread over its slices; of plays at one time only the first is carried along. Where the first play of a slice lies within the
+    gap of the last one before, the slices are folded again with what the one before kept last, until nothing changes: mostly
+    once or twice, at worst as often as one chain of such plays has slices. A slice's times (8 bytes each) are held by one task.
     """
+    gap, width = gap_seconds * 1_000_000, slice_seconds * 1_000_000
+    key = ["media_item_id", "slice"]
     micros = F.unix_micros(F.col("watched_at").cast("timestamp"))
     rows = events.where("completed").select("id", "media_item_id", "source_id", "watched_at", micros.alias("t"))
-    by_item = W.partitionBy("media_item_id").orderBy("t", "source_id", "id")
-    starts = F.coalesce((F.col("t") - F.lag("t").over(by_item) > gap_seconds * 1_000_000).cast("int"), F.lit(1))
-    islands = rows.withColumn("s", starts).withColumn("island", F.sum("s").over(by_item))
-    grouped = islands.groupBy("media_item_id", "island").agg(F.array_sort(F.collect_list(F.struct("t", "source_id", "id", "watched_at"))).alias("e"))
-    first = F.element_at("e", 1)
-    kept = F.aggregate(
-        F.slice("e", F.lit(2), F.size("e")),
-        F.struct(first["t"].alias("last"), F.array(first).alias("kept")),
-        lambda acc, x: F.when(x["t"] - acc["last"] > gap_seconds * 1_000_000, F.struct(x["t"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc),
-    )
-    out = grouped.select("media_item_id", F.explode(kept["kept"]).alias("k"))
-    return out.select(F.col("k.id").alias("id"), "media_item_id", F.col("k.source_id").alias("source_id"), F.col("k.watched_at").alias("watched_at"))
+    first = rows.groupBy("media_item_id", "t").agg(F.min(F.struct("source_id", "id", "watched_at")).alias("e")).withColumn("slice", F.floor(F.col("t") / width))
+    held = first.groupBy(*key).agg(F.sort_array(F.collect_list("t")).alias("ts"))
+
+    def folded(last: Column) -> Column:
+        """(the times kept, the last of them) after a play that was kept at ``last`` (null: none)."""
+        start = F.struct(last.alias("last"), F.array().cast("array<bigint>").alias("kept"))
+        far = lambda acc, t: acc["last"].isNull() | (t - acc["last"] > gap)
+        return F.aggregate("ts", start, lambda acc, t: F.when(far(acc, t), F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc))
+
+    by_item = W.partitionBy("media_item_id").orderBy("slice")
+    near = F.coalesce(F.element_at("ts", 1) - F.lag(F.element_at("ts", -1)).over(by_item) <= gap, F.lit(False))
+    none = F.lit(None).cast("bigint")
+    slices = tables.written(held.withColumn("near", near).withColumn("carried", none).withColumn("last", folded(none)["last"]))
+    while True:
+        # Only what a slice before kept last can change a slice that begins near it.
+        carried = F.when(F.col("near"), F.lag("last").over(by_item))
+        moved = slices.withColumn("now", carried)
+        if moved.where("NOT now <=> carried").isEmpty():
+            break
+        again = moved.select(*key, "ts", "near", F.col("now").alias("carried"), F.when(F.col("now").eqNullSafe(F.col("carried")), F.col("last")).otherwise(folded(F.col("now"))["last"]).alias("last"))
+        before, slices = slices, tables.written(again)
+        tables.discard(before)
+    kept = slices.select("media_item_id", F.explode(folded(F.col("carried"))["kept"]).alias("t"))
+    out = first.join(kept, ["media_item_id", "t"])
+    return out.select(F.col("e.id").alias("id"), "media_item_id", F.col("e.source_id").alias("source_id"), F.col("e.watched_at").alias("watched_at"))
 
 
 def persist_events(stored: DataFrame, batch: DataFrame, refs: DataFrame, gap_seconds: int = GAP_SECONDS) -> tuple[DataFrame, DataFrame]:
@@ -43,8 +61,8 @@ def persist_events(stored: DataFrame, batch: DataFrame, refs: DataFrame, gap_sec
     dedup_key are dropped, and events within the gap of a stored one of their item; what is left is folded by itself.
     """
     known = refs.select("source_id", F.col("external_id").alias("media_external_id"), "media_item_id")
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("source_id", "source_event_id", "media_external_id", "watched_at", "completed", "progress_ms", "duration_ms", "view_number")]
-    rows = batch.where("completed").join(known, ["source_id", "media_external_id"], "left").withColumn("dedup_key", fn.key_hash(*parts, sep="\x1f"))
+    parts = [F.col(c) for c in ("source_id", "source_event_id", "media_external_id", "watched_at", "completed", "progress_ms", "duration_ms", "view_number")]
+    rows = batch.where("completed").join(known, ["source_id", "media_external_id"], "left").withColumn("dedup_key", fn.event_key(*parts))
     unknown = rows.where("media_item_id IS NULL").withColumn("message", F.lit("unknown media"))
     rows = rows.where("media_item_id IS NOT NULL")
     identity = ["source_id", "source_event_id"]
@@ -100,12 +118,13 @@ def refresh_states(states: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def mark_missing(refs: DataFrame, seen: DataFrame, now: object, complete: bool = True) -> DataFrame:
-    """References not seen by a complete scan become unavailable, from now on if they were available."""
+def mark_missing(refs: DataFrame, seen: DataFrame, now: object, library_id: int, complete: bool = True) -> DataFrame:
+    """References of one library that its complete scan did not see become unavailable, from now on if they were
+    available. ``seen`` has the external ids of that scan; references of all other libraries stay as they are."""
     if not complete:
         return refs
-    found = refs.join(seen.select("source_id", "external_id").distinct().withColumn("_seen", F.lit(True)), ["source_id", "external_id"], "left")
-    gone = F.col("_seen").isNull()
+    found = refs.join(seen.select("external_id").distinct().withColumn("_seen", F.lit(True)), "external_id", "left")
+    gone = F.col("_seen").isNull() & (F.col("library_id") == library_id)
     columns = [c for c in refs.columns if c not in ("available", "unavailable_since")]
     since = F.col("unavailable_since") if "unavailable_since" in refs.columns else F.lit(None).cast("timestamp_ntz")
     return found.select(
@@ -116,7 +135,7 @@ def mark_missing(refs: DataFrame, seen: DataFrame, now: object, complete: bool =
 
 def classify(batch: DataFrame, refs: DataFrame, fields: list[str]) -> DataFrame:
     """Each staged item as inserted, updated or unchanged against the stored references, by a hash of its fields."""
-    signature = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(fields)]), 256)
+    signature = fn.signature({c: F.col(c) for c in fields})
     old = refs.select("source_id", "external_id", F.col("raw_hash").alias("_old"))
     rows = batch.withColumn("raw_hash", signature).join(old, ["source_id", "external_id"], "left")
     kind = F.when(F.col("_old").isNull(), "inserted").when(F.col("_old") == F.col("raw_hash"), "unchanged").otherwise("updated")

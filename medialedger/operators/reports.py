@@ -78,6 +78,44 @@ def source_rows(sources: DataFrame, secret: str = "secret") -> DataFrame:
     return sources.withColumn("has_secret", F.coalesce(F.length(F.trim(F.col(secret))) > 0, F.lit(False))).drop(secret)
 
 
+def library_rows(libraries: DataFrame) -> DataFrame:
+    """Libraries as they are listed."""
+    return libraries.select("id", "source_id", "external_id", "name", "media_type", "enabled", "available")
+
+
+RUN_TIMES = ("started_at", "finished_at", "heartbeat_at", "created_at", "updated_at")
+
+
+def run_rows(runs: DataFrame) -> DataFrame:
+    """Runs with their times as UTC text."""
+    return runs.select(*[fn.utc_text(F.col(c)).alias(c) if c in RUN_TIMES else F.col(c) for c in runs.columns])
+
+
+def run_detail(runs: DataFrame, run_libraries: DataFrame, errors: DataFrame, checkpoints: DataFrame, run_id: int) -> dict[str, DataFrame]:
+    """One run: its row, its libraries by id, its first 100 errors and the checkpoints of its libraries."""
+    own = run_libraries.where(F.col("run_id") == run_id)
+    return {
+        "run": run_rows(runs.where(F.col("id") == run_id)), "libraries": own.orderBy("id"), "errors": top_errors(errors.where(F.col("run_id") == run_id)),
+        "checkpoints": checkpoints.join(own.select("library_id").distinct(), "library_id", "left_semi").orderBy("library_id"),
+    }
+
+
+def media_detail(page: DataFrame, items: DataFrame, identifiers: DataFrame, refs: DataFrame, events: DataFrame) -> DataFrame:
+    """For the items of a page (``id``): children, identifiers and references in order, and how many events are known."""
+    ids = page.select("id").distinct()
+    own = lambda df, c="media_item_id": df.withColumn("id", F.col(c)).join(ids, "id", "left_semi")
+    listed = lambda df, name, *c: df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
+    below = items.select(F.col("id").alias("child_id"), "kind", "title", "season_number", "episode_number", F.col("parent_id").alias("id")).join(ids, "id", "left_semi")
+    known = own(events).groupBy("id").agg(F.count("*").alias("known_event_count"))
+    rows = items.join(ids, "id", "left_semi")
+    for part in (
+        listed(below, "children", "child_id", "kind", "title", "season_number", "episode_number"), listed(own(identifiers), "identifiers", "provider", "external_id"),
+        listed(own(refs), "references", "source_id", "library_id", "external_id", "available"), known,
+    ):
+        rows = rows.join(part, "id", "left")
+    return rows.withColumn("known_event_count", F.coalesce("known_event_count", F.lit(0)))
+
+
 def event_rows(events: DataFrame) -> DataFrame:
     """Events with times as UTC text."""
     return events.select("id", "media_item_id", "source_id", fn.utc_text(F.col("watched_at")).alias("watched_at"), "completed")
@@ -89,11 +127,12 @@ def top_errors(errors: DataFrame, n: int = 100, last: str = "regression") -> Dat
 
 
 def cross_kind_identifiers(items: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """Identifiers of two or more items: how many, and the items as sorted ``id:kind:title`` texts."""
-    own = identifiers.join(items.select(F.col("id").alias("media_item_id"), "kind", "title"), "media_item_id")
+    """Identifiers of two or more items: how many, and one row for each of these items with its ``id:kind:title``."""
+    own = identifiers.select("provider", "external_id", "media_item_id").distinct()
+    several = own.groupBy("provider", "external_id").agg(F.count("*").alias("n")).where("n > 1")
     label = F.concat_ws(":", F.col("media_item_id").cast("string"), "kind", "title")
-    rows = own.groupBy("provider", "external_id").agg(F.array_sort(F.collect_set(label)).alias("media"))
-    return rows.where(F.size("media") > 1).select("provider", "external_id", F.size("media").cast("bigint").alias("n"), "media")
+    rows = own.join(several, ["provider", "external_id"]).join(items.select(F.col("id").alias("media_item_id"), "kind", "title"), "media_item_id")
+    return rows.select("provider", "external_id", "n", label.alias("media"))
 
 
 def history_only_lookalikes(items: DataFrame, refs: DataFrame) -> DataFrame:
@@ -114,10 +153,35 @@ def removed_at(refs: DataFrame) -> DataFrame:
 
 
 def counters(rows: DataFrame, by: str, names: list[str]) -> DataFrame:
-    """One row with the number of rows read and of each outcome."""
+    """One row with the number of rows read and of each outcome."""
     return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col(by) == n).alias(n) for n in names])
 
 
+def import_counters(files: int, plays: DataFrame, matched: DataFrame, created: DataFrame, new_identifiers: DataFrame, inserted: DataFrame, already: DataFrame) -> DataFrame:
+    """The twelve counters of a bulk import as one row.
+
+    ``plays`` has all read plays with ``reason`` (null: valid), ``matched`` (id, media_item_id, ambiguous), ``created`` the new
+    items with ``kind``; the others are counted as they are.
+    """
+    one = lambda df, **c: df.agg(*[x.cast("bigint").alias(n) for n, x in c.items()])
+    is_kind = lambda *k: F.count_if(F.col("kind").isin(*k))
+    parts = [
+        one(plays, events_read=F.count("*"), events_valid=F.count_if(F.col("reason").isNull()), invalid_events=F.count("reason")),
+        one(matched, media_matched=F.count("media_item_id"), ambiguous_events=F.count_if("ambiguous")),
+        one(created, media_created=is_kind("movie", "episode"), shows_created=is_kind("show"), seasons_created=is_kind("season")),
+        one(new_identifiers, identifiers_added=F.count("*")), one(inserted, events_inserted=F.count("*")), one(already, events_already_imported=F.count("*")),
+    ]
+    row = parts[0].withColumn("history_files", F.lit(files).cast("bigint"))
+    for part in parts[1:]:  # each is one row
+        row = row.crossJoin(F.broadcast(part))
+    return row
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of one row as a JSON file in a folder of its own."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def progress(scanned: Column, total: Column) -> Column:
     """Whole percent of a running scan, 1 to 99; 1 without a total."""
     return F.greatest(F.lit(1), F.least(F.lit(99), F.coalesce(F.floor(scanned * 100 / F.nullif(total, F.lit(0))), F.lit(1)))).cast("int")

@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialedger import functions as fn
 from medialedger import quality
-from medialedger.adapters import Tables, with_views
+from medialedger.adapters import Tables
 from medialedger.identity import matching, merge
 from medialedger.operators import catalog, enrichment, ingest, ledger, reports
-
-NOW = datetime(2024, 1, 1)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str) -> Callable:
-    """Add a query; ``sql`` follows the views, so it may start with further ones."""
-
-    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
-        ORACLES[name] = f"{with_views()}\n{sql}"
-        return f
-
-    return add
+from medialedger.plans.registry import NOW, register
 
 
 def ntz(text: str) -> Column:
@@ -83,10 +68,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @register("j02_item_references", """SELECT r.media_item_id, r.external_id, s.connector_type, l.name AS library FROM source_media_refs r JOIN src s ON s.id = r.source_id
-JOIN libraries l ON l.id = r.media_item_id % 25""")
+JOIN libraries l ON l.id = r.library_id""")
 def _(t: Tables) -> DataFrame:
-    refs = t.refs.withColumn("library_id", F.col("media_item_id") % 25)
-    return reports.item_references(refs, t.sources, t.libraries).select("media_item_id", "external_id", "connector_type", "library")
+    return reports.item_references(t.refs, t.sources, t.libraries).select("media_item_id", "external_id", "connector_type", "library")
 
 
 @register("n04_recent_by_item", """, p AS (SELECT id FROM media_items WHERE kind = 'movie' ORDER BY title, id LIMIT 50)
@@ -116,10 +100,10 @@ def _(t: Tables) -> DataFrame:
     return reports.top_errors(bad.select("id", F.when(F.array_contains("reasons", "duration"), "invalid").otherwise("regression").alias("category")))
 
 
-@register("a18_identifier_report", """SELECT d.provider, d.external_id, count(DISTINCT i.id) AS n, array_to_string(list_sort(list(DISTINCT concat_ws(':', CAST(i.id AS VARCHAR), i.kind, i.title))), ',') AS media
-FROM media_identifiers d JOIN media_items i ON i.id = d.media_item_id GROUP BY d.provider, d.external_id HAVING count(DISTINCT i.id) > 1""")
+@register("a18_identifier_report", """, d AS (SELECT DISTINCT provider, external_id, media_item_id FROM media_identifiers), n AS (SELECT provider, external_id, count(*) AS n FROM d GROUP BY ALL HAVING count(*) > 1)
+SELECT d.provider, d.external_id, n.n, concat_ws(':', CAST(i.id AS VARCHAR), i.kind, i.title) AS media FROM d JOIN n USING (provider, external_id) JOIN media_items i ON i.id = d.media_item_id""")
 def _(t: Tables) -> DataFrame:
-    return reports.cross_kind_identifiers(t.items, t.identifiers).withColumn("media", F.array_join("media", ","))
+    return reports.cross_kind_identifiers(t.items, t.identifiers)
 
 
 @register("a21_history_only_lookalikes", """, k AS (SELECT i.id, i.kind, lower(trim(i.title)) AS title_key, i.year, i.id IN (SELECT media_item_id FROM source_media_refs) AS held FROM media_items i WHERE title IS NOT NULL)
@@ -129,9 +113,9 @@ def _(t: Tables) -> DataFrame:
     return reports.history_only_lookalikes(t.items, t.refs)
 
 
-@register("l02_removed_order", "SELECT media_item_id, max(CASE WHEN available AND media_item_id % 4 = 0 THEN TIMESTAMP '2024-01-01' END) AS removed_at FROM source_media_refs GROUP BY media_item_id")
+@register("l02_removed_order", "SELECT media_item_id, max(CASE WHEN available AND media_item_id % 4 = 0 AND library_id = 8 THEN TIMESTAMP '2024-01-01' END) AS removed_at FROM source_media_refs GROUP BY media_item_id")
 def _(t: Tables) -> DataFrame:
-    return reports.removed_at(ledger.mark_missing(t.refs, t.refs.where("media_item_id % 4 <> 0"), NOW))
+    return reports.removed_at(ledger.mark_missing(t.refs, t.refs.where("media_item_id % 4 <> 0"), NOW, 8))
 
 
 def classified(t: Tables) -> DataFrame:
@@ -204,9 +188,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @register("j19_targets", """SELECT e.media_item_id, e.source_id, min(r.source_id) AS target_source, min(r.external_id) AS target_external FROM (SELECT DISTINCT media_item_id, source_id FROM watch_events WHERE completed) e
-JOIN source_media_refs r ON r.media_item_id = e.media_item_id AND r.source_id <> e.source_id AND r.available GROUP BY e.media_item_id, e.source_id HAVING count(*) = 1""")
+JOIN source_media_refs r ON r.media_item_id = e.media_item_id AND r.source_id <> e.source_id AND r.available AND r.source_id = 2 GROUP BY e.media_item_id, e.source_id HAVING count(*) = 1""")
 def _(t: Tables) -> DataFrame:
-    return matching.target_of(t.events.where("completed"), t.refs)
+    return matching.target_of(t.events.where("completed"), t.refs, t.sources.withColumn("enabled", F.col("id") == 2))
 
 
 @register("m25_hierarchy_merge", """, lost AS (SELECT id AS season_id, season_number FROM media_items WHERE kind = 'season' AND parent_id <> 2000000),
@@ -327,7 +311,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @register("m21_retired_refs", """SELECT media_item_id, source_id, CASE WHEN source_id = 2 THEN concat('retired:ref:', CAST(media_item_id AS VARCHAR), ':', substring(sha256(external_id), 1, 16)) ELSE external_id END AS external_id,
-source_id <> 2 AND available AS available, CASE WHEN source_id = 2 AND available THEN TIMESTAMP '2024-01-01' END AS unavailable_since FROM source_media_refs""")
+library_id, source_id <> 2 AND available AS available, CASE WHEN source_id = 2 AND available THEN TIMESTAMP '2024-01-01' END AS unavailable_since FROM source_media_refs""")
 def _(t: Tables) -> DataFrame:
     return ingest.retire_source(t.refs, 2, NOW)
 

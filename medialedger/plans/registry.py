@@ -13,7 +13,7 @@ from medialedger import quality
 from medialedger.adapters import Tables, with_views
 from medialedger.identity import merge
 from medialedger.tables import written
-from medialedger.operators import catalog, ledger
+from medialedger.operators import catalog, ledger, reports
 from medialedger.streaming import playback
 
 NOW = datetime(2024, 1, 1)
@@ -116,9 +116,26 @@ def _(t: Tables) -> DataFrame:
     return full_catalog(t, available="unavailable").select("id", "title")
 
 
-@register("l01_catalog_sorted_page", f"{CATALOG} SELECT id, title, completion_count FROM cat ORDER BY completion_count DESC NULLS LAST, title ASC NULLS LAST, id LIMIT 41")
-def _(t: Tables) -> DataFrame:
-    return catalog.page(full_catalog(t), catalog.sort_order("play_count", True), 1, 40).select("id", "title", "completion_count")
+SORTS = {
+    "title": "coalesce(d.sort_title, c.title)", "original_title": "coalesce(d.original_title, c.title)", "year": "c.year", "last_played": "c.last_played", "first_played": "c.first_completed",
+    "play_count": "c.completion_count", "added": "coalesce(d.source_added_at, d.created_at)", "updated": "d.updated_at", "removed": "r.removed_at", "duration": "c.duration_ms", "rating": "c.audience_rating",
+}
+
+
+def sorted_page(key: str, descending: bool) -> None:
+    way = "DESC" if descending else "ASC"
+    sql = f"""{CATALOG}, r AS (SELECT media_item_id AS id, max(CASE WHEN NOT available THEN CAST(media_item_id % 97 AS INTEGER) END) AS removed_at FROM source_media_refs GROUP BY media_item_id)
+SELECT c.id, c.title, c.completion_count FROM cat c JOIN item_dates d USING (id) LEFT JOIN r USING (id) ORDER BY {SORTS[key]} {way} NULLS LAST, c.title ASC NULLS LAST, c.id LIMIT 41"""
+
+    @register(f"l01_sorted_by_{key}", sql)
+    def _(t: Tables) -> DataFrame:
+        gone = t.refs.where("NOT available").groupBy(F.col("media_item_id").alias("id")).agg(F.max((F.col("media_item_id") % 97).cast("int")).alias("removed_at"))
+        rows = full_catalog(t).join(t.item_dates, "id").join(gone, "id", "left")
+        return catalog.page(rows, catalog.sort_order(key, descending), 1, 40).select("id", "title", "completion_count")
+
+
+for number, sort_key in enumerate(SORTS):
+    sorted_page(sort_key, number % 2 == 0)
 
 
 @register("n06_catalog_deduplicated", f"""{CATALOG}, best AS (SELECT media_item_id, first(provider ORDER BY o, external_id) AS provider, first(external_id ORDER BY o, external_id) AS external_id FROM
@@ -127,7 +144,7 @@ keyed AS (SELECT c.*, concat(c.kind, '~', CASE WHEN b.provider IS NOT NULL THEN
   FROM cat c LEFT JOIN best b ON b.media_item_id = c.id)
 SELECT min(id) AS id, first(title ORDER BY id) AS title, bool_or(on_plex) AS on_plex, bool_or(on_jellyfin) AS on_jellyfin, first(id ORDER BY title ASC NULLS LAST, id) AS placed_by FROM keyed GROUP BY key""")
 def _(t: Tables) -> DataFrame:
-    return catalog.deduplicated(full_catalog(t), t.identifiers, catalog.sort_order("title", False)).select("id", "title", "on_plex", "on_jellyfin", "placed_by")
+    return catalog.deduplicated(full_catalog(t), t.identifiers, [F.col("title").asc_nulls_last(), F.col("id").asc()]).select("id", "title", "on_plex", "on_jellyfin", "placed_by")
 
 
 @register("a05_dashboard", """, w AS (SELECT media_item_id FROM watch_events WHERE completed UNION SELECT media_item_id FROM watch_states WHERE completed)
@@ -151,21 +168,21 @@ def _(t: Tables) -> DataFrame:
 
 
 @register("a09_container_states", """, e AS (SELECT media_item_id, source_id, count(*) AS n, max(watched_at) AS t FROM watch_events WHERE completed GROUP BY ALL),
-s AS (SELECT * FROM watch_states WHERE completed),
-c AS (SELECT r.source_id, i.parent_id, p.parent_id AS g, greatest(coalesce(e.n, 0), coalesce(s.view_count, 0)) AS plays,
+s AS (SELECT * FROM watch_states),
+c AS (SELECT r.source_id, r.library_id, i.parent_id, p.parent_id AS g, greatest(coalesce(e.n, 0), coalesce(s.view_count, 0)) AS plays,
   CASE WHEN e.t IS NULL THEN s.last_watched_at WHEN s.last_watched_at IS NULL THEN e.t ELSE greatest(e.t, s.last_watched_at) END AS last
   FROM source_media_refs r JOIN media_items i ON i.id = r.media_item_id AND i.kind IN ('episode', 'track') JOIN media_items p ON p.id = i.parent_id
   LEFT JOIN e ON e.media_item_id = r.media_item_id AND e.source_id = r.source_id LEFT JOIN s ON s.media_item_id = r.media_item_id AND s.source_id = r.source_id WHERE r.available),
-u AS (SELECT source_id, plays, last, unnest([parent_id, g]) AS media_item_id FROM c)
-SELECT media_item_id, source_id, CAST(greatest(min(plays), 0) AS BIGINT) AS view_count, max(last) AS last_watched_at, min(plays) > 0 AS completed
-FROM u WHERE media_item_id IS NOT NULL GROUP BY media_item_id, source_id""")
+u AS (SELECT source_id, library_id, plays, last, unnest([parent_id, g]) AS media_item_id FROM c)
+SELECT media_item_id, source_id, library_id, CAST(greatest(min(plays), 0) AS BIGINT) AS view_count, max(last) AS last_watched_at, min(plays) > 0 AS completed
+FROM u WHERE media_item_id IS NOT NULL GROUP BY media_item_id, source_id, library_id""")
 def _(t: Tables) -> DataFrame:
     return catalog.container_states(t.items, t.events, t.states, t.refs)
 
 
-@register("a14_available_refs", "SELECT source_id, count(*) AS refs, count(*) FILTER (WHERE available) AS available FROM source_media_refs GROUP BY source_id")
+@register("a14_available_refs", "SELECT library_id, count(*) AS refs, count(*) FILTER (WHERE available) AS available FROM source_media_refs GROUP BY library_id")
 def _(t: Tables) -> DataFrame:
-    return t.refs.groupBy("source_id").agg(F.count("*").alias("refs"), F.count_if("available").alias("available"))
+    return t.refs.groupBy("library_id").agg(F.count("*").alias("refs"), F.count_if("available").alias("available"))
 
 
 @register("a19_event_counts", "SELECT media_item_id, count(*) AS events FROM watch_events GROUP BY media_item_id")
@@ -210,11 +227,23 @@ def _(t: Tables) -> DataFrame:
     return catalog.media(t.items, t.refs, t.states, kind="movie", available=False, watched=True).where("year >= 1975").select("id", "title")
 
 
+@register("f01_media_page_of_library", """SELECT id, title FROM media_items i WHERE kind = 'movie' AND title ILIKE '%e%' AND id > 1000020 AND EXISTS (SELECT 1 FROM source_media_refs r WHERE r.media_item_id = i.id AND r.library_id = 8)
+ORDER BY id LIMIT 51""")
+def _(t: Tables) -> DataFrame:
+    return catalog.media(t.items, t.refs, t.states, kind="movie", title="e", library_id=8, after_id=1000020, size=50).select("id", "title")
+
+
 @register("f02_watch_events", """SELECT e.id, e.watched_at FROM watch_events e WHERE e.completed AND e.source_id = 1 AND e.watched_at >= TIMESTAMP '1994-01-01' AND e.watched_at < TIMESTAMP '1996-01-01'
-AND e.media_item_id IN (SELECT id FROM media_items WHERE kind = 'movie') AND e.media_item_id IN (SELECT media_item_id FROM source_media_refs WHERE source_id = 2)""")
+AND e.media_item_id IN (SELECT id FROM media_items WHERE kind = 'movie') AND e.media_item_id IN (SELECT media_item_id FROM source_media_refs WHERE library_id = 5)""")
 def _(t: Tables) -> DataFrame:
     since, until = F.lit("1994-01-01").cast("timestamp_ntz"), F.lit("1996-01-01").cast("timestamp_ntz")
-    return catalog.watch_events(t.events, t.items, t.refs, "movie", 1, True, 2, since, until).select("id", "watched_at")
+    return catalog.watch_events(t.events, t.items, t.refs, "movie", 1, True, 5, since, until).select("id", "watched_at")
+
+
+@register("f02_newest_events_of_library", """SELECT id, watched_at FROM watch_events WHERE completed AND id < 100000000000000 AND media_item_id IN (SELECT media_item_id FROM source_media_refs WHERE library_id = 8)
+ORDER BY watched_at DESC, id DESC LIMIT 51""")
+def _(t: Tables) -> DataFrame:
+    return catalog.watch_events(t.events, t.items, t.refs, completed=True, library_id=8, before_id=100000000000000, size=50).select("id", "watched_at")
 
 
 @register("f03_states_after", "SELECT media_item_id, source_id, view_count, completed FROM watch_states WHERE completed AND media_item_id > 1000100 ORDER BY media_item_id, source_id LIMIT 51")
@@ -251,10 +280,19 @@ def _(t: Tables) -> DataFrame:
     return catalog.keep_last(t.playback, ["playback_user"], [F.desc("occurred_at"), F.desc("event_id")], 20).select("event_id", "playback_user")
 
 
-@register("r05_media_detail", """SELECT i.id, array_to_string(list_sort(list(d.provider || ':' || d.external_id)), ',') AS identifiers, count(*) AS n FROM media_items i JOIN media_identifiers d ON d.media_item_id = i.id GROUP BY i.id""")
+@register("r05_media_detail", """, p AS (SELECT id FROM media_items WHERE id % 5 = 0 OR kind <> 'movie'),
+c AS (SELECT parent_id AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS children FROM media_items GROUP BY parent_id),
+d AS (SELECT media_item_id AS id, string_agg(provider || ':' || external_id, ',' ORDER BY provider, external_id) AS identifiers FROM media_identifiers GROUP BY media_item_id),
+r AS (SELECT media_item_id AS id, string_agg(concat_ws(':', CAST(source_id AS VARCHAR), CAST(library_id AS VARCHAR), external_id, CAST(available AS VARCHAR)), ',' ORDER BY source_id, library_id, external_id) AS refs FROM source_media_refs GROUP BY media_item_id),
+e AS (SELECT media_item_id AS id, count(*) AS n FROM watch_events GROUP BY media_item_id)
+SELECT i.id, i.title, c.children, d.identifiers, r.refs, coalesce(e.n, 0) AS known_event_count FROM media_items i JOIN p USING (id) LEFT JOIN c USING (id) LEFT JOIN d USING (id) LEFT JOIN r USING (id) LEFT JOIN e USING (id)""")
 def _(t: Tables) -> DataFrame:
-    rows = t.identifiers.groupBy(F.col("media_item_id").alias("id")).agg(F.array_sort(F.collect_list(F.concat_ws(":", "provider", "external_id"))).alias("l"), F.count("*").alias("n"))
-    return rows.join(t.items.select("id"), "id", "left_semi").select("id", F.array_join("l", ",").alias("identifiers"), "n")
+    text = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in f])), ",")
+    rows = reports.media_detail(t.items.where("id % 5 = 0 OR kind <> 'movie'"), t.items, t.identifiers, t.refs, t.events)
+    return rows.select(
+        "id", "title", text("children", "child_id").alias("children"), text("identifiers", "provider", "external_id").alias("identifiers"),
+        text("references", "source_id", "library_id", "external_id", "available").alias("refs"), "known_event_count",
+    )
 
 
 @register("r06_series_titles", """SELECT i.id, CASE WHEN p.kind = 'show' THEN p.title WHEN g.kind = 'show' THEN g.title END AS series_title
@@ -308,9 +346,10 @@ def _(t: Tables) -> DataFrame:
     return ledger.merge_states(t.states, new).drop("observed_at")
 
 
-@register("m13_missing_refs", """SELECT media_item_id, source_id, external_id, available AND media_item_id % 4 <> 0 AS available, CASE WHEN available AND media_item_id % 4 = 0 THEN TIMESTAMP '2024-01-01' END AS unavailable_since FROM source_media_refs""")
+@register("m13_missing_refs", """SELECT media_item_id, source_id, external_id, library_id, available AND (library_id <> 8 OR media_item_id % 4 <> 0) AS available,
+CASE WHEN available AND library_id = 8 AND media_item_id % 4 = 0 THEN TIMESTAMP '2024-01-01' END AS unavailable_since FROM source_media_refs""")
 def _(t: Tables) -> DataFrame:
-    return ledger.mark_missing(t.refs, t.refs.where("media_item_id % 4 <> 0"), NOW)
+    return ledger.mark_missing(t.refs, t.refs.where("media_item_id % 4 <> 0"), NOW, 8)
 
 
 @register("a10_shared_identifiers", """, k AS (SELECT DISTINCT i.kind, d.provider, d.external_id, d.media_item_id FROM media_identifiers d JOIN media_items i ON i.id = d.media_item_id)
@@ -439,6 +478,26 @@ def _(t: Tables) -> DataFrame:
     return playback.completed(t.playback).where("completed").select("event_id", "source_id", "external_id")
 
 
-@register("w03_now_playing", None)
+#: The state machine row by row: what each step closes (x1 a stale play, x2 what the notification ends), and what is open at the end.
+NOW_PLAYING = """, ev AS (SELECT source_id, playback_user, external_id AS x, event_type AS k, progress_percent AS p, epoch_us(occurred_at) AS t,
+  event_type = 'media.scrobble' OR event_type = 'media.stop' AND coalesce(progress_percent, 0) >= 90 AS done, event_type IN ('media.play', 'media.resume') AS plays,
+  row_number() OVER (PARTITION BY source_id, playback_user ORDER BY occurred_at, event_id) AS r FROM playback_stream WHERE event_type IS NOT NULL AND external_id IS NOT NULL),
+st AS (SELECT source_id, playback_user, CAST(0 AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS item, CAST(0 AS BIGINT) AS s, CAST(NULL AS INTEGER) AS prog,
+  CAST(NULL AS STRUCT(x VARCHAR, s BIGINT, e BIGINT, p INTEGER, d BOOLEAN, w VARCHAR)) AS x1, CAST(NULL AS STRUCT(x VARCHAR, s BIGINT, e BIGINT, p INTEGER, d BOOLEAN, w VARCHAR)) AS x2 FROM ev WHERE r = 1
+UNION ALL SELECT e.source_id, e.playback_user, e.r,
+  CASE WHEN e.plays THEN e.x WHEN f.item IS NULL OR e.t - f.s > 3600000000 OR f.item = e.x THEN NULL ELSE f.item END,
+  CASE WHEN e.plays AND (f.item IS NULL OR e.t - f.s > 3600000000 OR f.item <> e.x) THEN e.t ELSE f.s END, CASE WHEN e.plays THEN e.p ELSE f.prog END,
+  CASE WHEN f.item IS NOT NULL AND e.t - f.s > 3600000000 THEN {'x': f.item, 's': f.s, 'e': f.s + 3600000000, 'p': f.prog, 'd': false, 'w': 'stale'} END,
+  CASE WHEN e.plays AND f.item IS NOT NULL AND e.t - f.s <= 3600000000 AND f.item <> e.x THEN {'x': f.item, 's': f.s, 'e': e.t, 'p': f.prog, 'd': false, 'w': 'other'}
+       WHEN NOT e.plays AND f.item = e.x AND e.t - f.s <= 3600000000 THEN {'x': f.item, 's': f.s, 'e': e.t, 'p': e.p, 'd': e.done, 'w': e.k}
+       WHEN e.k IN ('media.stop', 'media.scrobble') THEN {'x': e.x, 's': e.t, 'e': e.t, 'p': e.p, 'd': e.done, 'w': e.k} END
+FROM st f JOIN ev e ON e.source_id = f.source_id AND e.playback_user = f.playback_user AND e.r = f.r + 1),
+closed AS (SELECT source_id, playback_user, x1 AS c FROM st WHERE x1 IS NOT NULL UNION ALL SELECT source_id, playback_user, x2 FROM st WHERE x2 IS NOT NULL
+  UNION ALL SELECT source_id, playback_user, {'x': item, 's': s, 'e': NULL, 'p': prog, 'd': false, 'w': 'open'} FROM st
+  WHERE item IS NOT NULL AND (source_id, playback_user, r) IN (SELECT source_id, playback_user, max(r) FROM ev GROUP BY source_id, playback_user))
+SELECT source_id, playback_user, c.x AS external_id, c.s AS started_at, c.e AS ended_at, c.p AS progress_percent, c.d AS completed, c.w AS closed_by FROM closed"""
+
+
+@register("w03_now_playing", NOW_PLAYING)
 def _(t: Tables) -> DataFrame:
     return playback.sessions(t.playback)

@@ -46,3 +46,26 @@ def match(plays: DataFrame, identifiers: DataFrame, preferred: DataFrame) -> Dat
     )
     chosen = F.when(F.col("n") == 1, F.col("only")).when(F.col("n_p") == 1, F.col("only_p"))
     return best.select("id", chosen.alias("media_item_id"), chosen.isNull().alias("ambiguous"))
+
+
+def match_in_rounds(plays: DataFrame, identifiers: DataFrame, preferred: DataFrame, show_of: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matched plays: id, media_item_id, round; ids of ambiguous plays; identifiers added) in two rounds of A12.
+
+    What the first round matches gives its ids to the item, and to the item's show (``show_of``: media_item_id, show_id) the ids of
+    the play's show (``show_ids``, if the plays have that column), so that plays of the second round can match through them. Plays
+    in neither table have no item yet and need new ones (M32); the import then continues with these. An identifier that some item
+    has already is not added to another.
+    """
+    first = match(plays, identifiers, preferred)
+    one = first.where("media_item_id IS NOT NULL").select("id", "media_item_id")
+    named = plays.join(one, "id").select("media_item_id", F.explode("ids").alias("i")).select("media_item_id", "i.provider", "i.external_id")
+    if "show_ids" in plays.columns:
+        shows = plays.join(one, "id").join(show_of, "media_item_id").select(F.col("show_id").alias("media_item_id"), F.explode("show_ids").alias("i"))
+        named = named.unionByName(shows.select("media_item_id", "i.provider", "i.external_id"))
+    free = named.join(identifiers.select("provider", "external_id").distinct(), ["provider", "external_id"], "left_anti")
+    added = free.groupBy("provider", "external_id").agg(F.min("media_item_id").alias("media_item_id")).select("media_item_id", "provider", "external_id")
+    rest = plays.join(first.select("id"), "id", "left_anti")
+    second = match(rest, identifiers.select("media_item_id", "provider", "external_id").unionByName(added), preferred)
+    two = second.where("media_item_id IS NOT NULL").select("id", "media_item_id")
+    matched = one.withColumn("round", F.lit(1)).unionByName(two.withColumn("round", F.lit(2)))
+    return matched, first.where("ambiguous").select("id").unionByName(second.where("ambiguous").select("id")), added

@@ -34,6 +34,8 @@ _TEXTS = (
 _ITEM = "STRUCT<" + ", ".join(f"`{c}`: STRING" for c in _TEXTS) + ", Guid: ARRAY<STRUCT<id: STRING>>, Genre: ARRAY<STRUCT<tag: STRING>>>"
 _TAGS = ("Video", "Track", "Directory", "Account", "User")
 _XML = ", ".join(f"{t} ARRAY<{_ITEM}>" for t in _TAGS)
+#: A list of one item may come as the item alone.
+_SINGLE = f"MediaContainer STRUCT<Metadata: {_ITEM}, Directory: {_ITEM}>, Metadata {_ITEM}, Directory {_ITEM}, _broken STRING"
 _JSON = f"MediaContainer STRUCT<Metadata: ARRAY<{_ITEM}>, Directory: ARRAY<{_ITEM}>>, Metadata ARRAY<{_ITEM}>, Directory ARRAY<{_ITEM}>, _broken STRING"
 
 
@@ -49,15 +51,19 @@ def container_items(payloads: DataFrame) -> DataFrame:
     is_json = F.col("value").rlike(r"^\s*[{\[]")
     declared = ~is_json & F.upper("value").rlike("<!(DOCTYPE|ENTITY)")
     doc = F.from_json("value", _JSON, {"columnNameOfCorruptRecord": "_broken"})
+    single = F.from_json("value", _SINGLE, {"columnNameOfCorruptRecord": "_broken"})
     xml = F.from_xml(F.when(~is_json & ~declared, F.col("value")), _XML, {"attributePrefix": "", "rowTag": "MediaContainer", "mode": "PERMISSIVE"})
-    rows = payloads.select(*rest, is_json.alias("is_json"), declared.alias("declared"), F.when(is_json, doc).alias("j"), xml.alias("x"), "value")
+    rows = payloads.select(*rest, is_json.alias("is_json"), declared.alias("declared"), F.when(is_json, doc).alias("j"), F.when(is_json, single).alias("s"), xml.alias("x"), "value")
     tagged = lambda tag, items: F.transform(items, lambda i: F.struct(F.lit(tag).alias("tag"), i.alias("item")))
     none = F.array().cast(f"ARRAY<STRUCT<tag: STRING, item: {_ITEM}>>")
-    listed = F.coalesce(F.col("j.MediaContainer.Metadata"), F.col("j.MediaContainer.Directory"), F.col("j.Metadata"), F.col("j.Directory"))
+    places = ("MediaContainer.Metadata", "MediaContainer.Directory", "Metadata", "Directory")
+    alone = F.coalesce(*[F.col(f"s.{p}") for p in places])
+    is_single = F.col("j._broken").isNotNull() & F.col("s._broken").isNull() & alone.isNotNull()
+    listed = F.when(is_single, F.array(alone)).otherwise(F.coalesce(*[F.col(f"j.{p}") for p in places]))
     from_xml = F.flatten(F.array(*[F.coalesce(tagged(t, F.col(f"x.{t}")), none) for t in _TAGS]))
     items = F.when(F.col("is_json"), F.coalesce(tagged("Metadata", listed), none)).otherwise(F.coalesce(from_xml, none))
     closed = F.col("value").rlike(r"(?s)<MediaContainer[^>]*(/>|>.*</MediaContainer>)\s*$")
-    reason = F.when(F.col("declared"), "XML declarations").when(F.col("is_json") & F.col("j._broken").isNotNull(), "broken JSON").when(~F.col("is_json") & ~closed, "broken XML")
+    reason = F.when(F.col("declared"), "XML declarations").when(F.col("is_json") & F.col("j._broken").isNotNull() & ~is_single, "broken JSON").when(~F.col("is_json") & ~closed, "broken XML")
     marked = rows.select(*rest, reason.alias("reason"), F.when(reason.isNull(), items).alias("items"))
     out = marked.select(*rest, "reason", F.explode_outer("items").alias("i")).select(*rest, "reason", "i.tag", "i.item")
     return out.where("item IS NOT NULL OR reason IS NOT NULL")

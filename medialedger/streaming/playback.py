@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from medialedger import tables
-from medialedger.operators import ledger
+from medialedger.identity import matching
+from medialedger.operators import catalog, ledger
 
 ACTIVE = ("media.play", "media.resume")
 KINDS = (*ACTIVE, "media.pause", "media.stop", "media.scrobble")
@@ -74,20 +77,54 @@ def _replay(state: NowPlaying, rows: pd.DataFrame) -> list[tuple]:
 
 
 def sessions(rows: DataFrame) -> DataFrame:
-    """The closed plays of a table of notifications, and those still open (``closed_by`` open, ended_at null)."""
-
-    def replay(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        state = NowPlaying()
-        out = _replay(state, group)
-        if state.item is not None:
-            out.append((state.item, state.started, None, state.progress, False, "open"))
-        frame = _rows(key, out)
-        frame["ended_at"] = frame["ended_at"].astype("Int64")
-        return frame
+    """W03 in batch: the closed plays of a table of notifications, and those still open (``closed_by`` open, ended_at null).
 
+    The same as ``NowPlaying`` step by step, in windows: a run is a stretch of plays and resumes of one item that nothing else ends;
+    plays over an hour after the start of theirs begin anew within it, and what ends a run closes the last of them. Windows sort a
+    user's notifications with spilling; only the times of one run are held together.
+    """
     timed = completed(rows).withColumn("t", F.unix_micros(F.col("occurred_at").cast("timestamp")))
-    columns = ["source_id", "playback_user", "event_id", "t", "external_id", "event_type", "progress_percent", "completed"]
-    return timed.select(*columns).groupBy("source_id", "playback_user").applyInPandas(replay, SESSIONS)
+    user = ["source_id", "playback_user"]
+    order = W.partitionBy(*user).orderBy("t", "event_id")
+    numbered = timed.withColumn("n", F.row_number().over(order)).withColumn("plays", F.col("event_type").isin(*ACTIVE))
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    last_play = F.last(F.when(F.col("plays"), F.struct("n", "external_id")), ignorenulls=True).over(before(W.partitionBy(*user).orderBy("n")))
+    last_end = F.last(F.when(~F.col("plays"), F.col("n")), ignorenulls=True).over(before(W.partitionBy(*user, "external_id").orderBy("n")))
+    seen = numbered.withColumn("last_play", last_play).withColumn("last_end", last_end)
+    holds = F.coalesce((F.col("last_play.external_id") == F.col("external_id")) & (F.coalesce("last_end", F.lit(0)) < F.col("last_play.n")), F.lit(False))
+    seen = seen.withColumn("holds", holds).withColumn("run", F.sum((F.col("plays") & ~F.col("holds")).cast("int")).over(W.partitionBy(*user).orderBy("n")))
+    end = F.struct("t", "progress_percent", "completed", "event_type")
+    runs = seen.groupBy(*user, "run").agg(
+        F.array_sort(F.collect_list(F.when(F.col("plays"), F.struct("n", "t", F.col("progress_percent").alias("p"))))).alias("plays"),
+        F.max(F.when(F.col("plays"), F.col("external_id"))).alias("external_id"), F.max(F.when(~F.col("plays") & F.col("holds"), end)).alias("end"), F.max("t").alias("until"),
+    )
+    by_run = W.partitionBy(*user).orderBy("run")
+    runs = runs.withColumn("next", F.lead(F.get("plays", 0)["t"]).over(by_run)).withColumn("until", F.max("until").over(W.partitionBy(*user))).where("run > 0")
+    one = "STRUCT<s: BIGINT, p: INT>"
+    first = F.struct(F.lit(None).cast(one).alias("now"), F.array().cast(f"ARRAY<{one}>").alias("stale"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = F.struct(x["t"].alias("s"), x["p"].alias("p"))
+        more = F.struct(F.struct(acc["now"]["s"].alias("s"), x["p"].alias("p")).alias("now"), acc["stale"].alias("stale"))
+        over = F.struct(fresh.alias("now"), F.concat(acc["stale"], F.array(acc["now"])).alias("stale"))
+        return F.when(acc["now"].isNull(), F.struct(fresh.alias("now"), acc["stale"].alias("stale"))).when(x["t"] - acc["now"]["s"] > STALE_US, over).otherwise(more)
+
+    runs = runs.withColumn("f", F.aggregate("plays", first, step))
+    start, ended = F.col("f.now.s"), F.coalesce("end.t", "next", "until")
+    is_stale = ended - start > STALE_US
+    shown = lambda s, e, p, done, why: F.struct(s.alias("started_at"), e.cast("bigint").alias("ended_at"), p.cast("int").alias("progress_percent"), done.alias("completed"), why.alias("closed_by"))
+    no = F.lit(False)
+    stale = lambda x: shown(x["s"], x["s"] + STALE_US, x["p"], no, F.lit("stale"))
+    closing = (
+        F.when(is_stale, stale(F.col("f.now"))).when(F.col("end").isNotNull(), shown(start, ended, F.col("end.progress_percent"), F.col("end.completed"), F.col("end.event_type")))
+        .when(F.col("next").isNotNull(), shown(start, ended, F.col("f.now.p"), no, F.lit("other"))).otherwise(shown(start, F.lit(None), F.col("f.now.p"), no, F.lit("open")))
+    )
+    # A stop or scrobble that ends nothing, or comes after its play went stale, is a play of no length.
+    point = lambda e: shown(e["t"], e["t"], e["progress_percent"], e["completed"], e["event_type"])
+    late = F.when(is_stale & F.col("end.event_type").isin("media.stop", "media.scrobble"), point(F.col("end")))
+    closed = runs.select(*user, "external_id", F.explode(F.array_compact(F.concat(F.transform("f.stale", stale), F.array(closing, late)))).alias("x"))
+    alone = seen.where(F.col("event_type").isin("media.stop", "media.scrobble") & ~F.col("holds")).select(*user, "external_id", point(end).alias("x"))
+    return closed.unionByName(alone).select(*user, "external_id", "x.*")
 
 
 def stream_sessions(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -138,8 +175,37 @@ def persisted(stream: DataFrame, refs: DataFrame, root: str, within: str = "10 m
     return deduplicated(completed(stream).where("completed"), within).writeStream.foreachBatch(store)
 
 
-def outbox(candidates: DataFrame, sent: DataFrame) -> DataFrame:
-    """Rows to send to the other server, once for each (source, item, time) whatever is replayed."""
+def outbox(candidates: DataFrame, refs: DataFrame, sources: DataFrame, states: DataFrame, sent: DataFrame) -> DataFrame:
+    """Completed plays (source_id, external_id, watched_at) to send to the other server, once for each (source, item, time)
+    whatever is replayed.
+
+    The target is the one available reference of the play's item in another enabled source (J19); plays without an available
+    reference or a single target, and those whose target is completed already, give no row.
+    """
     at = F.date_format(F.col("watched_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     key = F.sha2(F.concat_ws(":", F.lit("watch"), F.col("source_id").cast("string"), "external_id", at), 256)
-    return candidates.withColumn("dedup_key", key).dropDuplicates(["dedup_key"]).join(sent.select("dedup_key"), "dedup_key", "left_anti")
+    known = refs.where("available").select("source_id", "external_id", "media_item_id").dropDuplicates(["source_id", "external_id"])
+    new = candidates.select("source_id", "external_id", "watched_at", key.alias("dedup_key")).dropDuplicates(["dedup_key"]).join(sent.select("dedup_key"), "dedup_key", "left_anti")
+    aimed = new.join(known, ["source_id", "external_id"])
+    aimed = aimed.join(matching.target_of(aimed, refs, sources), ["media_item_id", "source_id"])
+    done = states.where("completed").select("media_item_id", F.col("source_id").alias("target_source"))
+    return aimed.join(done, ["media_item_id", "target_source"], "left_anti")
+
+
+def write_outbox(stream: DataFrame, refs: DataFrame, sources: DataFrame, states: DataFrame, path: str) -> DataStreamWriter:
+    """W08 as a stream: each batch appends what was not sent before; a batch that runs again appends nothing."""
+
+    def send(batch: DataFrame, _: int) -> None:
+        try:
+            sent = batch.sparkSession.read.schema("dedup_key string").parquet(path)
+        except AnalysisException:  # nothing sent yet
+            sent = batch.sparkSession.createDataFrame([], "dedup_key string")
+        rows = batch.where("completed").select("source_id", "external_id", F.col("occurred_at").alias("watched_at"))
+        outbox(rows, refs, sources, states, sent).write.mode("append").parquet(path)
+
+    return completed(stream).writeStream.foreachBatch(send)
+
+
+def retain(root: str, table: str, spark: SparkSession, by: list[str], order: list[Column], n: int) -> str:
+    """A new version of a published table with the last ``n`` rows of each group (N07); run it now and then beside the stream."""
+    return tables.publish(catalog.keep_last(tables.current(spark, root, table), by, order, n), root, table)

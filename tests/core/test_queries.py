@@ -3,11 +3,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from medialedger.plans import operations, registry
+from medialedger.plans import details, operations, registry  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
-ALL = registry.QUERIES | operations.QUERIES
-SQL = registry.ORACLES | operations.ORACLES
+ALL, SQL = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
