@@ -134,3 +134,72 @@ def test_registered_queries_run(spark, name):
     from medialedger.plans import registry
 
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_fold_of_a_busy_item_over_slices(spark):
+    rng = random.Random(4)
+    rows = [(i, 1, rng.randint(1, 2), T0 + timedelta(seconds=rng.choice([1, 40, 90]) * rng.randint(0, 2500)), True) for i in range(6000)]
+    rows += [(10000 + i, 2, 1, T0 + timedelta(seconds=100 * i), True) for i in range(3000)]  # one chain over many slices
+    df = spark.createDataFrame(rows, "id bigint, media_item_id bigint, source_id int, watched_at timestamp_ntz, completed boolean")
+    want, last = set(), {}
+    for r in sorted(rows, key=lambda r: (r[1], r[3], r[2], r[0])):
+        if r[1] not in last or (r[3] - last[r[1]]).total_seconds() > 120:
+            last[r[1]] = r[3]
+            want.add(r[0])
+    for width in (86_400, 40_000):
+        assert {r["id"] for r in ledger.without_near_duplicates(df, slice_seconds=width).collect()} == want
+    assert ledger.without_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_incremental_window(spark):
+    marks = spark.createDataFrame([(1, None, None), (2, T0 - timedelta(hours=5), T0 - timedelta(days=2)), (3, T0 - timedelta(hours=5), T0 - timedelta(days=7))], "library_id int, watermark_at timestamp_ntz, last_full_scan_at timestamp_ntz")
+    got = {r["library_id"]: (r["full_scan"], r["updated_since"], r["next_watermark"]) for r in ledger.incremental_window(marks, T0).collect()}
+    mark = T0 - timedelta(seconds=120)
+    assert got == {1: (True, None, mark), 2: (False, T0 - timedelta(hours=5), mark), 3: (True, None, mark)}
+
+
+def test_outbox_in_batch_and_stream(spark, tmp_path):
+    refs = spark.createDataFrame([(10, 1, "x", True), (10, 2, "y", True), (20, 1, "z", True), (20, 2, "w", False), (30, 1, "q", True), (30, 2, "r", True)], "media_item_id bigint, source_id int, external_id string, available boolean")
+    sources = spark.createDataFrame([(1, True), (2, True)], "id int, enabled boolean")
+    states = spark.createDataFrame([(30, 2, True), (10, 2, False)], "media_item_id bigint, source_id int, completed boolean")
+    told = [(1, T0, 1, "u", "x", "media.scrobble", None), (2, T0, 1, "u", "x", "media.scrobble", None), (3, T0, 1, "u", "z", "media.scrobble", None), (4, T0, 1, "u", "q", "media.scrobble", None), (5, T0, 1, "u", "x", "media.play", None)]
+    told = spark.createDataFrame(told, "event_id bigint, occurred_at timestamp_ntz, source_id int, playback_user string, external_id string, event_type string, progress_percent int")
+    for k in (1, 2):  # the second run replays everything
+        told.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(told.schema).parquet(f"{tmp_path}/in")
+        query = playback.write_outbox(stream, refs, sources, states, f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        assert query.awaitTermination(120) and query.exception() is None
+        got = spark.read.parquet(f"{tmp_path}/out").collect()
+        assert [(r["external_id"], r["target_source"], r["target_external"]) for r in got] == [("x", 2, "y")], k
+
+
+def test_stable_ids_once_in_a_stream(spark, tmp_path):
+    rows = [(1, T0, 1), (1, T0, 1), (1, T0, 2), (2, T0 + timedelta(minutes=1), 1)]
+    df = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp_ntz, source_id int")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = playback.deduplicated(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")).select("source_id", "event_id")
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, 1), (1, 2), (2, 1)]
+    tables.publish(df.select("event_id", "source_id", "occurred_at"), str(tmp_path), "t")
+    playback.retain(str(tmp_path), "t", spark, ["source_id"], [F.desc("occurred_at")], 1)
+    assert sorted(r["source_id"] for r in tables.current(spark, str(tmp_path), "t").collect()) == [1, 2]
+
+
+def test_a_missing_folder_is_no_silent_fallback(spark, monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    class Frame:
+        sparkSession = Cluster
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        tables.written(Frame)
+
+
+def test_report_file(spark, tmp_path):
+    from medialedger.operators import reports
+
+    reports.write_report(spark.createDataFrame([(1, "x")], "events_read long, mode string"), f"{tmp_path}/report")
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/report").select("events_read", "mode").collect()] == [(1, "x")]
