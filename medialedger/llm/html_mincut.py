@@ -1,28 +1,34 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text. A linear classifier over tag, class and text features gives each block a cost for
-either label; blocks that follow each other or stand close in the element tree are tied by smoothness edges. The minimum
-cut between content and boilerplate is the cheapest labelling of all blocks together.
+A page is cut into blocks of text. What markup says about a block and a linear classifier of its text, links and neighbours
+give its cost for either label, in log-odds; blocks that follow each other or stand close in the element tree are tied by
+smoothness edges on the same scale. The minimum cut between content and boilerplate is the cheapest labelling of all blocks
+together: clear markup decides by itself, and where it is silent neighbours settle what the classifier leaves open.
+
+The classifier and the edges are fitted to a bounded sample of the pages themselves. Blocks whose markup is clear serve as
+labelled ones, with that markup hidden from the classifier.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|\Z)",
-    re.DOTALL,
-)
+from medialedger.llm.store import discard, materialize
+
+_MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+#: The rest of a tag: quotes protect what they hold. Nothing is given back, so a scan is one pass.
+_TAIL = re.compile(r"([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>")
+_PLAIN_TAIL = re.compile(r"([^<>]*+)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -109,11 +115,60 @@ def _bias(name: str, attributes: str, above: Node | None) -> tuple[float, bool,
     return (bad if bad <= -7.0 else good + bad), inside or name in ("article", "main"), best, hard or firm, nested or article
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of each tag, in one pass; other markup has an empty name.
+
+    After the first tag whose quotes never close, quotes protect nothing in the rest of the page.
+    """
+    at, quoted = 0, True
+    while m := _MARKUP.search(page, at):
+        start, at = m.start(), m.end()
+        if m[1] or m[2] or m[3]:
+            close = "-->" if m[1] else "]]>" if m[2] else ">"
+            end = page.find(close, at)
+            kept = page[at : end if end >= 0 else len(page)] if m[2] else ""
+            at = end + len(close) if end >= 0 else len(page)
+            yield start, at, "", False, kept
+            continue
+        tail = _TAIL.match(page, at) if quoted else None
+        if tail is None:
+            quoted = False
+            tail = _PLAIN_TAIL.match(page, at)
+        if tail is None:
+            at = start + 1  # a lone angle bracket is text
+            continue
+        at, name = tail.end(), m[5].lower()
+        if name in _RAW and not m[4]:
+            stop = _raw_end(name).search(page, at)
+            at = stop.end() if stop else len(page)
+        yield start, at, name, bool(m[4]), tail[1]
+
+
+_raw_ends: dict[str, re.Pattern] = {}
+
+
+def _raw_end(name: str) -> re.Pattern:
+    if name not in _raw_ends:
+        _raw_ends[name] = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.IGNORECASE)
+    return _raw_ends[name]
+
+
+def _decoded(text: str) -> str:
+    """Character references decoded; numbers beyond any character become the replacement character."""
+    if "&" in text:
+        text = re.sub(r"&#([xX]?)0{2,}", r"&#\g<1>0", text)
+        text = html.unescape(re.sub(r"&#(?:0?[1-9][0-9]{7,}|[xX]0?[1-9a-fA-F][0-9a-fA-F]{6,});?", "\ufffd", text))
+    return _SPACE.sub(" ", text).strip()
+
+
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page: runs of text between the tags that start or end a block."""
+    """The blocks of a page: runs of text between the tags that start or end a block. Open elements are found by name, so that
+    no depth or breadth of nesting makes a tag cost more than another."""
     out: list[Block] = []
     root = Node("", None, 0.0, False)
     stack = [root]
+    where: dict[str, list[int]] = {}  # places of the open elements by name
+    limits, holders = [], [0]  # places of those that end a search, and of those that are no inline elements
     links = unseen = at = 0
     current: Block | None = None
 
@@ -124,44 +179,52 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if piece.isspace():
                 return
-            holder = next((n for n in reversed(stack) if n.name not in _INLINE), root)
-            current = Block(stack[-1], holder.name)
+            current = Block(stack[-1], stack[holders[-1]].name)
             out.append(current)
         current.parts.append(piece)
         if links:
             current.linked += len(piece)
 
+    def push(node: Node) -> None:
+        nonlocal links, unseen
+        where.setdefault(node.name, []).append(len(stack))
+        if node.name in _LIMITS:
+            limits.append(len(stack))
+        if node.name not in _INLINE:
+            holders.append(len(stack))
+        stack.append(node)
+        links += node.name == "a"
+        unseen += node.name in _UNSEEN
+
     def pop_to(place: int) -> None:
         nonlocal links, unseen, current
         while len(stack) > place:
             name = stack.pop().name
+            where[name].pop()
+            if name in _LIMITS:
+                limits.pop()
             links -= name == "a"
             unseen -= name in _UNSEEN
             if name not in _INLINE:
+                holders.pop()
                 current = None
 
-    while True:
-        m = _TAG.search(page, at)
-        text(page[at : m.start() if m else len(page)])
-        if m is None:
-            break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    def last(names: set[str] | tuple[str, ...]) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=0)
+
+    for start, end, name, closing, attributes in tags(page):
+        text(page[at:start])
+        at = end
         if not name:
-            if m[0].startswith("<![CDATA["):
-                text(html.escape(m[0][9:-3], quote=False))
+            if attributes:
+                text(html.escape(attributes, quote=False))
             continue
-        closing, attributes = m[1] or m[4], m[3] if m[2] else m[6]
         if closing:
-            for place in range(len(stack) - 1, 0, -1):
-                if stack[place].name == name:
-                    pop_to(place)
-                    break
-                if stack[place].name in _LIMITS and name in _INLINE:
-                    break
-            else:
-                if name not in _INLINE:
-                    current = None
+            place = last((name,))
+            if place and not (name in _INLINE and limits and limits[-1] > place):
+                pop_to(place)
+            elif name not in _INLINE:
+                current = None
             continue
         if name == "br":
             text(" ")
@@ -170,49 +233,220 @@ def blocks(page: str) -> list[Block]:
             current = None
         if name in _CLOSES_P or name in _CLOSED_BY_SELF:
             targets = _CLOSED_BY_SELF.get(name, {"p"})
-            for place in range(len(stack) - 1, 0, -1):
-                if stack[place].name in targets:
-                    pop_to(place)
-                    if name != "tr":
-                        break
-                elif stack[place].name in _LIMITS:
+            while (place := last(targets)) and place >= (limits[-1] if limits else 0):
+                pop_to(place)
+                if name != "tr":
                     break
-        if name in _VOID:
-            continue
-        if name in _RAW:
-            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if attributes.rstrip().endswith("/") and name in _UNSEEN:
+        if name in _VOID or name in _RAW or attributes.rstrip().endswith("/") and name in _UNSEEN:
             continue
         if name == "body":
             pop_to(1)  # the head ends here, closed or not
-        stack.append(Node(name, stack[-1], *_bias(name, attributes, stack[-1])))
-        links += name == "a"
-        unseen += name in _UNSEEN
+        push(Node(name, stack[-1], *_bias(name, attributes, stack[-1])))
+    text(page[at:])
     for b in out:
-        b.text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
+        b.text = _decoded("".join(b.parts))
     return [b for b in out if b.text]
 
 
-def cost(b: Block) -> float:
-    """The classifier: positive for content, negative for boilerplate."""
-    n = len(b.text)
-    share = min(1.0, b.linked / max(1, n))
-    value = b.parent.bias + (1.0 if b.tag == "p" else 0.8 if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "pre", "td") else 0.0 if b.tag == "li" else 0.2)
-    value += 1.2 if n >= 200 else 0.6 if n >= 60 else -0.4 if n < 25 else 0.0
-    return value - 3.0 * share * (not b.parent.in_article)
+#: What is seen of a block's text: a constant, its length and whether it is very short or long, the share of it that is linked,
+#: its sentence marks, whether it ends like a sentence, signs of a notice, heading or list item, and length and links around it.
+FEATURES = ("constant", "length", "short", "long", "linked", "marks", "ends", "notice", "heading", "item", "near length", "near linked")
+_NOTICE = re.compile("[\u00a9\u00ae|\u00b7\u00bb\u203a]")
+_MARKS = re.compile("[.!?,;:\u3002\uff0c\u3001]")
+
+
+def text_features(found: list[Block]) -> np.ndarray:
+    """(blocks, FEATURES) of a page; nothing of it comes from names or roles of elements but headings and list items."""
+    x = np.zeros((len(found), len(FEATURES)))
+    for i, b in enumerate(found):
+        n = len(b.text)
+        marks = len(_MARKS.findall(b.text)) / n
+        x[i, :10] = (
+            1, min(np.log1p(n) / 6, 2), n < 25, n >= 200, min(1, b.linked / n), min(1, 20 * marks), b.text[-1] in ".!?:\"'\u3002",
+            _NOTICE.search(b.text) is not None, b.tag in _HEADINGS, b.tag == "li",
+        )
+    if len(found) > 1:
+        for to, of in ((10, 1), (11, 4)):
+            sides = np.pad(x[:, of], 1, mode="edge")
+            x[:, to] = (sides[:-2] + sides[2:]) / 2
+    elif found:
+        x[:, 10], x[:, 11] = x[:, 1], x[:, 4]
+    return x
+
+
+@dataclass
+class Model:
+    """Log-odds of content: weights of the text features, and what a pair of blocks costs that gets different labels."""
+
+    weights: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.6, -0.4, 0.6, -3.0, 0.3, 0.3, -0.6, 0.4, -0.4, 0.2, -0.3]))
+    #: For pairs that follow each other under one element, that follow each other otherwise, and that stand under one element.
+    ties: tuple[float, float, float] = (0.8, 0.3, 0.5)
+    #: The text's part of a cost stays within this, so that clear markup is not outvoted by words.
+    most: float = 2.5
+
+
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def markup_cost(b: Block) -> float:
+    """What markup says: elements, roles and names around the block, and its own tag."""
+    return b.parent.bias + (1.0 if b.tag == "p" or b.tag in _HEADINGS or b.tag in ("pre", "td") else 0.0 if b.tag == "li" else 0.2)
+
+
+def costs_of(found: list[Block], model: Model, use_markup: bool = True) -> list[float]:
+    """Positive for content, negative for boilerplate."""
+    said = np.clip(text_features(found) @ model.weights, -model.most, model.most) if found else np.zeros(0)
+    return [float(s) + (markup_cost(b) if use_markup else 0.0) for s, b in zip(said, found, strict=True)]
+
+
+def pairs_of(found: list[Block]) -> list[tuple[int, int, int]]:
+    """(block, later block, kind of tie): neighbours in reading order, and blocks with the last one under the same element."""
+    out, last = [], {}
+    for i, b in enumerate(found):
+        up = b.parent.parent
+        if i:
+            out.append((i - 1, i, 0 if up is found[i - 1].parent.parent else 1))
+        if up is not None:
+            if last.get(id(up), i - 1) != i - 1:
+                out.append((last[id(up)], i, 2))
+            last[id(up)] = i
+    return out
+
+
+def edges_of(found: list[Block], model: Model, use_markup: bool = True) -> list[tuple[int, int, float]]:
+    """Ties of the page's blocks; none between a block that markup rejects and one that it does not."""
+    rejected = [use_markup and b.parent.bias <= -7.0 for b in found]
+    return [(i, j, model.ties[kind]) for i, j, kind in pairs_of(found) if rejected[i] == rejected[j]]
+
+
+def clear_label(b: Block) -> int:
+    """1 or 0 for a block whose markup is clear, else -1."""
+    return 0 if b.parent.bias <= -7.0 else 1 if b.parent.in_article and b.parent.bias >= 4.0 else -1
+
+
+def sample_rows(page: str | None, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """(text features and sums of the labels, 1 or -1, of what a block is tied to by kind of tie; labels) of at most ``most``
+    clear blocks of a page, evenly spread."""
+    found = blocks(page or "")
+    labels = np.array([clear_label(b) for b in found], dtype=np.int8)
+    around = np.zeros((len(found), 3))
+    for i, j, kind in pairs_of(found):
+        for to, of in ((i, j), (j, i)):
+            around[to, kind] += 0 if labels[of] < 0 else 2 * labels[of] - 1
+    at = np.flatnonzero(labels >= 0)
+    at = at[:: max(1, -(-len(at) // most))]
+    return np.column_stack([text_features(found), around])[at], labels[at]
+
+
+def fit(x: np.ndarray, y: np.ndarray, trust: float = 20.0, steps: int = 30) -> Model:
+    """The maximum pseudo-likelihood: logistic regression on text features and labels around, so that weights and ties are on one
+    scale, drawn towards those of ``Model()`` with the weight of ``trust`` blocks; classes are weighted alike. Without blocks of
+    both labels the model stays as it is."""
+    model = Model()
+    if len(np.unique(y)) < 2:
+        return model
+    start = np.concatenate([model.weights, model.ties])
+    w = start.copy()
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * min(len(y), 100 * trust)
+    for _ in range(steps):  # Newton's method
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (weight * (p - y)) + trust * (w - start)
+        w = w - np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + trust * np.eye(len(w)), gradient)
+    return Model(w[: len(FEATURES)], tuple(float(t) for t in np.maximum(w[len(FEATURES) :], 0)))
+
+
+def scaled(model: Model, factors: tuple[float, ...]) -> Model:
+    return Model(model.weights, tuple(t * f for t, f in zip(model.ties, factors, strict=True)), model.most)
+
+
+def mistakes(page: str | None, models: list[Model]) -> np.ndarray:
+    """For each model (clear blocks, wrong by their costs alone, wrong after the cut, put right by the cut), markup being hidden.
+    The models differ in their ties only."""
+    found = blocks(page or "")
+    truth = np.array([clear_label(b) for b in found])
+    seen, pairs = truth >= 0, pairs_of(found)
+    costs = costs_of(found, models[0], use_markup=False)
+    alone = np.array(costs) >= 0
+    out = np.zeros((len(models), 4), dtype=np.int64)
+    for k, model in enumerate(models):
+        cut = np.array(minimum_cut(costs, [(i, j, model.ties[kind]) for i, j, kind in pairs]), dtype=bool)
+        out[k] = seen.sum(), (alone != truth)[seen].sum(), (cut != truth)[seen].sum(), ((alone != truth) & (cut == truth))[seen].sum()
+    return out
+
+
+#: Ties fitted by pseudo-likelihood come out too strong where labels run in long stretches: each kind is tried at these scales.
+SCALES = tuple(itertools.product((0.25, 0.5, 1.0), (0.0, 0.1, 0.3), (0.02, 0.1, 0.3)))
+
+
+def train(pages: DataFrame, max_pages: int = 1000) -> Model:
+    """The model fitted to at most ``max_pages`` pages (chosen by a hash of their ids), 200 blocks of each at most; of the
+    ``SCALES`` of its ties those are taken whose cuts make the fewest mistakes on these pages, the strongest of equal ones."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [sample_rows(page.as_py()) for page in batch.column("html")]
+            columns = [pa.array([r[k].astype(t).tobytes() for r in rows], pa.binary()) for k, t in enumerate(("<f4", "i1"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "y"])
+
+    chosen = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
+    # A repeated id must not widen the sample: one row of each.
+    rows = pages.select("page_id", F.col("html").cast("string").alias("html")).join(F.broadcast(chosen), "page_id").dropDuplicates(["page_id"])
+    sample = materialize(rows.select("html"), "page-sample")
+    got = sample.mapInArrow(read, "x binary, y binary").collect()
+    x = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(r["x"], "<f4") for r in got)]).reshape(-1, len(FEATURES) + 3)
+    y = np.concatenate([np.zeros(0, "i1"), *(np.frombuffer(r["y"], "i1") for r in got)])
+    order = np.lexsort((y, *x.T))  # the same sums whatever order the rows come in
+    fitted = fit(x[order].astype(np.float64), y[order])
+    models = [scaled(fitted, f) for f in SCALES]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.column("html"):
+                wrong = pa.array(mistakes(page.as_py(), models)[:, 2])
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(models)), pa.int32()), wrong], names=["model", "wrong"])
+
+    wrong = {r["model"]: r["n"] for r in sample.mapInArrow(judge, "model int, wrong bigint").groupBy("model").agg(F.sum("wrong").alias("n")).collect()}
+    discard(sample)
+    return models[min(range(len(models)), key=lambda k: (wrong.get(k, 0), -k))]
 
 
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """For each node whether it stays on the content side of the minimum cut (max-flow by Dinic's algorithm).
+    """For each node whether it stays on the content side of the minimum cut.
 
     A node of cost c has capacity c from the source if positive, -c to the sink if negative; edges cost their weight when
     their ends get different labels.
     """
+    label: list[bool | None] = [None] * len(costs)
+    near: list[dict[int, float]] = [{} for _ in costs]
+    for i, j, w in edges:
+        near[i][j] = near[i].get(j, 0.0) + w
+        near[j][i] = near[j].get(i, 0.0) + w
+    # A node whose cost outweighs its edges keeps its own label in any minimum cut, and adds them to its neighbours' costs.
+    now, tied = list(costs), [sum(n.values()) for n in near]
+    queue = deque(i for i in range(len(now)) if abs(now[i]) >= tied[i])
+    while queue:
+        i = queue.popleft()
+        if label[i] is not None:
+            continue
+        label[i] = now[i] >= 0
+        for j, w in near[i].items():
+            if label[j] is None:
+                now[j] += w if label[i] else -w
+                tied[j] -= w
+                if abs(now[j]) >= tied[j] - 1e-12:
+                    queue.append(j)
+    rest = [i for i in range(len(now)) if label[i] is None]
+    if rest:
+        number = {i: k for k, i in enumerate(rest)}
+        ties = [(number[i], number[j], w) for i in rest for j, w in near[i].items() if i < j and j in number]
+        for i, kept in zip(rest, _max_flow_cut([now[i] for i in rest], ties), strict=True):
+            label[i] = kept
+    return [bool(x) for x in label]
+
+
+def _max_flow_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Which nodes the source still reaches after a maximum flow (Dinic's algorithm)."""
     n = len(costs)
-    if all(c >= 0 for c in costs) or all(c <= 0 for c in costs):
-        return [c >= 0 for c in costs]
     graph: list[list[int]] = [[] for _ in range(n + 2)]
     to: list[int] = []
     room: list[int] = []
@@ -271,33 +505,27 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
                 a = to[path.pop() ^ 1]
 
 
-def main_text(page: str | None) -> str:
+def labels_of(found: list[Block], model: Model, use_markup: bool = True) -> list[bool]:
+    return minimum_cut(costs_of(found, model, use_markup), edges_of(found, model, use_markup))
+
+
+def main_text(page: str | None, model: Model | None = None) -> str:
     """The text of the blocks that the minimum cut labels content, two newlines apart; empty for null or no content."""
     found = blocks(page or "")
-    edges, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            near = b.parent.parent is found[i - 1].parent.parent
-            edges.append((i - 1, i, 0.8 if near else 0.3))
-        for up in (b.parent.parent,):
-            if up is not None and id(up) in last and last[id(up)] != i - 1:
-                edges.append((last[id(up)], i, 0.5))
-            if up is not None:
-                last[id(up)] = i
-    kept = minimum_cut([cost(b) for b in found], edges)
-    return "\n\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
-
-
-def extract(pages: DataFrame) -> DataFrame:
+    return "\n\n".join(b.text for b, keep in zip(found, labels_of(found, model or Model()), strict=True) if keep)
+
+
+def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row of ``pages`` (page_id, url, html).
 
     Null and empty pages, and pages without content, have an empty text; repeated rows give repeated results; extra
     columns are ignored; an empty table gives no rows. Pages may be cut off anywhere and nest badly.
     """
+    model = model or Model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py()) for page in batch.column("html")]
+            texts = [main_text(page.as_py(), model) for page in batch.column("html")]
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 

@@ -41,7 +41,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_mincut.extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html_mincut.extract(pages, html_mincut.train(pages))
 
 
 def op5_fm_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

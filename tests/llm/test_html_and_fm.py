@@ -1,6 +1,8 @@
 import itertools
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -108,3 +110,87 @@ def test_one_text_by_itself_scores_alike():
     column = pa.array(["a b c", "x " * 300, ""])
     whole = fm.features(column)
     assert np.allclose(whole[1:2], fm.features(column.slice(1, 1)))
+
+
+class Article(HTMLParser):
+    """The blocks of text within <article>, by Python's own parser: what the test pages' markup says is their content."""
+
+    INLINE = {"a", "b", "i", "em", "strong", "span", "u", "code"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.parts, self.out = 0, 0, [], []
+
+    def end_block(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            self.out.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in self.INLINE:
+            self.end_block()
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.end_block()
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.parts.append(data)
+
+
+def test_query_equals_another_parser(spark):
+    from medialedger.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        parser = Article()
+        parser.feed(r["html"] or "")
+        parser.close()
+        parser.end_block()
+        want[r["page_id"]] = (r["url"], "\n\n".join(parser.out))
+    rows = queries.op4_html_mincut(spark, folder).collect()
+    assert len(rows) == len(want) and {r["page_id"]: (r["url"], r["text"]) for r in rows} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_the_cut_corrects_the_classifier(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    rows = [h.sample_rows(p) for p in pages[::2]]
+    fitted = h.fit(np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows]))
+    models = [h.scaled(fitted, f) for f in h.SCALES]
+    tried = sum(h.mistakes(p, models) for p in pages[::2])
+    best = models[min(range(len(models)), key=lambda k: (tried[k][2], -k))]
+    blocks, alone, cut, mended = sum(h.mistakes(p, [best]) for p in pages[1::2])[0]
+    assert mended > 0 and cut <= alone < blocks * 0.15
+    # With its markup in sight each page is cut as its markup says.
+    for p in pages[1::2]:
+        found = h.blocks(p)
+        assert all(k == t for k, t in zip(h.labels_of(found, best), map(h.clear_label, found), strict=True) if t >= 0)
+
+
+def test_long_pages_take_seconds():
+    begun = time.time()
+    for piece in ('<a "', "<a '", "<div>", "<b><i>", "</x><span>", "<p><h1>", "<tr><td>x", "<!-", "<script", 'class="', "&#9", "<p>a<hr>"):
+        h.main_text(piece * (1_000_000 // len(piece)))
+    h.main_text("&#" + "9" * 10_000 + "; &#" + "0" * 10_000 + "65; x")
+    assert time.time() - begun < 120
+    text = "<p>" + "a long story " * 100_000 + "</p>"
+    assert len(h.main_text(f"<article>{text}</article>")) == 1_299_999
+    assert h.main_text('<article><p>one</p><a href="x>two</article><p>three') == "one\n\ntwo\n\nthree"
+
+
+def test_training_takes_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "")], "page_id bigint, url string, html string").withColumn("x", F.lit("clash"))
+    model = h.train(pages)
+    assert h.main_text(PAGE, model).split("\n\n") == WANT
+    nothing = h.train(pages.limit(0))
+    assert np.allclose(nothing.weights, h.Model().weights)
