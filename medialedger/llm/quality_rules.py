@@ -17,17 +17,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialedger.llm.store import materialize
-from medialedger.llm.wordscan import _BYTE, IS_WORD, distinct_rows, scan_words, slices, spans_hash, windows
+from medialedger.llm.store import materialize, small
+from medialedger.llm.wordscan import _BYTE, IS_WORD, distinct_rows, mix, scan_words, slices, spans_hash, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines")
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", dtype=np.uint8)] = True
 _MARK = np.zeros(256, dtype=bool)
 _MARK[np.frombuffer(b"!?@^_~=+/\\{}[]", dtype=np.uint8)] = True
+_U = np.uint64
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
-_LARGE = 4 << 20
+#: Lines are hashed together in runs of this many bytes at most.
+_RUN = 1 << 20
+
+
+def _line_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each line. Lines are taken in runs of bounded size, and one that is longer than a run in steps of that size, so
+    that memory stays bounded in texts and lines of any length; a line's hash depends on its bytes alone."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for i in np.flatnonzero(ends - starts > _RUN):
+        for at in range(int(starts[i]), int(ends[i]), _RUN):
+            part = _BYTE[data[at : min(int(ends[i]), at + _RUN)]]
+            out[i : i + 1] = mix(out[i : i + 1] * _U(31) + spans_hash(part, np.array([0]), np.array([len(part)]), "byte"))
+    short = np.flatnonzero(ends - starts <= _RUN)
+    at = 0
+    while at < len(short):
+        begin = int(starts[short[at]])
+        stop = max(at + 1, int(np.searchsorted(ends[short], begin + _RUN, "right")))
+        lines = short[at:stop]
+        part = _BYTE[data[begin : int(ends[lines[-1]])]]
+        out[lines] = spans_hash(part, starts[lines] - begin, ends[lines] - begin, "byte")
+        at = stop
+    return out
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,15 +66,7 @@ def _lines(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray) -> tu
     full = np.searchsorted(word_starts, ends) > np.searchsorted(word_starts, starts)
     starts, ends, rows = starts[full], ends[full], rows[full]
     n = len(offsets) - 1
-    if len(data) > _LARGE:
-        seen: set[tuple[int, bytes]] = set()
-        again = np.zeros(len(starts), dtype=bool)
-        for i, (row, a, b) in enumerate(zip(rows, starts, ends, strict=True)):
-            key = (int(row), data[a:b].tobytes())
-            again[i] = key in seen
-            seen.add(key)
-    else:
-        again = ~distinct_rows(rows, spans_hash(_BYTE[data], starts, ends, "byte"))[0]
+    again = ~distinct_rows(rows, _line_hashes(data, starts, ends))[0]
     return np.bincount(rows, minlength=n), np.bincount(rows[again], minlength=n)
 
 
@@ -117,13 +131,12 @@ def binomial_cdf(r: int, n: int, p: float) -> float:
 
 @dataclass(frozen=True)
 class Cutoffs:
-    """The certified level of each stratum; ``None`` stands for all languages that have no stratum of their own."""
+    """The certified level of each stratum; a stratum that no label was seen in has none and rejects nothing."""
 
     by_lang: dict[str | None, int]
 
     def of(self, langs: list[str | None]) -> np.ndarray:
-        other = self.by_lang.get(None, -1)
-        return np.array([self.by_lang.get(x, other) if x is not None else other for x in langs], dtype=np.int64)
+        return np.array([self.by_lang.get(x, -1) for x in langs], dtype=np.int64)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -139,32 +152,28 @@ def features(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, f"doc_id bigint, lang string, {', '.join(f'{c} bigint' for c in COUNTS)}, base_failed boolean, level bigint")
 
 
-def fit(rows: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05, max_strata: int = 64) -> Cutoffs:
+def fit(rows: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> Cutoffs:
     """Cutoffs under which, with probability 1 - ``error`` for all strata at once, at most ``risk`` of the good documents
     of each stratum that pass the base rules are rejected.
 
-    Strata are the ``max_strata`` languages with most labels and one for the rest. For each, levels are tested from lax to
+    Strata are all languages, rows without one being a stratum of their own. For each, levels are tested from lax to
     strict: level j is certified if P(Binomial(n, risk) <= rejected at j) <= error / strata; the first failure ends it.
     Fixed order needs no correction within a stratum. Of the certified levels the one that rejects most of the labelled bad
     documents is taken, the laxest of these if there are several. A stratum with too few labels certifies nothing and
-    rejects nothing. A document with both labels counts as good.
+    rejects nothing. A document with both labels counts as good. A labelled id is one draw in its language however many rows
+    have it, at the strictest judgement of them: draws that repeat would make the bound look surer than it is. The driver
+    gets one row of counts for each language, label and level.
     """
     marks = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    held = rows.where("NOT base_failed").join(marks, "doc_id").groupBy("lang", "quality", "level").count()
-    held = materialize(held, "quality-holdout")
-    top = held.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang").limit(max_strata)
-    strata: list[str | None] = [r["lang"] for r in top.collect()]
-    named = F.when(F.col("lang").isin([s for s in strata if s is not None]), F.col("lang")) if strata else F.lit(None).cast("string")
-    counts = held.groupBy(named.alias("lang"), "quality", "level").agg(F.sum("count").alias("n")).collect()
+    held = rows.where("NOT base_failed").join(marks, "doc_id").groupBy("doc_id", "lang", "quality").agg(F.min("level").alias("level"))
+    at: dict[str | None, np.ndarray] = {}
+    for r in held.groupBy("lang", "quality", "level").agg(F.count("*").alias("n")).collect():
+        at.setdefault(r["lang"], np.zeros((2, LEVELS + 1), dtype=np.int64))[r["quality"], r["level"]] += r["n"]
     out: dict[str | None, int] = {}
-    for stratum in [*strata, None]:
-        at = np.zeros((2, LEVELS + 1), dtype=np.int64)
-        for r in counts:
-            if r["lang"] == stratum:
-                at[r["quality"], r["level"]] += r["n"]
-        n, out[stratum], most = int(at[1].sum()), -1, 0
-        for j, (bad, good) in enumerate(np.cumsum(at[:, :LEVELS], axis=1).T if n else []):
-            if binomial_cdf(int(good), n, risk) > error / (len(strata) + 1):
+    for stratum, seen in at.items():
+        n, out[stratum], most = int(seen[1].sum()), -1, 0
+        for j, (bad, good) in enumerate(np.cumsum(seen[:, :LEVELS], axis=1).T if n else []):
+            if binomial_cdf(int(good), n, risk) > error / len(at):
                 break
             if bad > most:
                 out[stratum], most = j, bad
@@ -174,15 +183,14 @@ def fit(rows: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """The counts, base_failed, stratum's cutoff_level and kept of every row of ``docs`` (doc_id, text, lang).
 
-    Null and empty texts have no words and fail the base rules; null languages are judged with the pooled rest; rows that
+    Null and empty texts have no words and fail the base rules; rows without a language are a stratum of their own; rows that
     repeat are judged alike; without labels nothing but the base rules rejects; an empty table gives no rows.
     """
     rows = materialize(features(docs), "quality-features")
-    cutoffs = fit(rows, labels, risk, error).by_lang
-    other = cutoffs[None]
-    own = [F.when(F.col("lang") == k, F.lit(v)) for k, v in cutoffs.items() if k is not None]
-    level = F.coalesce(*own, F.lit(other)).cast("bigint")
-    return rows.withColumn("cutoff_level", level).withColumn("kept", ~F.col("base_failed") & (F.col("level") > F.col("cutoff_level")))
+    cutoffs = docs.sparkSession.createDataFrame(list(fit(rows, labels, risk, error).by_lang.items()), "stratum string, cutoff bigint")
+    rows = rows.join(small(cutoffs), F.col("lang").eqNullSafe(F.col("stratum")), "left").drop("stratum")
+    rows = rows.withColumn("cutoff_level", F.coalesce("cutoff", F.lit(-1).cast("bigint"))).drop("cutoff")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("level") > F.col("cutoff_level")))
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:

@@ -31,8 +31,8 @@ def texts(seed, n):
 
 def test_counts_equal_brute_force(spark, monkeypatch):
     t = texts(1, 300)
-    for large in (8 << 20, 0):
-        monkeypatch.setattr(q, "_LARGE", large)
+    for run in (1 << 20, 40, 7, 1):
+        monkeypatch.setattr(q, "_RUN", run)
         import pyarrow as pa
 
         got = q.count_features(pa.array(t))
@@ -59,7 +59,7 @@ def test_cutoffs_hold_the_risk_and_reject_junk(spark):
     assert len(rows) == 802
     assert all(rows[i]["kept"] for i in range(600))
     assert not any(rows[i]["kept"] for i in range(600, 800) if i % 50)
-    assert all(rows[i]["kept"] for i in range(600, 800) if not i % 50)  # too few labels in the pooled stratum
+    assert all(rows[i]["kept"] for i in range(600, 800) if not i % 50)  # too few labels without a language
     assert rows[800]["base_failed"] and rows[801]["base_failed"]
     kept = q.keep(docs, labels)
     assert kept.columns == docs.columns
@@ -67,3 +67,28 @@ def test_cutoffs_hold_the_risk_and_reject_junk(spark):
     none = q.judge(docs, labels.limit(0)).where("NOT kept").collect()
     assert {r["doc_id"] for r in none} == {800, 801}
     assert q.judge(documents(spark, []), labels).collect() == []
+
+
+def test_a_hundred_languages_hold_their_bounds(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for lang in range(100):
+        for k in range(40):
+            bad = k % 4 == 0
+            w = ["".join(rng.choice("abcdefghij") for _ in range(6)) + ("###" if bad else "") for _ in range(60)]
+            rows.append((lang * 40 + k, " ".join(w), f"l{lang}"))
+            labels.append((lang * 40 + k, int(not bad)))
+    # In one language good texts have symbols too, so its own bound forbids what the others certify.
+    rows = [(i, t.replace(" ", "### ") if lang == "l99" else t, lang) for i, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = q.fit(q.features(docs), marks, risk=0.3, error=0.5).by_lang
+    assert len(got) == 100
+    n = 30
+    certain = q.binomial_cdf(0, n, 0.3) <= 0.5 / 100
+    assert certain and all(got[f"l{i}"] >= 0 for i in range(99)) and got["l99"] == -1
+    # Rows of one labelled id are one draw: many copies of three good documents certify nothing.
+    few = docs.where("doc_id IN (1, 2, 3)").unionByName(docs.where("doc_id % 4 = 0 AND lang = 'l0'"))
+    many = few.join(spark.range(200).select(), how="cross")
+    assert q.fit(q.features(many), marks, risk=0.05).by_lang == {"l0": -1}
+    assert q.judge(many, marks).where("kept").count() == many.count()
