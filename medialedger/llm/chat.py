@@ -24,7 +24,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"(?s)\\(.)", "$1")).otherwise(text)
 
 
 def expand(conversations: DataFrame) -> DataFrame:
@@ -41,26 +41,27 @@ def expand(conversations: DataFrame) -> DataFrame:
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     )
-    head = lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit(TEXT))
-    whole = lambda t: F.concat(head(t), escape(t["text"]), F.lit(END))
-    is_reply = lambda t: t["role"] == "assistant"
-    last = F.element_at("turns", -1)
-    n = F.size("turns")
-    rows = turns.select(
+    # Each text is escaped once; examples are put together from the turns as shown, and places from their lengths.
+    parts = turns.select("conv_id", F.transform("turns", lambda t: F.struct(
+        (t["role"] == "assistant").alias("reply"), F.concat(F.lit(START), escape(t["role"]), F.lit(TEXT)).alias("head"), escape(t["text"]).alias("body")
+    )).alias("parts"))
+    shown = parts.select(
         "conv_id",
-        "turns",
-        F.transform("turns", whole).alias("shown"),
-        F.explode(F.filter(F.sequence(F.lit(1), n), lambda i: is_reply(F.element_at("turns", i)) | ((i == n) & ~is_reply(last)))).alias("example"),
+        F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))).alias("shown"),
+        F.transform("parts", lambda p: F.struct(p["reply"].alias("reply"), F.length(p["head"]).alias("head"), F.length(p["body"]).alias("body"))).alias("sizes"),
     )
-    target = F.element_at("turns", F.col("example"))
-    context = F.array_join(F.slice("shown", F.lit(1), F.col("example") - 1), "")
-    prompt, answer = F.concat(context, head(target)), escape(target["text"])
+    n = F.size("sizes")
+    is_reply = lambda i: F.element_at("sizes", i)["reply"]
+    examples = F.filter(F.sequence(F.lit(1), n), lambda i: is_reply(i) | ((i == n) & ~is_reply(i)))
+    rows = shown.select("conv_id", "shown", "sizes", F.explode(examples).alias("example"))
+    target = F.element_at("sizes", F.col("example"))
+    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("example") - 1), F.lit(0), lambda sum_, t: sum_ + t["head"] + t["body"] + len(END))
     return rows.select(
         "conv_id",
         "example",
-        F.concat(prompt, answer, F.lit(END)).alias("formatted"),
-        F.when(is_reply(target), F.length(prompt)).alias("loss_start"),
-        F.when(is_reply(target), F.length(answer)).otherwise(0).alias("loss_length"),
+        F.array_join(F.slice("shown", F.lit(1), F.col("example")), "").alias("formatted"),
+        F.when(target["reply"], before + target["head"]).alias("loss_start"),
+        F.when(target["reply"], target["body"]).otherwise(0).alias("loss_length"),
     )
 
 

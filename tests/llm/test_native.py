@@ -222,3 +222,18 @@ def test_crc(spark, tmp_path):
     rows = {r["doc_id"]: r for r in queries.op2_two_pass_shuffle(spark, str(tmp_path)).collect()}
     assert (rows[0]["size"], rows[0]["text_crc32"]) == (3, zlib.crc32("é".encode()))
     assert (rows[1]["size"], rows[1]["text_crc32"]) == (1, 0)
+
+
+def test_odd_conversations(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (5, 1, "user", "x"), (5, 1, "assistant", "y"), (5, 1, "assistant", "y"), (6, None, None, None)]
+    df = spark.createDataFrame(rows, schema).withColumns({"shown": F.lit(1), "example": F.lit("clash")})
+    got = sorted(((r["conv_id"] or -1, r["example"], r["formatted"], r["loss_start"], r["loss_length"]) for r in chat.expand(df).collect()), key=str)
+    turn = lambda role, text: f"<|start|>{role}<|text|>{text}<|end|>"
+    want = [
+        (-1, 2, turn("user", "a") + turn("assistant", "b"), len(turn("user", "a")) + len("<|start|>assistant<|text|>"), 1),
+        (5, 1, turn("assistant", "y"), 26, 1), (5, 2, turn("assistant", "y") * 2, len(turn("assistant", "y")) + 26, 1),
+        (5, 3, turn("assistant", "y") * 2 + turn("user", "x"), None, 0), (6, 1, turn("", ""), None, 0),
+    ]
+    assert got == sorted(want, key=str)
+    assert chat.expand(df.limit(0)).collect() == []
