@@ -17,8 +17,9 @@ def clean(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Key of a tag: runs of white space as one space, lower case."""
-    return F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    """Key of a tag: runs of white space as one space, letters folded (capitals first, so that one letter's forms and those that
+    stand for two come out alike; both small sigmas are one)."""
+    return F.replace(F.lower(F.upper(F.regexp_replace(F.trim(c), r"\s+", " "))), F.lit("\u03c2"), F.lit("\u03c3"))
 
 
 @F.pandas_udf(StringType())

@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFr
 
     Each pass only keeps, for every node, its edges to smaller nodes and rewires them to the smallest neighbour, so no
     pass holds more edges than the input and no neighbour list is ever gathered. ``cut`` must return its argument with
-    the lineage cut (a checkpoint or a written table); it is called once a pass, and ``drop`` with the table of the pass
+    the lineage cut, at once (a written table or an eager checkpoint); it is called once a pass, and ``drop`` with the table of the pass
     before. Loops and repeated edges are allowed, edges with a null end are dropped; a table without edges gives no rows.
     """
     current = cut(

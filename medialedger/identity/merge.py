@@ -21,21 +21,22 @@ def _keyed(items: DataFrame, identifiers: DataFrame, kinds: tuple[str, ...], pro
 
 
 def shared_identifiers(items: DataFrame, identifiers: DataFrame, kinds: tuple[str, ...] = KINDS, providers: tuple[str, ...] = STABLE_PROVIDERS) -> DataFrame:
-    """A10: identifiers with two or more items of one kind, and these."""
-    ids = F.array_sort(F.collect_set("media_item_id"))
-    return _keyed(items, identifiers, kinds, providers).groupBy("kind", "provider", "external_id").agg(ids.alias("ids")).where(F.size("ids") > 1)
+    """A10: identifiers with two or more items of one kind: one row for each of these items, with their number."""
+    keyed = _keyed(items, identifiers, kinds, providers)
+    several = keyed.groupBy("kind", "provider", "external_id").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(several, ["kind", "provider", "external_id"])
 
 
 def groups(items: DataFrame, identifiers: DataFrame, cut: Callable[[DataFrame], DataFrame], kinds: tuple[str, ...] = KINDS,
-           providers: tuple[str, ...] = STABLE_PROVIDERS) -> DataFrame:
+           providers: tuple[str, ...] = STABLE_PROVIDERS, drop: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """(media_item_id, group_id) of all items in groups of two or more; the id is the smallest item.
 
-    Every item of an identifier is linked to its smallest one, a star and no clique, and the components of that are found.
+    ``cut`` and ``drop`` are those of ``connected_components``. Every item of an identifier is linked to its smallest one, a star and no clique, and the components of that are found.
     """
     keyed = _keyed(items, identifiers, kinds, providers)
     smallest = keyed.groupBy("kind", "provider", "external_id").agg(F.min("media_item_id").alias("first"))
     edges = keyed.join(smallest, ["kind", "provider", "external_id"]).where(F.col("media_item_id") != F.col("first")).select("media_item_id", "first")
-    return connected_components(edges, "media_item_id", "first", cut).select(F.col("node").alias("media_item_id"), F.col("root").alias("group_id"))
+    return connected_components(edges, "media_item_id", "first", cut, drop).select(F.col("node").alias("media_item_id"), F.col("root").alias("group_id"))
 
 
 def merge_plan(members: DataFrame, refs: DataFrame, sources: DataFrame) -> DataFrame:

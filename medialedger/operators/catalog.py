@@ -91,6 +91,17 @@ def shared_availability(items: DataFrame, identifiers: DataFrame, refs: DataFram
     return own.join(by_key, key).groupBy("media_item_id").agg(F.bool_or("on_plex").alias("on_plex"), F.bool_or("on_jellyfin").alias("on_jellyfin"))
 
 
+def catalog_availability(items: DataFrame, identifiers: DataFrame, refs: DataFrame, sources: DataFrame) -> DataFrame:
+    """J10 and J11 together: availability of each item through its own references or those of items of its kind that share an
+    identifier; an item stands for itself under a key of its own, so references are read and gathered once."""
+    kinds = items.select(F.col("id").alias("media_item_id"), "kind")
+    own = identifiers.select("media_item_id", "provider", "external_id").join(kinds, "media_item_id")
+    own = own.unionByName(kinds.select("media_item_id", F.lit("").alias("provider"), F.col("media_item_id").cast("string").alias("external_id"), "kind"))
+    key = ["kind", "provider", "external_id"]
+    by_key = own.join(availability(refs, sources), "media_item_id").groupBy(*key).agg(F.bool_or("on_plex").alias("on_plex"), F.bool_or("on_jellyfin").alias("on_jellyfin"))
+    return own.join(by_key, key).groupBy("media_item_id").agg(F.bool_or("on_plex").alias("on_plex"), F.bool_or("on_jellyfin").alias("on_jellyfin"))
+
+
 def canonical_identifier(identifiers: DataFrame) -> DataFrame:
     """The best identifier of each item by provider order, then by its text."""
     rank = F.coalesce(*(F.when(F.col("provider") == p, F.lit(i)) for i, p in enumerate(PROVIDER_ORDER)), F.lit(len(PROVIDER_ORDER)))
@@ -114,11 +125,10 @@ def catalog(items: DataFrame, events: DataFrame, states: DataFrame, identifiers:
         rows = rows.join(present, "id", "left_semi" if available == "available" else "left_anti")
     if played != "all":
         rows = rows.where((F.col("completion_count") > 0) == (played == "played"))
-    flags = shared_availability(items, identifiers, refs, sources).withColumnRenamed("media_item_id", "id")
-    direct = availability(refs, sources).select(F.col("media_item_id").alias("id"), F.col("on_plex").alias("d_plex"), F.col("on_jellyfin").alias("d_jellyfin"))
-    rows = rows.join(last_played(items, events, states).withColumnRenamed("root_id", "id"), "id", "left").join(flags, "id", "left").join(direct, "id", "left")
-    either = lambda c: (F.coalesce(f"on_{c}", F.lit(False)) | F.coalesce(f"d_{c}", F.lit(False))).alias(f"on_{c}")
-    return rows.select(*items.columns, "completion_count", "first_completed", "last_completed", "last_played", either("plex"), either("jellyfin"))
+    flags = catalog_availability(items.where(F.col("kind").isin(*kinds)), identifiers, refs, sources).withColumnRenamed("media_item_id", "id")
+    rows = rows.join(last_played(items, events, states).withColumnRenamed("root_id", "id"), "id", "left").join(flags, "id", "left")
+    known = [F.coalesce(c, F.lit(False)).alias(c) for c in ("on_plex", "on_jellyfin")]
+    return rows.select(*items.columns, "completion_count", "first_completed", "last_completed", "last_played", *known)
 
 
 def deduplicated(rows: DataFrame, identifiers: DataFrame, order: list[Column]) -> DataFrame:
@@ -160,6 +170,15 @@ def dashboard(items: DataFrame, events: DataFrame, states: DataFrame) -> DataFra
     return rows.groupBy("kind").agg(F.count("*").alias("total"), F.count("w").alias("watched"))
 
 
+def table_counts(**tables: DataFrame) -> DataFrame:
+    """One row with the number of rows of each table (sources, libraries)."""
+    row = None
+    for name, table in tables.items():
+        one = table.agg(F.count("*").alias(name))
+        row = one if row is None else row.crossJoin(F.broadcast(one))  # each is one row
+    return row
+
+
 def state_dashboard(items: DataFrame, states: DataFrame) -> DataFrame:
     """Items, state rows and completed state rows by kind."""
     rows = items.select(F.col("id").alias("media_item_id"), "kind").join(states.select("media_item_id", "completed"), "media_item_id", "left")

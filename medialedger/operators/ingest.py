@@ -85,9 +85,11 @@ def implied_events(staged: DataFrame) -> DataFrame:
                        F.col("last_viewed_at").alias("watched_at"), F.lit(True).alias("completed"))
 
 
-def discover(libraries: DataFrame, found: DataFrame) -> DataFrame:
+def discover(libraries: DataFrame, found: DataFrame, succeeded: bool = True) -> DataFrame:
     """Libraries (source_id, external_id, name, media_type, enabled, available) after a discovery: new ones disabled, known
-    ones keep ``enabled`` and take name and type, those not found become unavailable."""
+    ones keep ``enabled`` and take name and type, those not found become unavailable. One that failed changes nothing."""
+    if not succeeded:
+        return libraries.select("source_id", "external_id", "name", "media_type", "enabled", "available")
     key = ["source_id", "external_id"]
     new = found.select(*key, F.col("name").alias("_name"), F.col("media_type").alias("_type"), F.lit(True).alias("_found"))
     return libraries.join(new, key, "full").select(
@@ -113,6 +115,14 @@ def without_source(rows: DataFrame, source_id: int) -> DataFrame:
     return rows.where(F.coalesce(F.col("source_id") != source_id, F.lit(True)))
 
 
+def reset_marks(marks: DataFrame, libraries: DataFrame, source_id: int, library_id: int | None = None) -> DataFrame:
+    """Incremental marks (library_id, ...) without those of one library, or of all libraries of a source; what has no mark is
+    scanned in full."""
+    own = libraries.where(F.col("source_id") == source_id)
+    own = own.where(F.col("id") == library_id) if library_id is not None else own
+    return marks.join(own.select(F.col("id").alias("library_id")), "library_id", "left_anti")
+
+
 def apply_propagation(states: DataFrame, sent: DataFrame) -> DataFrame:
     """States after plays were sent to their targets: completed at the event's time, one view at least, no progress."""
     key = ["media_item_id", "source_id"]

@@ -9,11 +9,11 @@ from medialedger import functions as fn
 from medialedger import quality
 from medialedger.adapters import Tables
 from medialedger.identity import matching, merge
-from medialedger.operators import catalog, containers, enrichment, ledger, repair, reports
+from medialedger.operators import catalog, containers, enrichment, ingest, ledger, repair, reports
 from medialedger.plans.registry import NOW, register
 from medialedger.sources import history_export, payloads
 from medialedger.streaming import notifications, playback
-from medialedger.tables import written
+from medialedger.tables import discard, written
 
 
 def ntz(text: str) -> Column:
@@ -272,6 +272,11 @@ def _(t: Tables) -> DataFrame:
     return ledger.incremental_window(marks, NOW)
 
 
+@register("m22_reset_marks", "SELECT id AS library_id FROM libraries WHERE source_id <> 1")
+def _(t: Tables) -> DataFrame:
+    return ingest.reset_marks(t.libraries.select(F.col("id").alias("library_id")), t.libraries, 1)
+
+
 @register("m34_repaired_records", "SELECT media_item_id, CASE WHEN media_item_id % 3 = 0 THEN 'not_found' WHEN media_item_id % 3 = 1 THEN 'failed' ELSE 'succeeded' END AS status FROM media_identifiers WHERE provider = 'tmdb'")
 def _(t: Tables) -> DataFrame:
     rows = t.identifiers.where("provider = 'tmdb'").select("media_item_id", F.when(F.col("media_item_id") % 3 == 2, "succeeded").otherwise("failed").alias("status"), F.when(F.col("media_item_id") % 3 != 1, "gone").alias("message"))
@@ -339,4 +344,4 @@ def _(t: Tables) -> DataFrame:
 @register("m23_groups_of_stable_ids", """, k AS (SELECT DISTINCT external_id, media_item_id AS id FROM media_identifiers WHERE provider = 'imdb'), f AS (SELECT external_id, min(id) AS lo, count(*) AS n FROM k GROUP BY external_id)
 SELECT k.id AS media_item_id, f.lo AS group_id FROM k JOIN f USING (external_id) WHERE f.n > 1""")
 def _(t: Tables) -> DataFrame:
-    return merge.groups(t.items, t.identifiers, written, providers=("imdb",))
+    return merge.groups(t.items, t.identifiers, written, providers=("imdb",), drop=discard)

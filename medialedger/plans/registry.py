@@ -12,7 +12,7 @@ from medialedger import functions as fn
 from medialedger import quality
 from medialedger.adapters import Tables, with_views
 from medialedger.identity import merge
-from medialedger.tables import written
+from medialedger.tables import discard, written
 from medialedger.operators import catalog, ledger, reports
 from medialedger.streaming import playback
 
@@ -353,9 +353,14 @@ def _(t: Tables) -> DataFrame:
 
 
 @register("a10_shared_identifiers", """, k AS (SELECT DISTINCT i.kind, d.provider, d.external_id, d.media_item_id FROM media_identifiers d JOIN media_items i ON i.id = d.media_item_id)
-SELECT kind, provider, external_id, array_to_string(list_sort(list(media_item_id)), ',') AS ids FROM k GROUP BY kind, provider, external_id HAVING count(*) > 1""")
+SELECT kind, provider, external_id, media_item_id, count(*) OVER (PARTITION BY kind, provider, external_id) AS n FROM k QUALIFY n > 1""")
 def _(t: Tables) -> DataFrame:
-    return merge.shared_identifiers(t.items, t.identifiers).withColumn("ids", F.array_join("ids", ","))
+    return merge.shared_identifiers(t.items, t.identifiers)
+
+
+@register("a06_table_counts", "SELECT (SELECT count(*) FROM src) AS sources, (SELECT count(*) FROM libraries) AS libraries, (SELECT count(*) FROM watch_states WHERE completed) AS completed_states")
+def _(t: Tables) -> DataFrame:
+    return catalog.table_counts(sources=t.sources, libraries=t.libraries, completed_states=t.states.where("completed"))
 
 
 @register("a11_without_identifier", """SELECT kind, count(*) AS n FROM media_items WHERE kind IN ('movie', 'show', 'artist', 'album', 'track') AND id IN (SELECT media_item_id FROM source_media_refs)
@@ -373,7 +378,7 @@ grp AS (SELECT id AS media_item_id, min(other) AS group_id FROM reach GROUP BY i
 
 
 def found_groups(t: Tables) -> DataFrame:
-    return merge.groups(t.items, t.identifiers, written)
+    return merge.groups(t.items, t.identifiers, written, drop=discard)
 
 
 @register("m23_duplicate_groups", f"{COMPONENTS} SELECT * FROM grp")
