@@ -32,14 +32,15 @@ _PLAIN = re.compile(r'([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()"]*)')
 class WordIds(dict):
     """Token ids (little-endian uint32 bytes) of white-space-separated words, for tokenizers that drop white space.
 
-    Words are kept up to a fixed number, then the table starts anew; long words are never kept.
+    Words are kept up to a fixed number, then the table starts anew; long words are never kept. Plain words go to the model
+    alone as long as that gives what the whole tokenizer gives, which the first 2000 of them and every 64th later are held to.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
-        self.tokenizer, self.limit, self.parts = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.parts, self.tried = Tokenizer.from_file(path), limit, {}, 0
         self.model = self.tokenizer.model
         sample = ["a", "the", "straße", "éàçñöü", "quantification"]
         self.letters = self._model_ids if all(self._model_ids(w) == self.encode(w) for w in sample) else self.encode
@@ -59,6 +60,14 @@ class WordIds(dict):
             if len(self.parts) >= 2 * self.limit:
                 self.parts.clear()
             ids = self.parts[text] = encode(text)
+            self.tried += 1
+            if encode == self._model_ids and (self.tried < 2000 or self.tried % 64 == 0) and ids != self.encode(text):
+                # This model needs its other steps after all: from now on the whole tokenizer is asked.
+                self.letters = self.encode
+                self.clear()
+                self.parts.clear()
+                self[""] = b""
+                ids = self.encode(text)
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -116,6 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 409
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             columns = [pa.array(c, t) for c, t in zip(out, types, strict=True)][: 6 if with_ids else 5]
             yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.mapInArrow(cut, _PIECES + ", ids binary" * with_ids)
@@ -239,7 +249,8 @@ def place(rows: DataFrame, capacity: int = 4096, per_shard: int = 8192) -> DataF
         bins, offsets = pack(rows["length"].to_numpy(dtype=np.int64), capacity)
         return rows.drop(columns="shard").assign(sequence_id=key[0] * (1 << 32) + bins, offset=offsets)
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).alias("shard")
+    # The row's own number takes part, so that rows that repeat are dealt over the shards as others are.
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).alias("shard")
     return rows.select(shard, "*").groupBy("shard").applyInPandas(pack_shard, schema)
 
 
