@@ -115,7 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **options) -
                     columns = [piece.column("doc_id"), piece.column("quality").cast(pa.int32()), pa.array(cells, pa.binary()), pa.array(values, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "quality", "cells", "values"])
 
-    sample = rows.mapInArrow(sparse, "doc_id bigint, quality int, cells binary, values binary").dropDuplicates(["doc_id"]).collect()
+    found = rows.mapInArrow(sparse, "doc_id bigint, quality int, cells binary, values binary")
+    # Of several texts with one id always the same one is taken.
+    sample = found.groupBy("doc_id").agg(F.min(F.struct("quality", "cells", "values")).alias("r")).select("doc_id", "r.*").collect()
     sample.sort(key=lambda r: r["doc_id"])
     x = np.zeros((len(sample), WORDS + STATS), dtype=np.float32)
     for i, r in enumerate(sample):

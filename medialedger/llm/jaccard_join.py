@@ -319,7 +319,7 @@ class JaccardJoin:
         return of_others.unionByName(of_largest).where((F.col("p_root") != F.col("q_root")) & ordered & fits)
 
     def roots(self, links: DataFrame) -> DataFrame:
-        return connected_components(links, "a", "b", lambda df: materialize(df, "jaccard-components"))
+        return connected_components(links, "a", "b", lambda df: materialize(df, "jaccard-components"), discard)
 
     def components(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text); see ``classes``."""

@@ -39,7 +39,7 @@ def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i below n at least."""
     have = _powers.get(kind)
     if have is None or len(have[0]) < n:
-        size = max(n, _SEGMENT + 1)
+        size = max(n, 1 << 16, 2 * len(have[0]) if have else 0)
         base = _BASES[kind]
         up = np.full(size, base, dtype=np.uint64)
         down = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
@@ -150,7 +150,8 @@ def distinct_rows(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows of about ``max_bytes`` of text; one longer row comes by itself."""
+    """The batches cut into runs of rows of about ``max_bytes`` of text; one longer row comes by itself. At the end the worker
+    gives back what Arrow holds free, since workers outlive their tasks."""
     for batch in batches:
         _, offsets = text_bytes(batch.column(column))
         at = 0
@@ -158,3 +159,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        del batch
+    pa.default_memory_pool().release_unused()
