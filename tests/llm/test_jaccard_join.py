@@ -77,3 +77,39 @@ def test_components_equal_union_find(spark):
     got = {r["node"]: r["root"] for r in connected_components(df, "a", "b", lambda d: materialize(d, "test")).collect()}
     want = {x: find(parent, x) for e in edges if e[0] is not None and e[0] != e[1] for x in e}
     assert got == want
+
+
+def test_long_texts_and_groups_just_below_the_threshold(spark):
+    long = [f"w{i}" for i in range(200_000)]
+    near = [*long[:100_000], "new", *long[100_001:]]
+    shared = [f"t{i}" for i in range(165)]
+    groups = [" ".join([*shared, *(f"o{i}x{j}" for j in range(35))]) for i in range(400)]  # 82.5 % of the words are those of all
+    linked = [" ".join([*shared, *(f"p{j}" for j in range(30)), *(f"q{i}x{j}" for j in range(4))]) for i in range(30)]
+    texts = [" ".join(long), " ".join(near), *groups, *linked]
+    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in JaccardJoin().components(documents(spark, texts)).collect()}
+    assert rows[0] == (199_996, 0) and rows[1][1] == 0
+    assert all(rows[2 + i][1] == 2 + i for i in range(400))
+    assert all(rows[402 + i][1] == 402 for i in range(30))
+
+
+def test_one_row_of_each_component_stays(spark):
+    texts = corpus(5, 150)
+    ids = [i // 2 if i % 5 else None for i in range(len(texts))]
+    docs = documents(spark, [*texts, *texts[40:60]], ids=[*ids, *ids[40:60]]).withColumnsRenamed({"source": "root"}).repartition(3)
+    kept = JaccardJoin().first_of_each(docs)
+    assert kept.columns == docs.columns
+    roots = brute([*texts, *texts[40:60]])
+    words_of = [bool(words(t)) for t in [*texts, *texts[40:60]]]
+    want_components = {r for (n, r), w in zip(roots, words_of, strict=True) if w}
+    got = kept.collect()
+    by_text = {}
+    for t, (_, r) in zip([*texts, *texts[40:60]], roots, strict=True):
+        by_text[t] = r
+    held = [by_text[r["text"]] for r in got if words(r["text"])]
+    assert sorted(held) == sorted(want_components)
+    assert sum(not words(r["text"]) for r in got) == sum(not w for w in words_of)
+    for r in got:  # an id before none, then the smallest
+        if words(r["text"]):
+            mates = [i for i, (_, c) in zip([*ids, *ids[40:60]], roots, strict=True) if c == by_text[r["text"]]]
+            known = [i for i in mates if i is not None]
+            assert r["doc_id"] == (min(known) if known else None)
