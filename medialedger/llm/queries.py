@@ -107,7 +107,36 @@ _ESCAPED = f"replace({_ESCAPED}, '\\', '\\\\')"
 for _c in chat.CONTROL:
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 
+_RATES = (
+    "n_symbols / greatest(n_words, 1)", "n_marks / greatest(n_words, 1)", "n_upper / greatest(word_chars, 1)", "n_repeat_words / greatest(n_words, 1)",
+    "n_dup_lines / greatest(n_lines, 1)", "word_chars / greatest(n_words, 1)",
+)
+#: A rule's level is the number of its cutoffs (from lax to strict) that a text's rate does not exceed.
+_LEVEL = "least(" + ", ".join(
+    f"len([c FOR c IN {cutoffs} IF CAST({rate} AS DOUBLE) <= c])" for rate, cutoffs in zip(_RATES, quality_rules.RULES.values(), strict=True)
+) + ")"
+_LINES = r"[x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')]"
+_COUNT = "CAST(length(t) - length(regexp_replace(t, '{}', '', 'g')) AS BIGINT)"
+
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS p FROM rep) GROUP BY rid),
+c AS (SELECT d.rid, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {_COUNT.format("[#*$%&|<>]")} AS n_symbols,
+  CAST(len({_LINES}) - len(list_distinct({_LINES})) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, {_COUNT.format("[A-Z]")} AS n_upper,
+  {_COUNT.format(r"[!?@^_~=+/{}\[\]\\]")} AS n_marks, CAST(len({_LINES}) AS BIGINT) AS n_lines FROM d LEFT JOIN cov USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST({_LEVEL} AS BIGINT) AS level FROM c),
+marks AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+held AS (SELECT f.doc_id, lang, q, min(level) AS level FROM f JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY f.doc_id, lang, q),
+j AS (SELECT unnest(range(0, {quality_rules.LEVELS})) AS j),
+seen AS (SELECT lang, j, count(*) FILTER (WHERE q = 1) AS n, count(*) FILTER (WHERE q = 1 AND level <= j) AS good, count(*) FILTER (WHERE q = 0 AND level <= j) AS bad FROM held, j GROUP BY lang, j),
+cdf AS (SELECT lang, j, n, bad, list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05::DOUBLE) + (n - i) * ln(0.95::DOUBLE)) FOR i IN range(0, good + 1)]) AS p FROM seen WHERE n > 0),
+ok AS (SELECT lang, j, bad, bool_and(p <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT lang FROM held))) OVER (PARTITION BY lang ORDER BY j) AS certified FROM cdf),
+cut AS (SELECT lang, first(j ORDER BY bad DESC, j) AS j FROM ok WHERE certified AND bad > 0 GROUP BY lang)
+SELECT f.doc_id, f.lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_marks, n_lines, base_failed, level, coalesce(cut.j, -1) AS cutoff_level,
+  NOT base_failed AND level > coalesce(cut.j, -1) AS kept FROM f LEFT JOIN cut ON cut.lang IS NOT DISTINCT FROM f.lang""",
     "op8_chat_formatting": f"""
 WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(n, r)),
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
