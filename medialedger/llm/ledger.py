@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from medialedger.llm.store import shuffle_partitions
-from medialedger.llm.wordscan import mix
+from medialedger.llm.wordscan import give_back, mix
 
 _POSTINGS = "bucket int, chunk bigint, hashes binary, places binary, counts binary, payload binary"
 _ARROW = pa.schema(
@@ -170,6 +170,7 @@ def recurring(
                 out += _again(bucket, sent, with_counts)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+        give_back()
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, "chunk"):
@@ -178,6 +179,7 @@ def recurring(
             counts = np.frombuffer(b"".join(r["counts"] or b"" for r in rows), dtype=np.uint32)
             done = finish(_unpack(payload), places, counts)
             yield from done.to_batches() if isinstance(done, pa.Table) else [done]
+        give_back()
 
     sent = docs.mapInArrow(send, _POSTINGS)
     counted = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _POSTINGS)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialedger.llm.store import materialize
+from medialedger.llm.wordscan import give_back
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Byte-level models spell bytes as characters: printable ones as themselves, the others in order from U+0100 on.
@@ -125,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 409
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             columns = [pa.array(c, t) for c, t in zip(out, types, strict=True)][: 6 if with_ids else 5]
             yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.mapInArrow(cut, _PIECES + ", ids binary" * with_ids)
