@@ -16,20 +16,29 @@ from medialedger.llm.queries import PSEUDONYM_KEY, table
 from medialedger.llm.store import materialize
 
 
+def sized(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of 1500 rows (some 4 MB) unless the session asks for other than Spark's 10,000: that
+    is what a worker and its executor hold of them at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1500")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the base rules or the risk-controlled cutoffs reject."""
+    sized(spark)
     return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near duplicates; rows without an id stay."""
-    found = JaccardJoin(shingle=5, numerator=80).components(docs)
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each component of near duplicates, told apart by id and text; rows without words stay."""
+    sized(spark)
+    return JaccardJoin(shingle=5, numerator=80).first_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, up to its edits."""
+    sized(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -45,7 +54,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Workers are shared with the stages before, so fewer words are kept than when packing runs by itself.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, words_kept=150_000)
+    sized(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, words_kept=50_000)
 
 
 STAGES = [
