@@ -51,3 +51,24 @@ def test_stages_equal_brute_force(spark):
         want += [(r["doc_id"], at // 4096, zlib.crc32(t[at : at + 4096].tobytes())) for at in range(0, len(t), 4096)]
     assert [(r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed] == want
     assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(70))
+    other = " ".join(f"v{i}" for i in range(70))
+    rows = [(1, long), (1, long), (2, long), (2, other), (3, None), (None, long), (None, None), (4, ""), (5, "x@" + "a." * 3000 + "com")]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.selectExpr("*", "'a' AS text_key", "'b' AS k1", "'c' AS n_pseudonyms", "1 AS root")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DIR}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    single = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert single.columns == docs.columns
+    got = sorted(((r["doc_id"] or -1, r["text"] or "") for r in single.collect()))
+    assert got == sorted([(1, long), (2, other), (3, ""), (-1, ""), (4, ""), (5, rows[-1][1])])
+    for table in (docs, docs.limit(0)):
+        made = table
+        for name, stage in corpus_pipeline.STAGES:
+            made = corpus_pipeline.materialize(stage(spark, made, str(tmp_path)), "odd")
+            if name != "best-fit packing":
+                assert made.columns == docs.columns
+        assert sorted({r["doc_id"] for r in made.collect()}) == ([1, 2] if table is docs else [])
