@@ -391,7 +391,7 @@ def train(pages: DataFrame, max_pages: int = 1000) -> Model:
     chosen = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
     # A repeated id must not widen the sample: one row of each.
     rows = pages.select("page_id", F.col("html").cast("string").alias("html")).join(F.broadcast(chosen), "page_id").dropDuplicates(["page_id"])
-    sample = materialize(rows.select("html"), "page-sample")
+    sample = materialize(rows.select("html").repartition(32), "page-sample")  # a few pages to a task: judging them is the work
     got = sample.mapInArrow(read, "x binary, y binary").collect()
     x = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(r["x"], "<f4") for r in got)]).reshape(-1, len(FEATURES) + 3)
     y = np.concatenate([np.zeros(0, "i1"), *(np.frombuffer(r["y"], "i1") for r in got)])
