@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialedger.llm import chat, decontamination, fm_classifier, html_mincut, packing, pseudonyms, quality_rules, sharding, substring_dedup
+from medialedger.llm import chat, decontamination, fm_classifier, html_mincut, merkle, packing, pseudonyms, quality_rules, sharding, substring_dedup
 from medialedger.llm.jaccard_join import JaccardJoin
 from medialedger.llm.store import shared_dir
 
@@ -88,6 +88,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = F.when(tampered, merkle.row_digest(*row[:-1], F.replace("text", F.lit("\n"), F.lit(""))))
+    out = merkle.manifest(table(spark, sf_dir, "documents"), F.col("source"), "doc_id", merkle.row_digest(*row), found)
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.proof(F.col("path"))).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_two_pass_shuffle": op2_two_pass_shuffle,
@@ -99,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
