@@ -126,6 +126,13 @@ _LEVEL = "least(" + ", ".join(
 ) + ")"
 _LINES = r"[x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')]"
 _COUNT = "CAST(length(t) - length(regexp_replace(t, '{}', '', 'g')) AS BIGINT)"
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', {0}) END"
+_FIELDS = ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: CRC-32 of the decimal doc_id, bit by bit: a character is mixed in, then eight steps follow.
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295], flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])), "
+    "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+)
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": f"""
@@ -175,4 +182,25 @@ word AS (SELECT doc_id, p, w[p] AS x FROM (SELECT doc_id, w, unnest(range(1, len
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS k FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '' ELSE concat('s', source) END AS tree,
+  sha256(concat({_FIELDS}, {_FIELD.format("text")})) AS leaf, {_CRC} % 2 = 0 AS tampered, sha256(concat({_FIELDS}, {_FIELD.format("replace(text, chr(10), '')")})) AS changed FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS rank FROM d),
+node AS (SELECT tree, 0 AS level, rank AS i, leaf AS h FROM leaves UNION ALL
+  SELECT tree, any_value(level) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE tree IN (SELECT tree FROM node WHERE i > 0) GROUP BY tree, i // 3),
+sub AS (SELECT tree, arg_max(h, level) AS subroot, max(level) AS height FROM node GROUP BY tree),
+places AS (SELECT tree, subroot, height, row_number() OVER (ORDER BY CAST(tree AS BLOB)) - 1 AS i FROM sub),
+top AS (SELECT 0 AS level, i, subroot AS h FROM places UNION ALL
+  SELECT any_value(level) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE (SELECT max(i) FROM top) > 0 GROUP BY i // 3),
+every AS (SELECT tree, level, i, h FROM node UNION ALL SELECT NULL, level, i, h FROM top),
+steps AS (SELECT rid, l.tree AS tree, level, level AS own, rank // CAST(pow(3, level) AS BIGINT) AS i FROM leaves l JOIN places p USING (tree), range(0, 99) AS x(level) WHERE level < p.height
+  UNION ALL SELECT rid, NULL, p.height + x.level, x.level, p.i // CAST(pow(3, x.level) AS BIGINT) FROM leaves l JOIN places p USING (tree), range(0, 99) AS x(level) WHERE x.level < (SELECT max(level) FROM top)),
+sib AS (SELECT s.rid, s.level, coalesce(string_agg(e.h, '' ORDER BY e.i) FILTER (WHERE e.i < s.i), '') AS before, coalesce(string_agg(e.h, '' ORDER BY e.i) FILTER (WHERE e.i > s.i), '') AS after
+  FROM steps s JOIN every e ON e.tree IS NOT DISTINCT FROM s.tree AND e.level = s.own AND e.i // 3 = s.i // 3 GROUP BY s.rid, s.level),
+folded AS (SELECT rid, 0 AS level, CASE WHEN tampered THEN changed ELSE leaf END AS h FROM leaves UNION ALL
+  SELECT f.rid, f.level + 1, sha256(concat(before, f.h, after)) FROM folded f JOIN sib s ON s.rid = f.rid AND s.level = f.level),
+last AS (SELECT rid, arg_max(h, level) AS folded_root FROM folded GROUP BY rid),
+proofs AS (SELECT rid, sha256(string_agg(concat(before, after), '' ORDER BY level)) AS proof FROM sib GROUP BY rid)
+SELECT doc_id, leaf, subroot, (SELECT arg_max(h, level) FROM top) AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = (SELECT arg_max(h, level) FROM top) AS verified
+FROM leaves JOIN places USING (tree) JOIN last USING (rid) LEFT JOIN proofs USING (rid)""",
 }
