@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialedger.llm import chat, decontamination, fm_classifier, html_mincut, merkle, packing, pseudonyms, quality_rules, sharding, substring_dedup
+from medialedger.llm import chat, decontamination, fm_classifier, hard_negatives, html_mincut, merkle, packing, pseudonyms, quality_rules, sharding, substring_dedup
 from medialedger.llm.jaccard_join import JaccardJoin
+from medialedger.llm.multi_index import MultiIndex
 from medialedger.llm.store import shared_dir
 
 
@@ -88,6 +89,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -96,6 +103,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.proof(F.col("path"))).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MultiIndex(threshold=0.98).classes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_two_pass_shuffle": op2_two_pass_shuffle,
@@ -107,7 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_multi_index_dedup": op13_multi_index_dedup,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -128,6 +141,7 @@ _LINES = r"[x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09
 _COUNT = "CAST(length(t) - length(regexp_replace(t, '{}', '', 'g')) AS BIGINT)"
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', {0}) END"
 _FIELDS = ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_WHOLE = "vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
 #: CRC-32 of the decimal doc_id, bit by bit: a character is mixed in, then eight steps follow.
 _CRC = (
     "xor(list_reduce(list_concat([4294967295], flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])), "
@@ -203,4 +217,20 @@ last AS (SELECT rid, arg_max(h, level) AS folded_root FROM folded GROUP BY rid),
 proofs AS (SELECT rid, sha256(string_agg(concat(before, after), '' ORDER BY level)) AS proof FROM sib GROUP BY rid)
 SELECT doc_id, leaf, subroot, (SELECT arg_max(h, level) FROM top) AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = (SELECT arg_max(h, level) FROM top) AS verified
 FROM leaves JOIN places USING (tree) JOIN last USING (rid) LEFT JOIN proofs USING (rid)""",
+    "op11_hard_negatives": f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings WHERE {_WHOLE}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) <= 3""",
+    "op13_multi_index_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE {_WHOLE} AND len([x FOR x IN embedding IF x <> 0]) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.98),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+low AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id, e.vec_id <= coalesce(m, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)""",
 }
