@@ -91,10 +91,10 @@ def items(benchmark: DataFrame, percent: int) -> DataFrame:
             words = scan_words(part.column("text"), fold=True)
             full = np.flatnonzero(words.per_row)
             first = words.first
-            keys = mix(spans_hash(words.hash, first[full], first[full + 1], "gram") + words.per_row[full].astype(np.uint64))
+            keys = _sized(spans_hash(words.hash, first[full], first[full + 1], "gram"), words.per_row[full])
             ids = part.column("item_id").to_pylist()
             yield _rows({
-                "item_id": [ids[i] for i in full], "item": keys.view(np.int64), "item_words": words.per_row[full],
+                "item_id": [ids[i] for i in full], "item": keys, "item_words": words.per_row[full],
                 "budget": words.per_row[full] * percent // 100, "words": [words.hash[first[i] : first[i + 1]].tobytes() for i in full],
             }, _ITEMS)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialedger.llm.store import materialize, small
-from medialedger.llm.wordscan import _BYTE, IS_WORD, distinct_rows, mix, scan_words, slices, spans_hash, windows
+from medialedger.llm.wordscan import _BYTE, IS_WORD, bytes_hash, distinct_rows, mix, scan_words, slices, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines")
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -39,7 +39,7 @@ def _line_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     for i in np.flatnonzero(ends - starts > _RUN):
         for at in range(int(starts[i]), int(ends[i]), _RUN):
             part = _BYTE[data[at : min(int(ends[i]), at + _RUN)]]
-            out[i : i + 1] = mix(out[i : i + 1] * _U(31) + spans_hash(part, np.array([0]), np.array([len(part)]), "byte"))
+            out[i : i + 1] = mix(out[i : i + 1] * _U(31) + bytes_hash(part, np.array([0]), np.array([len(part)])))
     short = np.flatnonzero(ends - starts <= _RUN)
     at = 0
     while at < len(short):
@@ -47,7 +47,7 @@ def _line_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         stop = max(at + 1, int(np.searchsorted(ends[short], begin + _RUN, "right")))
         lines = short[at:stop]
         part = _BYTE[data[begin : int(ends[lines[-1]])]]
-        out[lines] = spans_hash(part, starts[lines] - begin, ends[lines] - begin, "byte")
+        out[lines] = bytes_hash(part, starts[lines] - begin, ends[lines] - begin)
         at = stop
     return out
 

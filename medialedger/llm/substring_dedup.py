@@ -41,8 +41,10 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
         for part in slices(batches, "text"):
             words = scan_words(part.column("text"))
             at, hashes = windows(words, window)
+            side = windows(words, window, "side")[1]
+            hashes = hashes + side  # each alone has 61 bits
             first, again = distinct_places(hashes)
-            side = windows(words, window, "side")[1][first]
+            side = side[first]
             payload = pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(words.per_row), pa.array(_text_key(part.column("text")), pa.binary())],
                 names=["doc_id", "n_words", "text_key"],

@@ -1,8 +1,9 @@
 """Words and rolling hashes of whole Arrow batches, without a Python loop over documents or words.
 
 A word is a run of bytes other than space and U+0009 to U+000D; bytes of multi-byte UTF-8 characters are never white
-space, so the bytes can be scanned as they are. Hashes are polynomials modulo 2**64 from prefix sums (Rabin-Karp),
-finished with a mixing step.
+space, so the bytes can be scanned as they are. A word's hash is the sum of a mixed number for each byte and its place, so no
+pattern of bytes cancels out. Hashes of runs of words are polynomials modulo the prime 2**61 - 1 from prefix sums (Rabin-Karp),
+finished with a mixing step; modulo a power of two, long runs of certain patterns would collide whatever the base is.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import pyarrow.compute as pc
 
 _SEGMENT = 1 << 18
 _U = np.uint64
-_BASES = {"byte": 0x9E3779B97F4A7C15, "gram": 0xD6E8FEB86659FD93, "side": 0xA0761D6478BD642F}
+_PRIME = (1 << 61) - 1
+_P = _U(_PRIME)
+_BASES = {"gram": 0x1D6E8FEB86659FD9, "side": 0x10761D6478BD642F}
 _powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 IS_WORD = np.ones(256, dtype=bool)
@@ -36,25 +39,68 @@ _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any 64-bit x."""
+    x = (x >> _U(61)) + (x & _P)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, both below it: the product in halves of 31 bits, whose parts stay below 2**64."""
+    a_high, a_low, b_high, b_low = a >> _U(31), a & _U(0x7FFFFFFF), b >> _U(31), b & _U(0x7FFFFFFF)
+    middle = a_low * b_high + a_high * b_low
+    return _reduced(_U(2) * a_high * b_high + (middle >> _U(30)) + ((middle & _U(0x3FFFFFFF)) << _U(31)) + _reduced(a_low * b_low))
+
+
+def _prefix_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the first i numbers below the prime, modulo it; one more than there are numbers (fewer than 2**31)."""
+    out = np.zeros(len(x) + 1, dtype=np.uint64)
+    high = _reduced(np.cumsum(x >> _U(31)))
+    turned = ((high << _U(31)) & _P) | (high >> _U(30))  # times 2**31
+    out[1:] = _reduced(turned + _reduced(np.cumsum(x & _U(0x7FFFFFFF))))
+    return out
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, dtype=np.uint64)
+    size, step = 1, base
+    while size < n:
+        more = out[size : 2 * size]
+        more[:] = _times(out[: len(more)], np.full(len(more), step, dtype=np.uint64))
+        size, step = 2 * size, step * step % _PRIME
+    return out
+
+
 def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i below n at least."""
+    """base**i and base**-i modulo the prime for i below n at least."""
     have = _powers.get(kind)
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16, 2 * len(have[0]) if have else 0)
-        base = _BASES[kind]
-        up = np.full(size, base, dtype=np.uint64)
-        down = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        have = _powers[kind] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        have = _powers[kind] = (_powers_of(_BASES[kind], size), _powers_of(pow(_BASES[kind], -1, _PRIME), size))
     return have
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str) -> np.ndarray:
-    """Hash of values[start:end] for each pair, from one prefix sum."""
+    """Hash of values[start:end] for each pair, from one prefix sum; the values are hashes themselves."""
     up, down = _power(kind, len(values) + 1)
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts])
+    prefix = _prefix_sums(_times(_reduced(values), up[: len(values)]))
+    return mix(_times(_reduced(prefix[ends] + (_P - prefix[starts])), down[starts]))
+
+
+def bytes_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes in each span; spans are not empty, rise and don't overlap. ``codes`` are the bytes' random numbers."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    lengths = (ends - starts).astype(np.uint64)
+    place = np.arange(len(codes) + 1, dtype=np.uint64)
+    place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(place)))).astype(np.uint64)
+    place *= _U(0x9FB21C651E98DF25)
+    place[:-1] += codes
+    place ^= place >> _U(32)
+    place *= _U(0xD6E8FEB86659FD93)
+    place ^= place >> _U(29)
+    bounds = np.column_stack([starts, ends]).ravel()
+    return mix(np.add.reduceat(place, bounds)[::2] + lengths * _U(0xA0761D6478BD642F))
 
 
 @dataclass
@@ -122,7 +168,7 @@ def scan_words(column: pa.Array, fold: bool = False) -> Words:
         begins[cuts] = inside[cuts]
         stops[cuts - 1] = inside[cuts - 1]
         s, e = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        parts.append((spans_hash(table[part], s, e, "byte"), s + lo, e + lo))
+        parts.append((bytes_hash(table[part], s, e), s + lo, e + lo))
     if not parts:
         none = np.zeros(0, dtype=np.int64)
         return Words(data, offsets, none, none.astype(np.uint64), none, none)
