@@ -11,15 +11,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: White space of any script and the four separators among the control characters.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+
+
+def single_spaced(c: Column) -> Column:
+    """Stripped, every run of white space within as one space."""
+    return F.regexp_replace(strip(c), f"{SPACE}+", " ")
+
+
 def clean(c: Column) -> Column:
-    """Trimmed, with empty as null."""
-    return F.nullif(F.trim(c), F.lit(""))
+    """Stripped, with empty as null."""
+    return F.nullif(strip(c), F.lit(""))
 
 
 def fold(c: Column) -> Column:
-    """Key of a tag: runs of white space as one space, letters folded (capitals first, so that one letter's forms and those that
-    stand for two come out alike; both small sigmas are one)."""
-    return F.replace(F.lower(F.upper(F.regexp_replace(F.trim(c), r"\s+", " "))), F.lit("\u03c2"), F.lit("\u03c3"))
+    """Key of a tag: runs of white space as one space, letters folded (capitals first, so that one letter's forms and those
+    that stand for two come out alike; both small sigmas are one)."""
+    return F.replace(F.lower(F.upper(single_spaced(c))), F.lit("\u03c2"), F.lit("\u03c3"))
 
 
 @F.pandas_udf(StringType())
@@ -150,6 +164,7 @@ def retry_delay(attempts: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """Log text without tokens, passwords and keys."""
-    named = F.regexp_replace(c, r"(?i)(token|password|secret|api[_-]?key)(\s*[=:]\s*)[^\s,;&]+", "$1$2***")
+    """Log text without tokens, passwords, keys and the values of Authorization headers, whatever their scheme."""
+    headers = F.regexp_replace(c, r"(?i)(authorization\s*[=:]\s*)(?:(?:bearer|basic|digest|mediabrowser)\s+)?[^\s,;&]+", "$1***")
+    named = F.regexp_replace(headers, r"(?i)(token|password|secret|api[_-]?key)(\s*[=:]\s*)[^\s,;&]+", "$1$2***")
     return F.regexp_replace(named, r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+", "$1***")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from medialedger import functions as fn
+
 ROOT_KINDS = ("movie", "show", "artist")
 PROVIDER_ORDER = ("tmdb", "tvdb", "imdb")
 
@@ -132,14 +134,13 @@ def catalog(items: DataFrame, events: DataFrame, states: DataFrame, identifiers:
 
 
 def deduplicated(rows: DataFrame, identifiers: DataFrame, order: list[Column]) -> DataFrame:
-    """One row per canonical identifier and kind (without one, per title and year), before paging.
+    """One row per canonical identifier and kind (without one, per title key P03 and year), before paging.
 
     Its place is that of the group's first row in ``order``, its content that of the smallest id, its flags of any.
     """
     best = canonical_identifier(identifiers).withColumnRenamed("media_item_id", "id")
-    key = F.when(F.col("provider").isNotNull(), F.concat_ws("\x1f", "kind", "provider", "external_id")).otherwise(
-        F.concat_ws("\x1f", "kind", F.lower(F.trim("title")), F.coalesce(F.col("year").cast("string"), F.lit("")))
-    )
+    named = F.col("provider").isNotNull()
+    key = F.struct("kind", "provider", "external_id", F.when(~named, fn.title_key("title")).alias("title"), F.when(~named, F.col("year")).alias("year"))
     keyed = rows.join(best, "id", "left").withColumn("key", key)
     content = [c for c in rows.columns if c not in ("on_plex", "on_jellyfin")]
     # The window and the aggregate share one shuffle by key.

@@ -12,13 +12,13 @@ def match_containers(staged: DataFrame, staged_ids: DataFrame, items: DataFrame,
     """Each staged container (source_id, external_id, kind, title, parent_id, season_number) with match_status (matched, new,
     ambiguous) and media_item_id if matched.
 
-    First by shared identifiers among items of the kind, ties broken by the title key; a container without such a match is looked
+    First by shared identifiers among items of the kind, ties broken by the title key (P03: without accents); a container without such a match is looked
     up by its place: a show by its title key among shows of the same parent (usually none), a season by parent and number. Several
     are ambiguous, an error row of the caller. The smallest and the largest item tell one match from several.
     """
     key = ["source_id", "external_id"]
-    stored = items.select(F.col("id").alias("media_item_id"), F.col("kind").alias("_kind"), fn.fold(F.col("title")).alias("_title"), F.col("parent_id").alias("_parent"), F.col("season_number").alias("_number"))
-    wanted = staged.select(*key, "kind", fn.fold(F.col("title")).alias("_wanted"), "parent_id", "season_number")
+    stored = items.select(F.col("id").alias("media_item_id"), F.col("kind").alias("_kind"), fn.title_key("title").alias("_title"), F.col("parent_id").alias("_parent"), F.col("season_number").alias("_number"))
+    wanted = staged.select(*key, "kind", fn.title_key("title").alias("_wanted"), "parent_id", "season_number")
     ids = wanted.join(staged_ids.select(*key, "provider", "identifier"), key)
     own = identifiers.select("provider", F.col("external_id").alias("identifier"), "media_item_id").join(stored, "media_item_id")
     met = ids.join(own, ["provider", "identifier"]).where("kind = _kind")

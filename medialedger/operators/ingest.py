@@ -50,7 +50,7 @@ def apply_fields(items: DataFrame, staged: DataFrame, fields: list[str]) -> Data
 
 def genre_rows(staged: DataFrame) -> DataFrame:
     """(media_item_id, normalized_name, name) of staged ``genres`` arrays, each once per item."""
-    rows = staged.select("media_item_id", F.explode("genres").alias("g")).select("media_item_id", fn.fold(F.col("g")).alias("normalized_name"), F.regexp_replace(F.trim("g"), r"\s+", " ").alias("name"))
+    rows = staged.select("media_item_id", F.explode("genres").alias("g")).select("media_item_id", fn.fold(F.col("g")).alias("normalized_name"), fn.single_spaced(F.col("g")).alias("name"))
     return rows.where("normalized_name <> ''").groupBy("media_item_id", "normalized_name").agg(F.min("name").alias("name"))
 
 
@@ -98,16 +98,56 @@ def discover(libraries: DataFrame, found: DataFrame, succeeded: bool = True) ->
     )
 
 
-def retire_source(refs: DataFrame, source_id: int, now: object) -> DataFrame:
-    """References of a replaced server: unavailable, with retired identities that no scan can meet again."""
+def retire_source(refs: DataFrame, source_id: int, now: object, row: str = "media_item_id") -> DataFrame:
+    """References of a replaced server: unavailable since ``now``, without key, with retired identities
+    (``retired:media:<row>:<hash>``, ``row`` being the column with the reference's own id) that no scan can meet again."""
     hit = F.col("source_id") == source_id
-    since = F.col("unavailable_since") if "unavailable_since" in refs.columns else F.lit(None).cast("timestamp_ntz")
-    return refs.select(
-        *[c for c in refs.columns if c not in ("external_id", "available", "unavailable_since")],
-        F.when(hit, fn.retired_identity("ref", F.col("media_item_id"), F.col("external_id"))).otherwise(F.col("external_id")).alias("external_id"),
-        F.when(hit, False).otherwise(F.col("available")).alias("available"),
-        F.when(hit & F.col("available"), F.lit(now).cast("timestamp_ntz")).otherwise(since).alias("unavailable_since"),
-    )
+    value = {
+        "external_id": F.when(hit, fn.retired_identity("media", F.col(row), F.col("external_id"))).otherwise(F.col("external_id")),
+        "available": F.when(hit, False).otherwise(F.col("available")),
+        "external_key": F.when(~hit, F.col("external_key")) if "external_key" in refs.columns else None,
+        "unavailable_since": F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("unavailable_since") if "unavailable_since" in refs.columns else F.lit(None).cast("timestamp_ntz")),
+    }
+    columns = refs.columns if "unavailable_since" in refs.columns else [*refs.columns, "unavailable_since"]
+    return refs.select(*[value[c].alias(c) if value.get(c) is not None else F.col(c) for c in columns])
+
+
+def retire_libraries(libraries: DataFrame, source_id: int) -> DataFrame:
+    """Libraries of a replaced server: unavailable, disabled, with retired identities."""
+    hit = F.col("source_id") == source_id
+    value = {
+        "external_id": F.when(hit, fn.retired_identity("library", F.col("id"), F.col("external_id"))).otherwise(F.col("external_id")),
+        "enabled": F.when(hit, False).otherwise(F.col("enabled")), "available": F.when(hit, False).otherwise(F.col("available")),
+    }
+    return libraries.select(*[value.get(c, F.col(c)).alias(c) for c in libraries.columns])
+
+
+def apply_server_identity(sources: DataFrame, source_id: int, identifier: str | None, now: object, tables: dict[str, DataFrame], row: str = "id") -> tuple[bool, dict[str, DataFrame]]:
+    """(whether the server was replaced, new versions of ``sources`` and of all ``tables``) after a server told its identity.
+
+    Without an identity, or with the one that is stored, nothing changes. Where none is stored it is the first one: it is stored and
+    nothing else changes. A different one means another server: its references and libraries are retired (``refs``, ``libraries``),
+    and what belongs to the source goes from all other tables: marks by library (``marks``), the rest by source_id (states,
+    notifications, images, outbox rows, whose source stands in a column of its own).
+    """
+    wanted = (identifier or "").strip()
+    stored = sources.where(F.col("id") == source_id).select("server_identifier").first()
+    if stored is None or not wanted or stored[0] == wanted:
+        return False, {"sources": sources, **tables}
+    named = sources.withColumn("server_identifier", F.when(F.col("id") == source_id, F.lit(wanted)).otherwise(F.col("server_identifier")))
+    if stored[0] is None:
+        return False, {"sources": named, **tables}
+    out = {"sources": named}
+    for name, rows in tables.items():
+        if name == "refs":
+            out[name] = retire_source(rows, source_id, now, row)
+        elif name == "libraries":
+            out[name] = retire_libraries(rows, source_id)
+        elif name == "marks":
+            out[name] = reset_marks(rows, tables["libraries"], source_id)
+        else:
+            out[name] = without_source(rows, source_id)
+    return True, out
 
 
 def without_source(rows: DataFrame, source_id: int) -> DataFrame:

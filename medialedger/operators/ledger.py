@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from medialedger import tables
 
 GAP_SECONDS = 120
 EVENT = ("media_item_id", "source_id", "source_event_id", "dedup_key", "watched_at", "completed", "progress_ms", "duration_ms", "view_number", "playback_user", "origin")
+STATE = ("media_item_id", "source_id", "view_count", "last_watched_at", "completed", "progress_ms", "observed_at")
 
 
 def without_near_duplicates(events: DataFrame, gap_seconds: int = GAP_SECONDS, slice_seconds: int = 86_400) -> DataFrame:
@@ -52,14 +55,43 @@ def without_near_duplicates(events: DataFrame, gap_seconds: int = GAP_SECONDS, s
     return out.select(F.col("e.id").alias("id"), "media_item_id", F.col("e.source_id").alias("source_id"), F.col("e.watched_at").alias("watched_at"))
 
 
+class Persisted(NamedTuple):
+    """What M14 made of a batch: stored events (EVENT) with their new values, events to insert (``seq`` and EVENT), and error rows."""
+
+    kept: DataFrame
+    inserted: DataFrame
+    errors: DataFrame
+
+
 def persist_events(stored: DataFrame, batch: DataFrame, refs: DataFrame, gap_seconds: int = GAP_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """(the new version of ``stored`` with its columns EVENT, error rows of the batch with a ``message``).
+    """(the new version of ``stored`` with its columns EVENT, error rows of the batch with a ``message``); see ``merge_events``."""
+    done = merge_events(stored, batch, refs, gap_seconds)
+    return done.kept.select(*EVENT).unionByName(done.inserted.select(*EVENT)), done.errors
+
+
+def persist_with_states(stored: DataFrame, states: DataFrame, batch: DataFrame, refs: DataFrame, gap_seconds: int = GAP_SECONDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the new versions of the events and of the states (STATE), error rows) after a batch.
+
+    The new events are written between the steps: ``tables.written`` holds them while both results are read.
+    """
+    done = merge_events(stored, batch, refs, gap_seconds)
+    inserted = tables.written(done.inserted)
+    events = done.kept.select(*EVENT).unionByName(inserted.select(*EVENT))
+    key = ["media_item_id", "source_id"]
+    counts = events.where("completed").join(inserted.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("n"))
+    return events, apply_events(states, inserted, counts), done.errors
+
+
+def merge_events(stored: DataFrame, batch: DataFrame, refs: DataFrame, gap_seconds: int = GAP_SECONDS) -> Persisted:
+    """A batch of events against the stored ones.
 
     ``batch`` has media_external_id in place of the item and the key, and a unique ``seq`` that gives its order. Incomplete
     events are dropped, unknown media are errors. An event stored under the same source_event_id takes the new values (another
     item is an error; within a batch the first row names the item and the last one gives the values). Then repeats of a
-    dedup_key are dropped, and events within the gap of a stored one of their item; what is left is folded by itself.
+    dedup_key are dropped, and events within the gap of a stored one of their item; what is left is folded by itself. Further
+    columns of ``stored`` stay with their rows.
     """
+    extra = [c for c in stored.columns if c not in EVENT and c != "id"]
     known = refs.select("source_id", F.col("external_id").alias("media_external_id"), "media_item_id")
     parts = [F.col(c) for c in ("source_id", "source_event_id", "media_external_id", "watched_at", "completed", "progress_ms", "duration_ms", "view_number")]
     rows = batch.where("completed").join(known, ["source_id", "media_external_id"], "left").withColumn("dedup_key", fn.event_key(*parts))
@@ -67,15 +99,15 @@ def persist_events(stored: DataFrame, batch: DataFrame, refs: DataFrame, gap_sec
     rows = rows.where("media_item_id IS NOT NULL")
     identity = ["source_id", "source_event_id"]
     first = rows.where("source_event_id IS NOT NULL").groupBy(*identity).agg(F.min_by("media_item_id", "seq").alias("_first"))
-    held = stored.where("source_event_id IS NOT NULL").select(*identity, F.col("media_item_id").alias("_held"))
+    held = stored.where("source_event_id IS NOT NULL").select(*identity, F.col("media_item_id").alias("_held"), *extra)
     named = rows.join(first, identity).join(held, identity, "left")
     same = F.col("media_item_id") == F.coalesce("_held", "_first")
     changed = named.where(~same).withColumn("message", F.lit("identity changed its media"))
     pick = F.struct("seq", *EVENT)
-    last = named.where(same).groupBy(*identity).agg(F.max_by(pick, "seq").alias("e"), F.max("_held").alias("_held")).select("e.*", "_held")
-    updates = last.where("_held IS NOT NULL").select(*EVENT)
-    now = stored.select(*EVENT).join(updates.select(*identity), identity, "left_anti").select(*EVENT).unionByName(updates)
-    new = last.where("_held IS NULL").drop("_held").unionByName(rows.where("source_event_id IS NULL").select("seq", *EVENT))
+    last = named.where(same).groupBy(*identity).agg(F.max_by(pick, "seq").alias("e"), *[F.max(c).alias(c) for c in ("_held", *extra)]).select("e.*", "_held", *extra)
+    updates = last.where("_held IS NOT NULL").select(*EVENT, *extra)
+    now = stored.select(*EVENT, *extra).join(updates.select(*identity), identity, "left_anti").select(*EVENT, *extra).unionByName(updates)
+    new = last.where("_held IS NULL").drop("_held", *extra).unionByName(rows.where("source_event_id IS NULL").select("seq", *EVENT))
     new = new.groupBy("source_id", "dedup_key").agg(F.min_by(pick, "seq").alias("e")).select("e.*").join(now.select("source_id", "dedup_key"), ["source_id", "dedup_key"], "left_anti")
     # Times within the gap lie in one slice of its length or in neighbours.
     micros, gap = F.unix_micros(F.col("watched_at").cast("timestamp")), gap_seconds * 1_000_000
@@ -87,7 +119,7 @@ def persist_events(stored: DataFrame, batch: DataFrame, refs: DataFrame, gap_sec
     far = new.join(near, close, "left_anti").select("seq", *EVENT)
     kept = without_near_duplicates(far.withColumnRenamed("seq", "id"), gap_seconds).select(F.col("id").alias("seq"))
     errors = [e.select("seq", "source_id", "source_event_id", "media_external_id", "message") for e in (unknown, changed)]
-    return now.unionByName(far.join(kept, "seq", "left_semi").select(*EVENT)), errors[0].unionByName(errors[1])
+    return Persisted(now, far.join(kept, "seq", "left_semi").select("seq", *EVENT), errors[0].unionByName(errors[1]))
 
 
 def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -109,7 +141,7 @@ def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def refresh_states(states: DataFrame, events: DataFrame) -> DataFrame:
-    """States raised to what the completed events of their item and source show."""
+    """States raised to what the completed events of their item and source show, all of them at once."""
     key = ["media_item_id", "source_id"]
     seen = events.where("completed").groupBy(*key).agg(F.count("*").alias("n"), F.max("watched_at").alias("t"))
     return states.select(*key, "view_count", "last_watched_at", "completed").join(seen, key, "full").select(
@@ -118,6 +150,26 @@ def refresh_states(states: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def apply_events(states: DataFrame, inserted: DataFrame, counts: DataFrame) -> DataFrame:
+    """States (STATE columns) after events were inserted, each making its state complete.
+
+    ``inserted`` are the new events with a unique ``seq`` that gives their order, ``counts`` (media_item_id, source_id, n) the
+    completed events that are stored for the items and sources among them, the new ones included. The count becomes the largest of
+    what was there, the events' view_number and their number; the last play is the latest; progress and the time of observation are
+    those of the last event, whatever they are. Other states stay as they are.
+    """
+    key = ["media_item_id", "source_id"]
+    last = F.max_by(F.struct("progress_ms", "watched_at"), "seq")
+    new = inserted.groupBy(*key).agg(F.max("view_number").alias("_views"), F.max("watched_at").alias("_t"), last.alias("_last")).join(counts.select(*key, "n"), key, "left")
+    hit = F.col("_last").isNotNull()
+    both = states.select(*STATE).join(new, key, "full")
+    return both.select(
+        *key, F.greatest("view_count", "_views", "n", F.when(hit, 0)).cast("bigint").alias("view_count"), F.greatest("last_watched_at", "_t").alias("last_watched_at"),
+        (F.coalesce("completed", F.lit(False)) | hit).alias("completed"), F.when(hit, F.col("_last.progress_ms")).otherwise(F.col("progress_ms")).alias("progress_ms"),
+        F.when(hit, F.col("_last.watched_at")).otherwise(F.col("observed_at")).alias("observed_at"),
+    )
+
+
 def mark_missing(refs: DataFrame, seen: DataFrame, now: object, library_id: int, complete: bool = True) -> DataFrame:
     """References of one library that its complete scan did not see become unavailable, from now on if they were
     available. ``seen`` has the external ids of that scan; references of all other libraries stay as they are."""
@@ -133,13 +185,38 @@ def mark_missing(refs: DataFrame, seen: DataFrame, now: object, library_id: int,
     )
 
 
-def classify(batch: DataFrame, refs: DataFrame, fields: list[str]) -> DataFrame:
-    """Each staged item as inserted, updated or unchanged against the stored references, by a hash of its fields."""
+def classify(batch: DataFrame, refs: DataFrame, fields: list[str], resolved: DataFrame | None = None) -> DataFrame:
+    """Each staged item as inserted, updated or unchanged, with ``raw_hash``, a hash of its fields.
+
+    An item with a stored reference is unchanged if that has the same hash, else updated. Without one it is updated where
+    ``resolved`` (of M02: source_id, external_id, match_status, media_item_id) matched it with a stored item, else inserted.
+    """
     signature = fn.signature({c: F.col(c) for c in fields})
-    old = refs.select("source_id", "external_id", F.col("raw_hash").alias("_old"))
-    rows = batch.withColumn("raw_hash", signature).join(old, ["source_id", "external_id"], "left")
-    kind = F.when(F.col("_old").isNull(), "inserted").when(F.col("_old") == F.col("raw_hash"), "unchanged").otherwise("updated")
-    return rows.withColumn("classification", kind).drop("_old")
+    key = ["source_id", "external_id"]
+    old = refs.select(*key, F.col("raw_hash").alias("_old"), F.lit(True).alias("_held"))
+    rows = batch.withColumn("raw_hash", signature).join(old, key, "left")
+    matched = F.lit(None).cast("boolean")
+    if resolved is not None:
+        rows = rows.join(resolved.where("match_status = 'matched'").select(*key, F.lit(True).alias("_matched")), key, "left")
+        matched = F.col("_matched")
+    new = F.when(matched, "updated").otherwise("inserted")
+    kind = F.when(F.col("_held").isNull(), new).when(F.col("_old").eqNullSafe(F.col("raw_hash")), "unchanged").otherwise("updated")
+    return rows.withColumn("classification", kind).drop("_old", "_held", "_matched")
+
+
+def refresh_refs(refs: DataFrame, classified: DataFrame, observed_at: object) -> DataFrame:
+    """The new version of ``refs`` (REF columns and others) after a batch of ``classified`` items (source_id, external_id,
+    library_id, media_item_id, external_key, external_updated_at, raw_hash; one row each) was seen: those that are there keep item
+    and library and take key, times and hash, new ones are added; all of them are available and seen now."""
+    key = ["source_id", "external_id"]
+    fields = ("external_key", "external_updated_at", "raw_hash")
+    seen = classified.select(*key, *[F.col(c).alias(f"_{c}") for c in (*fields, "media_item_id", "library_id")], F.lit(True).alias("_seen"))
+    both, hit = refs.join(seen, key, "full"), F.col("_seen").isNotNull()
+    value = {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in fields} | {
+        "media_item_id": F.coalesce("media_item_id", "_media_item_id"), "library_id": F.coalesce("library_id", "_library_id"), "available": F.when(hit, True).otherwise(F.col("available")),
+        "unavailable_since": F.when(~hit, F.col("unavailable_since")), "last_seen_at": F.when(hit, F.lit(observed_at).cast("timestamp_ntz")).otherwise(F.col("last_seen_at")),
+    }
+    return both.select(*[value.get(c, F.col(c)).alias(c) for c in refs.columns])
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:

@@ -310,8 +310,8 @@ def _(t: Tables) -> DataFrame:
     return ingest.discover(t.libraries, found)
 
 
-@register("m21_retired_refs", """SELECT media_item_id, source_id, CASE WHEN source_id = 2 THEN concat('retired:ref:', CAST(media_item_id AS VARCHAR), ':', substring(sha256(external_id), 1, 16)) ELSE external_id END AS external_id,
-library_id, source_id <> 2 AND available AS available, CASE WHEN source_id = 2 AND available THEN TIMESTAMP '2024-01-01' END AS unavailable_since FROM source_media_refs""")
+@register("m21_retired_refs", """SELECT media_item_id, source_id, CASE WHEN source_id = 2 THEN concat('retired:media:', CAST(media_item_id AS VARCHAR), ':', substring(sha256(external_id), 1, 16)) ELSE external_id END AS external_id,
+library_id, source_id <> 2 AND available AS available, CASE WHEN source_id = 2 THEN TIMESTAMP '2024-01-01' END AS unavailable_since FROM source_media_refs""")
 def _(t: Tables) -> DataFrame:
     return ingest.retire_source(t.refs, 2, NOW)
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from medialedger import tables
 from medialedger.identity import matching
-from medialedger.operators import catalog, ledger
+from medialedger.streaming.event_store import EventStore
 
 ACTIVE = ("media.play", "media.resume")
 KINDS = (*ACTIVE, "media.pause", "media.stop", "media.scrobble")
@@ -68,14 +68,6 @@ def _rows(key: tuple, sessions: list[tuple]) -> pd.DataFrame:
     return frame
 
 
-def _replay(state: NowPlaying, rows: pd.DataFrame) -> list[tuple]:
-    out: list[tuple] = []
-    rows = rows.sort_values(["t", "event_id"], kind="stable")
-    for r in zip(rows["t"], rows["external_id"], rows["event_type"], rows["progress_percent"], rows["completed"], strict=True):
-        out += state.step(int(r[0]), r[1], r[2], None if pd.isna(r[3]) else int(r[3]), bool(r[4]))
-    return out
-
-
 def sessions(rows: DataFrame) -> DataFrame:
     """W03 in batch: the closed plays of a table of notifications, and those still open (``closed_by`` open, ended_at null).
 
@@ -128,49 +120,98 @@ def sessions(rows: DataFrame) -> DataFrame:
 
 
 def stream_sessions(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The same closed plays as a stream, with event-time state per (source, user); stale ones close by timeout."""
+    """W03, W04 as a stream: the closed plays of ``sessions``, whatever the order in which rows arrive within the watermark.
+
+    Rows wait in the state of their (source, user) until the watermark has passed them and are then played in order of time and
+    event id, so none that comes later can stand before them; rows older than the watermark are dropped by Spark. A timer wakes a
+    user without new rows when the watermark reaches the next waiting row or the end of a stale play. A state holds the rows of one
+    user within the watermark's delay, as JSON text.
+    """
 
     def update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = NowPlaying(*state.get) if state.exists else NowPlaying()
-        if state.hasTimedOut:
-            out = list(now.close(now.started + STALE_US, False, "stale"))
-        else:
-            out = _replay(now, pd.concat(list(frames)))
-        if now.item is None:
+        item, started, progress, held = state.get if state.exists else (None, 0, None, "[]")
+        now, waiting = NowPlaying(item, started, progress), json.loads(held)
+        if not state.hasTimedOut:
+            for frame in frames:
+                for r in zip(frame["t"], frame["event_id"], frame["external_id"], frame["event_type"], frame["progress_percent"], frame["completed"], strict=True):
+                    waiting.append([int(r[0]), int(r[1]), r[2], r[3], None if pd.isna(r[4]) else int(r[4]), bool(r[5])])
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting.sort(key=lambda r: (r[0], r[1]))
+        out: list[tuple] = []
+        for t, _, external_id, kind, percent, done in (r for r in waiting if r[0] <= passed):
+            out += now.step(t, external_id, kind, percent, done)
+        waiting = [r for r in waiting if r[0] > passed]
+        if now.item is not None and now.started + STALE_US <= passed:  # rows to come are later still
+            out += now.close(now.started + STALE_US, False, "stale")
+        if now.item is None and not waiting:
             if state.exists:
                 state.remove()
         else:
-            state.update((now.item, now.started, now.progress))
-            due = (now.started + STALE_US) // 1000
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
+            state.update((now.item, now.started, now.progress, json.dumps(waiting)))
+            due = [r[0] for r in waiting[:1]] + ([now.started + STALE_US] if now.item is not None else [])
+            state.setTimeoutTimestamp(-(-min(due) // 1000))
         if out:
             yield _rows(key, out)
 
     timed = completed(stream).withColumn("at", F.col("occurred_at").cast("timestamp")).withColumn("t", F.unix_micros("at")).withWatermark("at", late)
     return timed.groupBy("source_id", "playback_user").applyInPandasWithState(
-        update, SESSIONS, "item string, started bigint, progress int", "append", GroupStateTimeout.EventTimeTimeout
+        update, SESSIONS, "item string, started bigint, progress int, waiting string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+MATCHED = "source_id int, external_id string, media_item_id bigint, event_id bigint, occurred_at timestamp_ntz"
+
+
+def late_dimension(completions: DataFrame, refs: DataFrame) -> DataFrame:
+    """W07 as a stream: each completion with the item of its reference, at once if it is known and otherwise when it comes.
+
+    Both are streams: ``completions`` (source_id, external_id, event_id, occurred_at; each event once, see ``deduplicated``) and
+    ``refs``, the references as they are added (source_id, external_id, media_item_id). The state of a (source, external id) holds
+    its item, the first that is told, and until then the completions that wait for it, as JSON text; they are released once.
+    """
+
+    def update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        item, held = state.get if state.exists else (None, "[]")
+        waiting = json.loads(held)
+        for frame in frames:
+            for media, event, micros in zip(frame["media_item_id"], frame["event_id"], frame["t"], strict=True):
+                if pd.isna(event):
+                    item = int(media) if item is None else item
+                else:
+                    waiting.append([int(event), int(micros)])
+        if item is None:
+            state.update((None, json.dumps(waiting)))
+        else:
+            state.update((item, "[]"))
+            if waiting:
+                waiting.sort()
+                at = pd.to_datetime([t for _, t in waiting], unit="us")
+                yield pd.DataFrame({"source_id": key[0], "external_id": key[1], "media_item_id": item, "event_id": [e for e, _ in waiting], "occurred_at": at})
+
+    none = F.lit(None).cast("bigint")
+    asked = completions.select("source_id", "external_id", none.alias("media_item_id"), "event_id", F.unix_micros(F.col("occurred_at").cast("timestamp")).alias("t"))
+    known = refs.select("source_id", "external_id", F.col("media_item_id").cast("bigint"), none.alias("event_id"), none.alias("t"))
+    both = asked.unionByName(known).where("source_id IS NOT NULL AND external_id IS NOT NULL")
+    return both.groupBy("source_id", "external_id").applyInPandasWithState(update, MATCHED, "item bigint, waiting string", "append", GroupStateTimeout.NoTimeout)
+
+
 def deduplicated(stream: DataFrame, within: str = "10 minutes") -> DataFrame:
     """Each (source, event) once while its watermark lasts."""
     return stream.withColumn("at", F.col("occurred_at").cast("timestamp")).withWatermark("at", within).dropDuplicatesWithinWatermark(["source_id", "event_id"])
 
 
-def persisted(stream: DataFrame, refs: DataFrame, root: str, within: str = "10 minutes") -> DataStreamWriter:
-    """Completed notifications into the published table ``watch_events`` under ``root``: each stable id once, then M14 with
-    its dedup key and two minutes per item across sources. A batch that runs again changes nothing; errors are appended."""
+def persisted(stream: DataFrame, refs: DataFrame, root: str, within: str = "10 minutes", name: str = "notifications", buckets: int = 64) -> DataStreamWriter:
+    """Completed notifications into the ``EventStore`` under ``root``: each stable id once, then M14 with its dedup key and two
+    minutes per item across sources, and M15. A batch only touches the partitions that it changes; one that runs again changes
+    nothing, errors included. ``name`` tells the batches of streams into one store apart."""
 
-    def store(batch: DataFrame, _: int) -> None:
+    def store(batch: DataFrame, number: int) -> None:
         none = F.lit(None)
         rows = batch.select(
             F.col("event_id").alias("seq"), "source_id", F.col("external_id").alias("media_external_id"), F.concat(F.lit("webhook:"), F.col("event_id").cast("string")).alias("source_event_id"),
             F.col("occurred_at").alias("watched_at"), "completed", *[none.cast("bigint").alias(c) for c in ("progress_ms", "duration_ms")], none.cast("int").alias("view_number"), "playback_user", F.lit("webhook").alias("origin"),
         )
-        new, errors = ledger.persist_events(tables.current(batch.sparkSession, root, "watch_events"), rows, refs)
-        errors.write.mode("append").parquet(f"{root}/watch_event_errors")
-        tables.publish(new, root, "watch_events")
+        EventStore(batch.sparkSession, root, buckets).merge(rows, refs, name, number)
 
     return deduplicated(completed(stream).where("completed"), within).writeStream.foreachBatch(store)
 
@@ -193,19 +234,18 @@ def outbox(candidates: DataFrame, refs: DataFrame, sources: DataFrame, states: D
 
 
 def write_outbox(stream: DataFrame, refs: DataFrame, sources: DataFrame, states: DataFrame, path: str) -> DataStreamWriter:
-    """W08 as a stream: each batch appends what was not sent before; a batch that runs again appends nothing."""
+    """W08 as a stream: each batch appends what was not sent before; a batch that runs again appends nothing.
+
+    What was sent lies by the day of its play, which is part of its key, so a batch reads the days of its own plays only.
+    """
 
     def send(batch: DataFrame, _: int) -> None:
+        rows = batch.where("completed").select("source_id", "external_id", F.col("occurred_at").alias("watched_at"))
+        days = [r[0] for r in rows.select(F.to_date("watched_at")).distinct().collect()]
         try:
-            sent = batch.sparkSession.read.schema("dedup_key string").parquet(path)
+            sent = batch.sparkSession.read.schema("dedup_key string, day date").parquet(path).where(F.col("day").isin(days))
         except AnalysisException:  # nothing sent yet
-            sent = batch.sparkSession.createDataFrame([], "dedup_key string")
-        rows = batch.where("completed").select("source_id", "external_id", F.col("occurred_at").alias("watched_at"))
-        outbox(rows, refs, sources, states, sent).write.mode("append").parquet(path)
+            sent = batch.sparkSession.createDataFrame([], "dedup_key string, day date")
+        outbox(rows, refs, sources, states, sent).withColumn("day", F.to_date("watched_at")).write.mode("append").partitionBy("day").parquet(path)
 
     return completed(stream).writeStream.foreachBatch(send)
-
-
-def retain(root: str, table: str, spark: SparkSession, by: list[str], order: list[Column], n: int) -> str:
-    """A new version of a published table with the last ``n`` rows of each group (N07); run it now and then beside the stream."""
-    return tables.publish(catalog.keep_last(tables.current(spark, root, table), by, order, n), root, table)

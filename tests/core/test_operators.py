@@ -9,6 +9,7 @@ from medialedger import quality, tables
 from medialedger.identity import merge
 from medialedger.operators import ledger
 from medialedger.streaming import playback
+from medialedger.streaming.event_store import EventStore
 
 T0 = datetime(2024, 1, 1)
 
@@ -62,11 +63,12 @@ def test_persisted_events(spark, tmp_path):
     told = [(1, at(0), 1, "u", "x", "media.scrobble", None), (2, at(1), 2, "v", "y", "media.stop", 95), (1, at(0), 1, "u", "x", "media.scrobble", None), (3, at(9), 1, "u", "x", "media.scrobble", None), (4, at(9), 1, "u", "w", "media.scrobble", None)]
     told = spark.createDataFrame(told, "event_id bigint, occurred_at timestamp_ntz, source_id int, playback_user string, external_id string, event_type string, progress_percent int")
     told.coalesce(1).write.parquet(f"{tmp_path}/in")
-    tables.publish(stored.limit(0), str(tmp_path), "watch_events")
     query = playback.persisted(spark.readStream.schema(told.schema).parquet(f"{tmp_path}/in"), refs, str(tmp_path)).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     assert query.awaitTermination(120) and query.exception() is None
-    assert shown(tables.current(spark, str(tmp_path), "watch_events")) == sorted(map(repr, [(10, 1, "webhook:1", at(0)), (10, 1, "webhook:3", at(9))]))
-    assert [r["seq"] for r in spark.read.parquet(f"{tmp_path}/watch_event_errors").collect()] == [4]
+    held = EventStore(spark, str(tmp_path))
+    assert shown(held.events()) == sorted(map(repr, [(10, 1, "webhook:1", at(0)), (10, 1, "webhook:3", at(9))]))
+    assert [r["seq"] for r in held.errors().collect()] == [4]
+    assert [(r["media_item_id"], r["view_count"], r["last_watched_at"], r["completed"]) for r in held.states().collect()] == [(10, 2, at(9), True)]
 
 
 def test_propagation(spark):
@@ -102,19 +104,6 @@ def test_now_playing(spark):
     assert got == [("a", "w", "open", False), ("a", "x", "other", False), ("a", "y", "media.stop", True), ("a", "z", "stale", False), ("b", "q", "media.scrobble", True)]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(2)
-    kinds = ["media.play", "media.resume", "media.pause", "media.stop", "media.scrobble"]
-    rows = [(i, T0 + timedelta(minutes=3 * i), 1 + i % 2, "u%d" % (i % 3), "e%d" % rng.randint(0, 3), rng.choice(kinds), rng.randint(0, 100)) for i in range(200)]
-    df = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp_ntz, source_id int, playback_user string, external_id string, event_type string, progress_percent int")
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = playback.stream_sessions(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
-    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    closed = lambda d: sorted((r["source_id"], r["playback_user"], r["external_id"], r["started_at"], r["closed_by"]) for r in d.where("closed_by NOT IN ('open', 'stale')").collect())
-    assert closed(spark.read.parquet(f"{tmp_path}/out")) == closed(playback.sessions(df))
-
-
 def test_functions(spark):
     df = spark.createDataFrame([("  Über  Straße ", "TMDB://12", "a &amp; b")], "t string, p string, h string")
     r = df.select(fn.title_key("t").alias("k"), fn.provider_id(F.col("p")).alias("p"), fn.unescape_html("h").alias("h"), fn.duration_text(F.lit(6960000)).alias("d"),
@@ -181,9 +170,6 @@ def test_stable_ids_once_in_a_stream(spark, tmp_path):
     query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, 1), (1, 2), (2, 1)]
-    tables.publish(df.select("event_id", "source_id", "occurred_at"), str(tmp_path), "t")
-    playback.retain(str(tmp_path), "t", spark, ["source_id"], [F.desc("occurred_at")], 1)
-    assert sorted(r["source_id"] for r in tables.current(spark, str(tmp_path), "t").collect()) == [1, 2]
 
 
 def test_a_missing_folder_is_no_silent_fallback(spark, monkeypatch):
