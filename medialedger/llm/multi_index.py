@@ -160,8 +160,8 @@ class MultiIndex:
 
     def fit(self, nodes: DataFrame, n: int) -> dict[int, tuple[Codebooks, float]]:
         """Codebooks and stopping distance for each length of vectors among ``sample_rows`` nodes, taken by a hash; other lengths
-        have one cell. The number of codes follows the number of nodes, some hundred to a cell."""
-        codes = self.codes or int(np.clip(np.ceil(np.sqrt(n / 512)), 4, 256))
+        have one cell. The number of codes follows the number of nodes, 2048 to a cell of all labels: finer cells are visited by more."""
+        codes = self.codes or int(np.clip(np.ceil(np.sqrt(n / 2048)), 4, 256))
         rows = nodes.select("label", "dim", "vec", F.xxhash64("key").alias("h")).orderBy("h").limit(self.sample_rows).toPandas()
         out = {}
         for dim, own in rows.groupby("dim"):
