@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -28,11 +28,13 @@ def connected_components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFr
         large = both.join(smallest, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, current = current, cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        counted = Observation()  # of the pass that writes the edges, so they are not read again to be counted
+        edges_now = small.unionByName(least.withColumnRenamed("m", "v")).distinct().observe(counted, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        before, current = current, cut(edges_now)
         if drop is not None:
             drop(before)
         # Every pass keeps the components; when a pass changes nothing, each node points at its root.
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = counted.get
         if now == seen:
             break
         seen = now

@@ -176,13 +176,15 @@ def apply_propagation(states: DataFrame, sent: DataFrame) -> DataFrame:
 
 
 def import_plays(events: DataFrame, plays: DataFrame) -> DataFrame:
-    """Matched plays of an export (id, media_item_id, watched_at) as new events; those imported before are skipped,
-    repeated ones are taken once."""
+    """Matched plays of an export (id, media_item_id, watched_at) as new events with their ``dedup_key``; those imported
+    before are skipped, of repeated ones the first in time is taken."""
     ids = plays.where("media_item_id IS NOT NULL").select(
         "media_item_id", F.concat(F.lit("trakt:"), F.col("id").cast("string")).alias("source_event_id"), "watched_at",
         fn.key_hash(F.lit("trakt"), F.col("id"), F.col("media_item_id"), fn.utc_text(F.col("watched_at"))).alias("dedup_key"),
     )
-    return ids.dropDuplicates(["source_event_id"]).join(events.select("source_event_id"), "source_event_id", "left_anti")
+    first = ids.groupBy("source_event_id").agg(F.min(F.struct("watched_at", "media_item_id", "dedup_key")).alias("p"))
+    once = first.select("p.media_item_id", "source_event_id", "p.watched_at", "p.dedup_key")
+    return once.join(events.select("source_event_id"), "source_event_id", "left_anti")
 
 
 def history_containers(plays: DataFrame) -> DataFrame:

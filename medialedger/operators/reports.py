@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -157,6 +157,24 @@ def counters(rows: DataFrame, by: str, names: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col(by) == n).alias(n) for n in names])
 
 
+def outcome_counts(by: str, names: list[str]) -> dict[str, Column]:
+    """The counters of A15 and A17 as they are observed."""
+    return {"total": F.count(F.lit(1)), **{n: F.count_if(F.col(by).eqNullSafe(n)) for n in names}}
+
+
+def observed(rows: DataFrame, counts: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """``rows`` and an observation whose ``get`` has the counts after the first action on them, of the same pass over
+    the rows that writes them; no job of their own. Rows must be acted on whole (written, not taken from)."""
+    seen = Observation()
+    return rows.observe(seen, *[c.alias(n) for n, c in counts.items()]), seen
+
+
+def observed_row(spark: SparkSession, seen: Observation) -> DataFrame:
+    """What was observed as a report of one row."""
+    found = {n: int(v) for n, v in seen.get.items()}
+    return spark.range(1).select(*[F.lit(v).cast("bigint").alias(n) for n, v in found.items()])
+
+
 def import_counters(files: int, plays: DataFrame, matched: DataFrame, created: DataFrame, new_identifiers: DataFrame, inserted: DataFrame, already: DataFrame) -> DataFrame:
     """The twelve counters of a bulk import as one row.
 

@@ -53,7 +53,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @register("p03_p04_p20_p21_texts", """SELECT id, lower(title) AS title_key, concat('a & ', title) AS plain, CASE WHEN id % 2 = 0 THEN 'tmdb' END AS provider, CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) END AS external_id,
-CASE WHEN id % 3 = 0 THEN 'id % 4 = 0' WHEN id % 4 = 0 THEN '' END AS x, CASE WHEN id % 3 = 0 THEN true WHEN id % 4 IS NOT NULL AND id % 100 >= 90 THEN true ELSE false END AS completed, 'A,b' AS tags FROM media_items""".replace("CASE WHEN id % 3 = 0 THEN 'id % 4 = 0' WHEN id % 4 = 0 THEN '' END AS x, ", ""))
+CASE WHEN id % 3 = 0 THEN true WHEN id % 4 IS NOT NULL AND id % 100 >= 90 THEN true ELSE false END AS completed, 'A,b' AS tags FROM media_items""")
 def _(t: Tables) -> DataFrame:
     done = fn.history_completed(F.when(F.col("id") % 3 == 0, 1).otherwise(0), F.col("id") % 100, F.lit(100), F.lit(True))
     p = fn.provider_id(F.when(F.col("id") % 2 == 0, text_id("TMDB://")).otherwise(F.lit("nothing")))

@@ -11,11 +11,15 @@ SCHEMA = f"id STRING, watched_at STRING, type STRING, movie {_TITLE}, episode {_
 
 
 def read_export(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per play: file_number, id, kind, watched_at (UTC), title, year, season, number, ids, reason.
-
-    ``reason`` is null for valid rows; broken rows are kept with theirs, none is dropped. Files of other names are ignored.
-    """
+    """The plays of all exports in a folder, with ``file_number``. Files of other names are ignored; a file is read by one task."""
     raw = spark.read.schema(SCHEMA).option("multiLine", True).option("pathGlobFilter", "watched-history-*.json").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
+    number = F.regexp_extract(F.input_file_name(), r"watched-history-(\d+)\.json", 1).cast("int")
+    return plays(raw.withColumn("file_number", number))
+
+
+def plays(raw: DataFrame) -> DataFrame:
+    """One row for each play of ``raw`` (SCHEMA, file_number if there is one): file_number, id, kind, watched_at (UTC),
+    title, show_title, year, season, number, ids, reason. ``reason`` is null for valid rows; broken ones are kept with theirs."""
     what = F.coalesce("movie", "episode")
     at = F.try_to_timestamp("watched_at")
     prefix = lambda p, c: F.when(F.nullif(F.trim(c), F.lit("")).isNotNull(), F.struct(F.lit(p).alias("provider"), F.trim(c).alias("external_id")))
@@ -25,9 +29,9 @@ def read_export(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("_corrupt").isNotNull(), "broken JSON").when(F.col("id").isNull(), "no id").when(at.isNull(), "no time")
         .when(~F.col("type").isin("movie", "episode") | F.col("type").isNull(), "unknown type").when(what["title"].isNull() & F.col("show.title").isNull(), "no title")
     )
-    number = F.regexp_extract(F.input_file_name(), r"watched-history-(\d+)\.json", 1).cast("int")
+    file_number = F.col("file_number") if "file_number" in raw.columns else F.lit(None).cast("int")
     return raw.select(
-        number.alias("file_number"), "id", F.col("type").alias("kind"), at.alias("watched_at"), what["title"].alias("title"), F.col("show.title").alias("show_title"),
+        file_number.alias("file_number"), "id", F.col("type").alias("kind"), at.alias("watched_at"), what["title"].alias("title"), F.col("show.title").alias("show_title"),
         what["year"].alias("year"), F.col("episode.season").alias("season"), F.col("episode.number").alias("number"), kept.alias("ids"), reason.alias("reason"),
     )
 

@@ -3,7 +3,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from medialedger.plans import details, operations, registry  # noqa: F401
+from medialedger.plans import details, operations, readers, registry  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 ALL, SQL = registry.QUERIES, registry.ORACLES
