@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,9 +23,6 @@ from medialedger.llm.store import materialize
 from medialedger.llm.wordscan import give_back
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Byte-level models spell bytes as characters: printable ones as themselves, the others in order from U+0100 on.
-_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_SPELL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: A Latin-1 word and what may follow it; its two parts are tokens of their own to the word tokenizer.
 _PLAIN = re.compile(r'([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()"]*)')
 
@@ -33,42 +30,26 @@ _PLAIN = re.compile(r'([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()"]*)')
 class WordIds(dict):
     """Token ids (little-endian uint32 bytes) of white-space-separated words, for tokenizers that drop white space.
 
-    Words are kept up to a fixed number, then the table starts anew; long words are never kept. Plain words go to the model
-    alone as long as that gives what the whole tokenizer gives, which the first 2000 of them and every 64th later are held to.
+    Words are kept up to a fixed number, then the table starts anew; long words are never kept. All ids come from the whole
+    tokenizer, once for each word, or for the letters and the marks of a plain one, when it enters the table.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
-        self.tokenizer, self.limit, self.parts, self.tried = Tokenizer.from_file(path), limit, {}, 0
-        self.model = self.tokenizer.model
-        sample = ["a", "the", "straße", "éàçñöü", "quantification"]
-        self.letters = self._model_ids if all(self._model_ids(w) == self.encode(w) for w in sample) else self.encode
+        self.tokenizer, self.limit, self.parts = Tokenizer.from_file(path), limit, {}
 
     def encode(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _model_ids(self, word: str) -> bytes:
-        """The ids of one lower-case Latin-1 word: the model alone, without the steps before it that change nothing."""
-        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SPELL))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def part(self, text: str, encode: Callable[[str], bytes]) -> bytes:
+    def part(self, text: str) -> bytes:
         ids = self.parts.get(text)
         if ids is None:
             if len(self.parts) >= 2 * self.limit:
                 self.parts.clear()
-            ids = self.parts[text] = encode(text)
-            self.tried += 1
-            if encode == self._model_ids and (self.tried < 2000 or self.tried % 64 == 0) and ids != self.encode(text):
-                # This model needs its other steps after all: from now on the whole tokenizer is asked.
-                self.letters = self.encode
-                self.clear()
-                self.parts.clear()
-                self[""] = b""
-                ids = self.encode(text)
+            ids = self.parts[text] = self.encode(text)
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -78,9 +59,9 @@ class WordIds(dict):
         if plain is None:
             ids = self.encode(word)
         else:
-            ids = self.part(plain[1].lower(), self.letters)
+            ids = self.part(plain[1].lower())
             if plain[2]:
-                ids += self.part(plain[2], self.encode)
+                ids += self.part(plain[2])
         if len(self) >= self.limit:
             self.clear()
             self[""] = b""

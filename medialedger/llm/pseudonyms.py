@@ -76,18 +76,19 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def permute_digits(number: Column, key: str, kind: str) -> Column:
-    """A keyed permutation of the digit strings of each length from 2 to 36."""
+def permute_digits(number: Column, key: str, kind: str, first_nonzero: bool = False) -> Column:
+    """A keyed permutation of the digit strings of each length from 2 to 36, or of those whose first digit is no zero."""
 
     def permuted(number: Column) -> Column:
         n = F.length(number)
         half = F.floor(n / 2).cast("int")
         size = lambda k: F.rpad(F.lit("1"), k + 1, F.lit("0")).cast("bigint")
+        low = size(half - 1) if first_nonzero else F.lit(0).cast("bigint")
         sides = feistel(
-            F.substr(number, F.lit(1), half).cast("bigint"), F.substr(number, half + 1, n).cast("bigint"),
-            size(half), size(n - half), key, F.concat(F.lit(kind), n.cast("string")),
+            F.substr(number, F.lit(1), half).cast("bigint") - low, F.substr(number, half + 1, n).cast("bigint"),
+            size(half) - low, size(n - half), key, F.concat(F.lit(kind), n.cast("string")),
         )
-        show = lambda s: F.concat(F.lpad(s["l"].cast("string"), half, F.lit("0")), F.lpad(s["r"].cast("string"), n - half, F.lit("0")))
+        show = lambda s: F.concat(F.lpad((s["l"] + low).cast("string"), half, F.lit("0")), F.lpad(s["r"].cast("string"), n - half, F.lit("0")))
         return let(sides, show)
 
     return let(number, permuted)
@@ -132,22 +133,61 @@ def _card(value: Column, key: str) -> Column:
     return let(digits(value), shown)
 
 
+def permute_american(number: Column, key: str) -> Column:
+    """A keyed permutation of ten digits of the North American plan. Area and exchange begin with 2 to 9; where one begins with 0 or
+    1 it does so afterwards, so that right numbers and others never meet."""
+
+    def permuted(number: Column) -> Column:
+        part = lambda at, n: F.substr(number, F.lit(at), F.lit(n)).cast("bigint")
+        low = lambda x: F.when(x < 200, 0).otherwise(200).cast("bigint")
+        size = lambda x: F.when(x < 200, 200).otherwise(800).cast("bigint")
+        area, exchange, line = part(1, 3), part(4, 3), part(7, 4)
+        tag = F.concat(F.lit("phone"), size(area).cast("string"), F.lit("/"), size(exchange).cast("string"))
+        sides = feistel(area - low(area), (exchange - low(exchange)) * 10_000 + line, size(area), size(exchange) * 10_000, key, tag)
+        show = lambda s: F.concat(F.lpad((s["l"] + low(area)).cast("string"), 3, "0"), F.lpad((s["r"] + low(exchange) * 10_000).cast("string"), 7, "0"))
+        return let(sides, show)
+
+    return let(number, permuted)
+
+
 def _phone(value: Column, key: str) -> Column:
-    """International numbers keep their country code, so one number is one pseudonym with or without separators."""
+    """Country codes and the zeros that numbers begin with stay, and no other number begins with one; numbers of the North American
+    plan stay in it. One number is one pseudonym with or without separators, an American one also with or without its code."""
     second, third = F.substring(digits(value), 1, 1), F.substring(digits(value), 1, 2)
     code = F.when(second.isin(*CODES_OF_ONE), 1).when(third.isin(*CODES_OF_TWO), 2).otherwise(3)
     kept = F.when(F.startswith(value, F.lit("+")), code).otherwise(0)
+    american = F.when(F.startswith(value, F.lit("+")), second == "1").otherwise(~value.rlike(r"^0\d{2,4}[ /]"))
 
     def shown(x: Column) -> Column:
         head = F.substr(x["number"], F.lit(1), x["kept"])
-        rest = F.substr(x["number"], x["kept"] + 1, F.length(x["number"]))
-        return refill(value, F.concat(head, permute_digits(rest, key, "phone")))
 
-    return let(F.struct(digits(value).alias("number"), kept.alias("kept")), shown)
+        def moved(y: Column) -> Column:
+            zeros = F.regexp_extract(y["rest"], "^0*", 0)
+            tail = F.substr(y["rest"], F.length(zeros) + 1, F.length(y["rest"]))
+            plain = F.concat(zeros, F.when(F.length(tail) < 2, tail).otherwise(permute_digits(tail, key, "phone", first_nonzero=True)))
+            return F.when(x["american"] & (F.length(y["rest"]) == 10), permute_american(y["rest"], key)).otherwise(plain)
+
+        rest = F.struct(F.substr(x["number"], x["kept"] + 1, F.length(x["number"])).alias("rest"))
+        return refill(value, F.concat(head, let(rest, moved)))
+
+    return let(F.struct(digits(value).alias("number"), kept.alias("kept"), american.alias("american")), shown)
+
+
+#: Social security numbers that can be given: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
+_AREAS, _GROUPS, _SERIALS = 898, 99, 9999
 
 
 def _ssn(value: Column, key: str) -> Column:
-    return F.when(value.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)"), refill(value, permute_digits(digits(value), key, "ssn"))).otherwise(value)
+    """A keyed permutation of the numbers that can be given; others stay, and none becomes one of them."""
+    area, group, serial = (F.substring(value, at, n).cast("bigint") for at, n in ((1, 3), (5, 2), (8, 4)))
+    at = F.when(area > 666, area - 2).otherwise(area - 1)
+    sides = feistel(at, (group - 1) * _SERIALS + serial - 1, _AREAS, _GROUPS * _SERIALS, key, "ssn")
+
+    def show(s: Column) -> Column:
+        shown = F.when(s["l"] >= 665, s["l"] + 2).otherwise(s["l"] + 1)
+        return F.format_string("%03d-%02d-%04d", shown, F.floor(s["r"] / _SERIALS) + 1, s["r"] % _SERIALS + 1)
+
+    return F.when(value.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)"), let(sides, show)).otherwise(value)
 
 
 def iban_rest(text: Column) -> Column:

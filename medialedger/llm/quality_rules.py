@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialedger.llm.store import materialize, small
+from medialedger.llm.store import discard, materialize, small
 from medialedger.llm.wordscan import _BYTE, IS_WORD, bytes_hash, distinct_rows, mix, scan_words, slices, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines")
@@ -195,11 +195,14 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float =
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns as they are; needs doc_id, text and lang."""
-    cutoffs = fit(materialize(features(docs), "quality-features"), labels, risk, error)
+    rows = materialize(features(docs), "quality-features")
+    cutoffs = fit(rows, labels, risk, error)
+    discard(rows)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             c = count_features(part.column("text"))
-            yield part.filter(pa.array(~base_failed(c) & (levels(c) > cutoffs.of(part.column("lang").to_pylist()))))
+            langs = [None if x is None else str(x) for x in part.column("lang").to_pylist()]  # as the strata are named
+            yield part.filter(pa.array(~base_failed(c) & (levels(c) > cutoffs.of(langs))))
 
     return docs.mapInArrow(pick, docs.schema)

@@ -22,10 +22,35 @@ def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("n"))
     out = [r[0] for r in df.select(pseudonyms.permute_digits(F.col("n"), "k", "t")).collect()]
     assert len(set(out)) == 1000 and all(re.fullmatch(r"\d{3}", x) for x in out)
+    for n in (2, 3, 5):
+        df = spark.range(10 ** (n - 1), 10**n).select(F.col("id").cast("string").alias("n"))
+        out = {r[0] for r in df.select(pseudonyms.permute_digits(F.col("n"), "k", "t", first_nonzero=True)).collect()}
+        assert out == {str(i) for i in range(10 ** (n - 1), 10**n)}
     days = spark.range(146097).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "dd.MM.yyyy").alias("d"))
     assert days.select(pseudonyms._date(F.col("d"), "k").alias("p")).distinct().count() == 146097
 
 
+def test_numbers_stay_valid_and_apart(spark):
+    valid = r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"
+    # Steps that share no factor with a domain's size pass through all of it.
+    at = (F.col("id") * 7919) % (898 * 99 * 9999)
+    area, rest = F.floor(at / (99 * 9999)), at % (99 * 9999)
+    ssn = F.format_string("%03d-%02d-%04d", F.when(area >= 665, area + 2).otherwise(area + 1), F.floor(rest / 9999) + 1, rest % 9999 + 1)
+    df = spark.range(60_000).select(ssn.alias("v"))
+    assert df.where(~F.col("v").rlike(valid)).isEmpty()
+    out = df.select(pseudonyms._ssn(F.col("v"), "k").alias("p"))
+    assert out.where(~F.col("p").rlike(valid)).isEmpty() and out.distinct().count() == 60_000
+    odd = [f"{a}-12-3456" for a in ("000", "666", "900", "999")] + ["123-00-4567", "123-45-0000"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in odd], "v string").select(pseudonyms._ssn(F.col("v"), "k")).collect()] == odd
+
+    number = F.lpad(((F.col("id") * 99_991) % 10**9).cast("string"), 9, "0")
+    df = spark.range(20_000).select(F.concat(F.lit("030 "), F.substring(number, 1, 7)).alias("a"), F.concat(F.lit("+49 3"), number).alias("b"), F.concat(F.lit("("), (F.col("id") % 800 + 200).cast("string"), F.lit(") 2"), F.substring(number, 2, 2), F.lit("-"), F.substring(number, 4, 4)).alias("c")).distinct()
+    out = df.select(*[pseudonyms._phone(F.col(c), "k").alias(c) for c in "abc"])
+    assert out.where(~F.col("a").rlike(r"^0[1-9]\d \d{7}$") | ~F.col("b").rlike(r"^\+49 [1-9]\d{9}$") | ~F.col("c").rlike(r"^\([2-9]\d\d\) [2-9]\d\d-\d{4}$")).isEmpty()
+    for c in "abc":
+        assert out.select(c).distinct().count() == df.select(c).distinct().count()
+
+
 def brute_feistel(left, right, a, b, key, tag):
     for i in range(8):
         noise = lambda half: int(hashlib.sha256(f"{key}|{tag}|{i}|{half}".encode()).hexdigest()[:15], 16)  # noqa: E731, B023
@@ -36,10 +61,18 @@ def brute_feistel(left, right, a, b, key, tag):
     return left, right
 
 
-def brute_digits(number, key, kind):
+def brute_digits(number, key, kind, first_nonzero=False):
     half = len(number) // 2
-    sides = brute_feistel(int(number[:half]), int(number[half:]), 10**half, 10 ** (len(number) - half), key, f"{kind}{len(number)}")
-    return str(sides[0]).zfill(half) + str(sides[1]).zfill(len(number) - half)
+    low = 10 ** (half - 1) if first_nonzero else 0
+    sides = brute_feistel(int(number[:half]) - low, int(number[half:]), 10**half - low, 10 ** (len(number) - half), key, f"{kind}{len(number)}")
+    return str(sides[0] + low).zfill(half) + str(sides[1]).zfill(len(number) - half)
+
+
+def brute_american(number, key):
+    area, exchange, line = int(number[:3]), int(number[3:6]), int(number[6:])
+    (low_a, size_a), (low_e, size_e) = ((0, 200) if x < 200 else (200, 800) for x in (area, exchange))
+    left, right = brute_feistel(area - low_a, (exchange - low_e) * 10**4 + line, size_a, size_e * 10**4, key, f"phone{size_a}/{size_e}")
+    return f"{left + low_a:03d}{right + low_e * 10**4:07d}"
 
 
 def brute_refill(shape, number):
@@ -96,10 +129,18 @@ def brute_pseudonym(value, key):
         return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
     if kind == "phone":
         kept = 0 if value[0] != "+" else 1 if plain[0] in "17" else 2 if plain[:2] in pseudonyms.CODES_OF_TWO else 3
-        return brute_refill(value, plain[:kept] + brute_digits(plain[kept:], key, "phone"))
+        american = plain[0] == "1" if value[0] == "+" else not re.match(r"0\d{2,4}[ /]", value)
+        head, rest = plain[:kept], plain[kept:]
+        if american and len(rest) == 10:
+            return brute_refill(value, head + brute_american(rest, key))
+        tail = rest.lstrip("0")
+        return brute_refill(value, head + rest[: len(rest) - len(tail)] + (tail if len(tail) < 2 else brute_digits(tail, key, "phone", True)))
     if kind == "ssn":
-        good = re.match(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)", value)
-        return brute_refill(value, brute_digits(plain, key, "ssn")) if good else value
+        if not re.match(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)", value):
+            return value
+        area, group, serial = map(int, value.split("-"))
+        left, right = brute_feistel(area - 2 if area > 666 else area - 1, (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
+        return f"{left + 2 if left >= 665 else left + 1:03d}-{right // 9999 + 1:02d}-{right % 9999 + 1:04d}"
     if not luhn(plain):
         return value
     body = brute_digits(plain[:-1], key, "card")
