@@ -11,7 +11,7 @@ from medialedger import functions as fn
 from medialedger import quality, tables
 from medialedger.adapters import Tables
 from medialedger.identity import cascade
-from medialedger.operators import catalog, containers, creation, ingest, ledger, reports
+from medialedger.operators import catalog, containers, creation, ingest, ledger, reports, titles
 from medialedger.plans.details import ntz, second_payload, text_id
 from medialedger.plans.registry import NOW, register
 from medialedger.sources import history_export, payloads
@@ -198,6 +198,18 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("event_id", "source_id")
 
 
+@register("f08_titles_by_trigrams", """SELECT 'a%st' AS asked, id, title FROM media_items WHERE title ILIKE '%a%st%' UNION ALL SELECT 'customer', id, title FROM media_items WHERE title ILIKE '%customer%'
+UNION ALL SELECT 'r_ck', id, title FROM media_items WHERE title ILIKE '%r_ck%' UNION ALL SELECT 'gree', id, title FROM media_items WHERE title ILIKE '%gree%'""")
+def _(t: Tables) -> DataFrame:
+    path = scratch(t, "titles")
+    titles.write_index(t.items, path)
+    parts = [titles.titles_like(t.items, path, q).select(F.lit(q).alias("asked"), "id", "title") for q in ("a%st", "customer", "r_ck", "gree")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # Keys without accents and odd white space.
 
 
