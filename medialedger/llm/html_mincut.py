@@ -3,7 +3,8 @@
 A page is cut into blocks of text. What markup says about a block and a linear classifier of its text, links and neighbours
 give its cost for either label, in log-odds; blocks that follow each other or stand close in the element tree are tied by
 smoothness edges on the same scale. The minimum cut between content and boilerplate is the cheapest labelling of all blocks
-together: clear markup decides by itself, and where it is silent neighbours settle what the classifier leaves open.
+together: clear markup decides by itself, names that only hold a telling word weigh as much as text does, and where markup is
+silent or doubtful neighbours settle what the classifier leaves open.
 
 The classifier and the edges are fitted to a bounded sample of the pages themselves. Blocks whose markup is clear serve as
 labelled ones, with that markup hidden from the classifier.
@@ -55,8 +56,23 @@ _BOX_NAME = re.compile(
     r"|outbrain|taboola|nav|navbar|navigation|menu|(?:site|page|main)?[_-]?footer|sidebar)(?=$|\s)",
     re.IGNORECASE,
 )
-#: The same for an element that is an article itself: a whole word of the class must be a bad name.
-_BAD_WORD = re.compile(_BAD_NAME.pattern.replace(r"(?:^|[\s_-])", r"(?:^|\s)", 1).replace(r"(?=$|[\s_-])", r"(?=$|\s)"), re.IGNORECASE)
+#: Words that name a box of something else when they are a whole name, or stand with what only tells of a box or of its place.
+_BOX_WORD = (
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|footer|foot|header|masthead|topbar|sidebar|widgets?|comments?|commentlist|disqus|respond|replies|reply"
+    r"|share|sharing|social|related|recommend(?:ed|ations?)|newsletter|subscribe|signup|login|popup|modal|overlay|cookies?|consent|gdpr|notice|notification|alert|disclaimer|copyright|toolbar"
+    r"|pagination|pager|search|skip|hidden|outbrain|taboola)"
+)
+_HOLDER = (
+    r"(?:box|bar|list|notice|banner|wrap|wrapper|container|block|area|section|unit|slot|form|links?|buttons?|posts?|articles?|stories|items?|threads?|widgets?|panel|overlay|popup|inner|content"
+    r"|top|bottom|left|right|menu|nav|header|footer|group|holder|region|zone|icons?|feed|count|\d+)"
+)
+_BOX_TOKEN = re.compile(rf"(?:(?:site|page|main|global|top|post|entry|article|blog)[_-]?)?{_BOX_WORD}(?:[_-]?(?:{_HOLDER}|{_BOX_WORD}))*|sr-only|visually-hidden", re.IGNORECASE)
+#: For an element that is an article itself only the bare word says so.
+_BARE_TOKEN = re.compile(_BOX_WORD, re.IGNORECASE)
+#: Names of what holds the title of an article, inside of one.
+_TITLE_TOKEN = re.compile(r"(?:article|post|entry|story|content|page)[_-]?(?:header|head|title|heading|top)", re.IGNORECASE)
+#: What a name says that only holds such a word among others (share-prices, legal-analysis): a sign that text and neighbours can outvote.
+_HINT = -1.5
 _ARTICLE_PROPS = frozenset(("articlebody", "maincontentofpage"))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -89,7 +105,7 @@ def _bias(name: str, attributes: str, above: Node | None) -> tuple[float, bool,
     if name == "header" and inside:
         own = 0.0  # the head of an article carries its title
     firm = own <= -7.0 and name != "form"  # some servers put a whole page into one form
-    article, main = name == "article", name == "main"
+    article, main, hinted = name == "article", name == "main", False
     found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)] if attributes else ()
     for key, value in found:
         article |= key == "role" and value.lower() == "article" or key == "itemprop" and not _ARTICLE_PROPS.isdisjoint(value.lower().split())
@@ -99,15 +115,20 @@ def _bias(name: str, attributes: str, above: Node | None) -> tuple[float, bool,
             role = _ROLE.get(value.lower(), 0.0)
             own, firm = (min(own, role), True) if role < 0 else (own + role, firm)
         elif key in ("class", "id") and name not in ("body", "html"):
-            box = _BOX_NAME.search(value) is not None
-            if box or (_BAD_WORD if article or main else _BAD_NAME).search(value):
-                if not (inside and name in ("header", "h1", "h2", "h3")):
-                    own, firm = min(own, -8.0), firm or box
-            elif _GOOD_NAME.search(value):
-                own = max(own, 3.0) if own >= 0 else own
+            names = [t for t in value.split() if not (inside and _TITLE_TOKEN.fullmatch(t))]
+            box = any(_BOX_TOKEN.fullmatch(t) for t in names) and _BOX_NAME.search(value) is not None
+            if inside and name in ("header", "h1", "h2", "h3"):
+                pass
+            elif box or any((_BARE_TOKEN if article or main else _BOX_TOKEN).fullmatch(t) for t in names):
+                own, firm = min(own, -8.0), firm or box
+            elif own > -7.0:
+                own = max(own, 3.0) if own >= 0 and _GOOD_NAME.search(value) else own
+                hinted |= any(_BAD_NAME.search(t) for t in names)
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
             own, firm = -9.0, True
-    if (article or main) and own > -7.0 and bias <= -7.0 and not hard and not nested:
+    if hinted and own > -7.0:
+        own += _HINT
+    if (article or main) and own > -7.0 and bias < 0 and not hard and not nested:
         bias = best  # the wrapper was only named badly; an article within an article is no such sign
     best = max(best, own, 0.0)
     good, bad = max(bias, own, 0.0), min(bias, own, 0.0)

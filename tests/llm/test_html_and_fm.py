@@ -55,6 +55,28 @@ def test_article_in_a_flagged_wrapper():
     assert h.main_text(PAGE.replace("<main>", '<div class="has-sidebar"><main>').replace("<blockquote>", teaser + "<blockquote>")) == whole
 
 
+LONG = "These are the words of a story that is told at some length, with commas, and so on. It counts as content, since it is long and has no links."
+
+
+def test_names_that_only_hold_a_telling_word_are_outvoted():
+    for open_, close in (
+        ('<main class="legal">', "</main>"), ('<body><div id="side-story">', "</div>"), ('<article><section class="discussion">', "</section></article>"), ('<section class="share-prices">', "</section>"),
+        ('<section id="related-work">', "</section>"), ('<div id="search-method">', "</div>"), ('<div class="legal-analysis">', "</div>"), ('<article><div class="hidden-xs">', "</div></article>"),
+    ):
+        assert h.main_text(f"{open_}<h2>Some heading</h2><p>{LONG}</p><p>{LONG}</p>{close}").count("content") == 2, open_
+    assert h.main_text(f'<article><div class="article-header"><h1>Title</h1></div><p class="hidden-xs">{LONG}</p></article>') == f"Title\n\n{LONG}"
+    for box in ("comment-list", "site-footer", "main-nav", "ad-box", "cookie-notice", "social-share", "related posts", "sr-only", "newsletter_form", "notice"):
+        assert h.main_text(f'<article><p>{LONG}</p></article><div class="{box}"><p>{LONG}</p></div>') == LONG, box
+
+
+def test_the_cut_decides_where_names_only_hint():
+    """A short block under such a name goes with its neighbours, by the cut and not by its own costs."""
+    page = f'<div class="legal-analysis"><p>{LONG}</p><p>{LONG}</p><p>Not so</p><p>{LONG}</p></div><div class="search-tips"><a href=x>One</a></div>'
+    found, model = h.blocks(page), h.Model()
+    alone = [c >= 0 for c in h.costs_of(found, model)]
+    assert alone == [True, True, False, True, False] and h.labels_of(found, model) == [True, True, True, True, False]
+
+
 def test_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(200):
