@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medialedger.sources import large_json
+
 _IDS = "STRUCT<trakt: STRING, imdb: STRING, tmdb: STRING, tvdb: STRING, plex: STRUCT<guid: STRING>>"
 _TITLE = f"STRUCT<title: STRING, year: INT, season: INT, number: INT, ids: {_IDS}>"
 SCHEMA = f"id STRING, watched_at STRING, type STRING, movie {_TITLE}, episode {_TITLE}, show {_TITLE}, _corrupt STRING"
 
 
 def read_export(spark: SparkSession, folder: str) -> DataFrame:
-    """The plays of all exports in a folder, with ``file_number``. Files of other names are ignored; a file is read by one task."""
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).option("pathGlobFilter", "watched-history-*.json").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
-    number = F.regexp_extract(F.input_file_name(), r"watched-history-(\d+)\.json", 1).cast("int")
-    return plays(raw.withColumn("file_number", number))
+    """The plays of all exports in a folder, with ``file_number``. Files of other names are ignored, and large ones are read by
+    many tasks. A play that can't be parsed has the reason "broken JSON"."""
+    objects = large_json.array_objects(spark, folder, "watched-history-*.json")
+    row = F.from_json("value", SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+    number = F.regexp_extract("path", r"watched-history-(\d+)\.json", 1).cast("int")
+    return plays(objects.select(number.alias("file_number"), row.alias("r")).select("file_number", "r.*"))
 
 
 def plays(raw: DataFrame) -> DataFrame:
