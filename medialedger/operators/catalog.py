@@ -140,7 +140,7 @@ def deduplicated(rows: DataFrame, identifiers: DataFrame, order: list[Column]) -
     """
     best = canonical_identifier(identifiers).withColumnRenamed("media_item_id", "id")
     named = F.col("provider").isNotNull()
-    key = F.struct("kind", "provider", "external_id", F.when(~named, fn.title_key("title")).alias("title"), F.when(~named, F.col("year")).alias("year"))
+    key = F.struct("kind", "provider", "external_id", fn.title_key(F.when(~named, F.col("title"))).alias("title"), F.when(~named, F.col("year")).alias("year"))
     keyed = rows.join(best, "id", "left").withColumn("key", key)
     content = [c for c in rows.columns if c not in ("on_plex", "on_jellyfin")]
     # The window and the aggregate share one shuffle by key.
