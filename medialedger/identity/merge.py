@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialedger.hubs import HUB_ROWS, join_by_key
 from medialedger.identity.components import connected_components
 
 STABLE_PROVIDERS = ("tmdb", "tvdb", "imdb", "musicbrainz")
@@ -20,26 +21,29 @@ def _keyed(items: DataFrame, identifiers: DataFrame, kinds: tuple[str, ...], pro
     return identifiers.where(F.col("provider").isin(*providers)).join(own, "media_item_id").select("kind", "provider", "external_id", "media_item_id").distinct()
 
 
-def shared_identifiers(items: DataFrame, identifiers: DataFrame, kinds: tuple[str, ...] = KINDS, providers: tuple[str, ...] = STABLE_PROVIDERS) -> DataFrame:
+def shared_identifiers(items: DataFrame, identifiers: DataFrame, kinds: tuple[str, ...] = KINDS, providers: tuple[str, ...] = STABLE_PROVIDERS,
+                       hub_rows: int = HUB_ROWS) -> DataFrame:
     """A10: identifiers with two or more items of one kind: one row for each of these items, with their number."""
     keyed = _keyed(items, identifiers, kinds, providers)
     several = keyed.groupBy("kind", "provider", "external_id").agg(F.count("*").alias("n")).where("n > 1")
-    return keyed.join(several, ["kind", "provider", "external_id"])
+    return join_by_key(keyed, several, ["kind", "provider", "external_id"], "media_item_id", hub_rows)
 
 
 def groups(items: DataFrame, identifiers: DataFrame, cut: Callable[[DataFrame], DataFrame], kinds: tuple[str, ...] = KINDS,
-           providers: tuple[str, ...] = STABLE_PROVIDERS, drop: Callable[[DataFrame], None] | None = None) -> DataFrame:
+           providers: tuple[str, ...] = STABLE_PROVIDERS, drop: Callable[[DataFrame], None] | None = None,
+           hub_rows: int = HUB_ROWS) -> DataFrame:
     """(media_item_id, group_id) of all items in groups of two or more; the id is the smallest item.
 
     ``cut`` and ``drop`` are those of ``connected_components``. Every item of an identifier is linked to its smallest one, a star and no clique, and the components of that are found.
     """
     keyed = _keyed(items, identifiers, kinds, providers)
-    smallest = keyed.groupBy("kind", "provider", "external_id").agg(F.min("media_item_id").alias("first"))
-    edges = keyed.join(smallest, ["kind", "provider", "external_id"]).where(F.col("media_item_id") != F.col("first")).select("media_item_id", "first")
-    return connected_components(edges, "media_item_id", "first", cut, drop).select(F.col("node").alias("media_item_id"), F.col("root").alias("group_id"))
+    key = ["kind", "provider", "external_id"]
+    smallest = keyed.groupBy(*key).agg(F.min("media_item_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    edges = join_by_key(keyed, smallest, key, "media_item_id", hub_rows).where(F.col("media_item_id") != F.col("first")).select("media_item_id", "first")
+    return connected_components(edges, "media_item_id", "first", cut, drop, hub_rows).select(F.col("node").alias("media_item_id"), F.col("root").alias("group_id"))
 
 
-def merge_plan(members: DataFrame, refs: DataFrame, sources: DataFrame) -> DataFrame:
+def merge_plan(members: DataFrame, refs: DataFrame, sources: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     """(media_item_id, winner_id) for the losers of every group that may merge.
 
     A group merges if all its items have references and no source holds two of them; the winner is the smallest item with
@@ -51,9 +55,10 @@ def merge_plan(members: DataFrame, refs: DataFrame, sources: DataFrame) -> DataF
     clash = per_source.where("n > 1").select("group_id").distinct()
     missing = rows.where("source_id IS NULL").select("group_id").distinct()
     item = rows.groupBy("group_id", "media_item_id").agg(F.max(F.coalesce(F.col("connector_type") == "plex", F.lit(False))).alias("leads"))
-    winner = item.groupBy("group_id").agg(F.min(F.struct((~F.col("leads")).alias("o"), "media_item_id")).alias("w")).select("group_id", F.col("w.media_item_id").alias("winner_id"))
-    free = item.join(clash, "group_id", "left_anti").join(missing, "group_id", "left_anti")
-    return free.join(winner, "group_id").where(F.col("media_item_id") != F.col("winner_id")).select("media_item_id", "winner_id")
+    winner = item.groupBy("group_id").agg(F.min(F.struct((~F.col("leads")).alias("o"), "media_item_id")).alias("w"), F.count("*").alias("n"))
+    # What stops a group is asked of its one row, not of its items.
+    free = winner.join(clash, "group_id", "left_anti").join(missing, "group_id", "left_anti").select("group_id", "n", F.col("w.media_item_id").alias("winner_id"))
+    return join_by_key(item, free, ["group_id"], "media_item_id", hub_rows).where(F.col("media_item_id") != F.col("winner_id")).select("media_item_id", "winner_id")
 
 
 def remap(rows: DataFrame, plan: DataFrame, unique: list[str], order: list[Column] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from medialedger import functions as fn
+from medialedger.hubs import HUB_ROWS, join_by_key
 
 ROOT_KINDS = ("movie", "show", "artist")
 PROVIDER_ORDER = ("tmdb", "tvdb", "imdb")
@@ -81,7 +82,14 @@ def availability(refs: DataFrame, sources: DataFrame) -> DataFrame:
     return refs.where("available").join(kinds, "source_id").groupBy("media_item_id").agg(has("plex"), has("jellyfin"))
 
 
-def shared_availability(items: DataFrame, identifiers: DataFrame, refs: DataFrame, sources: DataFrame) -> DataFrame:
+def _through_keys(own: DataFrame, flags: DataFrame, key: list[str], hub_rows: int) -> DataFrame:
+    """The flags of each item through all items that have one of its keys; keys of very many items are salted."""
+    either = [F.bool_or("on_plex").alias("on_plex"), F.bool_or("on_jellyfin").alias("on_jellyfin")]
+    by_key = own.join(flags, "media_item_id", "left").groupBy(*key).agg(*either, F.count("*").alias("n")).where("on_plex IS NOT NULL OR on_jellyfin IS NOT NULL")
+    return join_by_key(own, by_key, key, "media_item_id", hub_rows).groupBy("media_item_id").agg(*either)
+
+
+def shared_availability(items: DataFrame, identifiers: DataFrame, refs: DataFrame, sources: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     """Availability of an item through all items of its kind that share an identifier.
 
     Flags are first gathered by identifier, so an identifier of many items costs its rows and not its pairs.
@@ -89,8 +97,7 @@ def shared_availability(items: DataFrame, identifiers: DataFrame, refs: DataFram
     own = identifiers.join(items.select(F.col("id").alias("media_item_id"), "kind"), "media_item_id")
     flags = availability(refs, sources)
     key = ["kind", "provider", "external_id"]
-    by_key = own.join(flags, "media_item_id").groupBy(*key).agg(F.bool_or("on_plex").alias("on_plex"), F.bool_or("on_jellyfin").alias("on_jellyfin"))
-    return own.join(by_key, key).groupBy("media_item_id").agg(F.bool_or("on_plex").alias("on_plex"), F.bool_or("on_jellyfin").alias("on_jellyfin"))
+    return _through_keys(own, flags, key, hub_rows)
 
 
 def catalog_availability(items: DataFrame, identifiers: DataFrame, refs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -100,8 +107,7 @@ def catalog_availability(items: DataFrame, identifiers: DataFrame, refs: DataFra
     own = identifiers.select("media_item_id", "provider", "external_id").join(kinds, "media_item_id")
     own = own.unionByName(kinds.select("media_item_id", F.lit("").alias("provider"), F.col("media_item_id").cast("string").alias("external_id"), "kind"))
     key = ["kind", "provider", "external_id"]
-    by_key = own.join(availability(refs, sources), "media_item_id").groupBy(*key).agg(F.bool_or("on_plex").alias("on_plex"), F.bool_or("on_jellyfin").alias("on_jellyfin"))
-    return own.join(by_key, key).groupBy("media_item_id").agg(F.bool_or("on_plex").alias("on_plex"), F.bool_or("on_jellyfin").alias("on_jellyfin"))
+    return _through_keys(own, availability(refs, sources), key, HUB_ROWS)
 
 
 def canonical_identifier(identifiers: DataFrame) -> DataFrame:

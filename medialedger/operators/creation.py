@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from medialedger import functions as fn
+from medialedger.hubs import join_by_key
 from medialedger.identity.components import connected_components
 from medialedger.operators import containers, ingest
 from medialedger.sources import history_export
@@ -150,7 +151,8 @@ def _settle(claims: DataFrame, kind: str, held: DataFrame, identifiers: DataFram
     done = cut(done.withColumn("media_item_id", F.when(F.size("ids") > 0, F.col("media_item_id")).otherwise(F.col("_held"))).drop("_held"))
     new = cut(numbered(done.where("media_item_id IS NULL AND ambiguous IS NULL").drop("media_item_id", "ambiguous"), ["key"], 0, "claim"))
     each = new.select("claim", F.explode("ids").alias("i")).select("claim", "i.provider", "i.external_id")
-    star = each.join(each.groupBy("provider", "external_id").agg(F.min("claim").alias("first")), ["provider", "external_id"])
+    key = ["provider", "external_id"]
+    star = join_by_key(each, each.groupBy(*key).agg(F.min("claim").alias("first"), F.count("*").alias("n")), key, "claim")
     roots = connected_components(star, "claim", "first", cut, drop)
     new = cut(new.join(roots.select(F.col("node").alias("claim"), "root"), "claim", "left").withColumn("root", F.coalesce("root", "claim")))
     rest = [c for c in new.columns if c not in ("key", "ids", "claim", "root")]
