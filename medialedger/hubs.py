@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,9 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, key: list[str], spread: str
     row of such a key is sent to each salt. All others are joined by the key alone. Rows with a null in the key join nothing,
     and a key counts only where ``per_key`` has it, as in a plain inner join.
     """
+    # The same filter everywhere, so that the rows by key are gathered once and read by all that follows.
+    known = reduce(and_, (F.col(c).isNotNull() for c in key))
+    rows, per_key = rows.where(known), per_key.where(known)
     largest = per_key.orderBy(F.desc("n"), *key).limit(HUBS).where(F.col("n") > hub_rows).select(*key, F.lit(True).alias("_hub"))
     salt = F.when(F.col("_hub"), F.pmod(F.xxhash64(F.lit("hub"), spread), F.lit(SALTS)).cast("int")).otherwise(0).alias("_salt")
     salted = rows.join(F.broadcast(largest), key, "left").select(*rows.columns, salt)
