@@ -7,14 +7,16 @@ of the whole item against the words around its hits. The steps, all of them Spar
 1. Items and texts are told apart by a hash of their words or bytes, so copies of either cost one row each.
 2. The hashes of all pieces fill a bit table of bounded size. One pass over the documents sends, for each text and hash
    that the table lets pass, the places where it starts; the join with the pieces is exact.
-3. Items whose budget is 0 are one piece: such a hit is the match. For the others, the texts with candidates are read
+3. Where a piece of many items starts in many texts, as a preamble that items share does, its items are cut finer and go by
+   the k + 1 of these pieces that are rarest in corpus and benchmark: any k + 1 disjoint pieces do, so nothing is lost.
+4. Items whose budget is 0 are one piece: such a hit is the match. For the others, the texts with candidates are read
    again and cut to the words around the hits, which meet the item's words for verification.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,14 @@ _ITEMS = "item_id bigint, item bigint, item_words int, budget int, words binary"
 _PIECES = "item bigint, piece bigint, length int, at int"
 _HITS = "k1 bigint, k2 bigint, piece bigint, places array<int>"
 _FOUND = "k1 bigint, k2 bigint, item bigint, distance int, start_word bigint, end_word bigint"
+_MET = ("k1", "k2", "item", "places", "at")
+_COUNTED = "piece bigint, n bigint"
 _AROUND = "k1 bigint, k2 bigint, item bigint, begin bigint, around binary"
 #: The candidates of one text are held in this many parts, each by one task.
 _PARTS = 16
+#: A piece that gives more (text, item) pairs than this has its items cut into 2 and 4 times as many pieces.
+_CROWDED = 50_000
+_FINER = (1, 2, 4)
 
 
 def search(pattern: list[int], text: list[int], anchored: bool = False) -> list[int]:
@@ -101,16 +108,18 @@ def items(benchmark: DataFrame, percent: int) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(read, _ITEMS)
 
 
-def pieces(distinct: DataFrame) -> DataFrame:
-    """item, piece (hash), length, at (place in the item) of the budget + 1 pieces of every item."""
+def pieces(distinct: DataFrame, times: int = 1) -> DataFrame:
+    """item, piece (hash), length, at (place in the item) of the budget + 1 pieces of every item, or ``times`` as many as far as
+    its words go."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"item": [], "piece": [], "length": [], "at": []}
             for item, k, blob in zip(*(batch.column(c).to_pylist() for c in ("item", "budget", "words")), strict=True):
                 hashes = np.frombuffer(blob, dtype=np.uint64)
-                cuts = np.arange(k + 2) * len(hashes) // (k + 1)
-                out["item"] += [item] * (k + 1)
+                n = min(len(hashes), (k + 1) * times)
+                cuts = np.arange(n + 1) * len(hashes) // n
+                out["item"] += [item] * n
                 out["piece"] += _sized(spans_hash(hashes, cuts[:-1], cuts[1:], "gram"), np.diff(cuts)).tolist()
                 out["length"] += np.diff(cuts).tolist()
                 out["at"] += cuts[:-1].tolist()
@@ -148,6 +157,47 @@ def hits(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
     return docs.select(text.alias("text"), *text_keys(text)).mapInArrow(find, _HITS).dropDuplicates(["k1", "k2", "piece"])
 
 
+def frequencies(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
+    """piece, n: in how many rows of ``docs`` a run of words starts that the bit table lets pass."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            words = scan_words(part.column("text"), fold=True)
+            for length in lengths:
+                at, hashed = windows(words, length)
+                hashed = _sized(hashed, length)
+                hit = np.flatnonzero(has_member(bits, hashed))
+                pairs = np.unique(np.stack([words.row[at[hit]].astype(np.int64), hashed[hit]]), axis=1)
+                piece, n = np.unique(pairs[1], return_counts=True)
+                yield _rows({"piece": piece, "n": n}, _COUNTED)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(count, _COUNTED).groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def rarest_pieces(docs: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The columns of ``pieces`` for the budget + 1 pieces that each item goes by: of its cuts into more or fewer pieces, the one
+    whose rarest pieces give the fewest pairs of text and item."""
+    cuts = [pieces(crowded, t).withColumn("times", F.lit(t)) for t in _FINER]
+    every = materialize(reduce(DataFrame.unionByName, cuts), "benchmark-finer")
+    lengths = sorted(r["length"] for r in every.select("length").distinct().collect())
+    found = frequencies(docs, _bits_of(every), lengths)
+    # Pairs: texts that hold the piece, times the places in items that are this piece in the same cut.
+    shared = every.groupBy("piece", "times").agg(F.count("*").alias("items"))
+    priced = every.join(small(shared), ["piece", "times"]).join(found, "piece", "left").select("item", "times", (F.coalesce("n", F.lit(0)) * F.col("items")).alias("pairs"), "at", "piece", "length")
+    cut = priced.groupBy("item", "times").agg(F.array_sort(F.collect_list(F.struct("pairs", "at", "piece", "length"))).alias("all"))
+    cut = cut.join(crowded.select("item", "budget"), "item").select("item", "times", F.slice("all", F.lit(1), F.col("budget") + 1).alias("taken"))
+    total = F.aggregate("taken", F.lit(0).cast("bigint"), lambda a, x: a + x["pairs"])
+    best = cut.groupBy("item").agg(F.min(F.struct(total.alias("total"), "times", "taken")).alias("b"))
+    out = materialize(best.select("item", F.explode("b.taken").alias("p")).select("item", "p.piece", "p.length", "p.at"), "benchmark-rarest")
+    discard(every)
+    return out
+
+
+def _bits_of(parts: DataFrame) -> np.ndarray:
+    """A bit table of the pieces: 64 bits for each, between 1 KB and 8 MB."""
+    return member_bits(parts, F.col("piece"), min(26, max(13, int(64 * parts.count()).bit_length())))
+
+
 def verify(around: DataFrame, distinct: DataFrame) -> DataFrame:
     """The closest match of every item within its budget in every text, from the words around the hits."""
 
@@ -203,15 +253,27 @@ def around_hits(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return texts.dropDuplicates(["k1", "k2"]).join(grouped, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(cut, _AROUND)
 
 
-def text_matches(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def text_matches(docs: DataFrame, distinct: DataFrame, crowded: int = _CROWDED) -> DataFrame:
     """k1, k2, item, distance, start_word, end_word: the closest occurrence of each item in each text that has one."""
     parts = materialize(pieces(distinct), "benchmark-pieces")
     lengths = [r["length"] for r in parts.select("length").distinct().collect()]  # about 100 / percent of them at most
-    # 64 bits for each piece, between 1 KB and 8 MB.
-    size = min(26, max(13, int(64 * parts.count()).bit_length()))
-    bits = member_bits(parts, F.col("piece"), size)
-    met = hits(docs, bits, sorted(lengths)).join(small(parts), "piece").join(small(distinct.select("item", "item_words", "budget")), "item")
-    met = materialize(met.select("k1", "k2", "item", "item_words", "budget", F.transform("places", lambda p: p - F.col("at")).alias("starts")), "benchmark-hits")
+    held = materialize(hits(docs, _bits_of(parts), sorted(lengths)), "benchmark-hits")
+    pairs = parts.groupBy("piece").agg(F.count("*").alias("items")).join(held.groupBy("piece").agg(F.count("*").alias("texts")), "piece")
+    hot = pairs.where(F.col("items") * F.col("texts") > crowded).select("piece")
+    hot = materialize(parts.join(hot, "piece", "left_semi").select("item").distinct(), "benchmark-crowded")
+    spent = [parts, held, hot]
+    if not hot.isEmpty():
+        again = distinct.where("budget > 0").join(hot, "item", "left_semi")
+        rare = rarest_pieces(docs, again)
+        lengths = sorted(r["length"] for r in rare.select("length").distinct().collect())
+        more = materialize(hits(docs, _bits_of(rare), lengths), "benchmark-rare-hits")
+        rest = parts.join(again.select("item"), "item", "left_anti")
+        met = held.join(small(rest), "piece").select(*_MET).unionByName(more.join(small(rare), "piece").select(*_MET))
+        spent += [rare, more]
+    else:
+        met = held.join(small(parts), "piece").select(*_MET)
+    met = met.join(small(distinct.select("item", "item_words", "budget")), "item")
+    met = materialize(met.select("k1", "k2", "item", "item_words", "budget", F.transform("places", lambda p: p - F.col("at")).alias("starts")), "benchmark-met")
     first = F.array_min("starts").cast("bigint")
     whole = met.where("budget = 0").groupBy("k1", "k2", "item").agg(F.min(first).alias("start_word"), F.max("item_words").alias("n"))
     whole = whole.select("k1", "k2", "item", F.lit(0).alias("distance"), "start_word", (F.col("start_word") + F.col("n")).alias("end_word"))
@@ -220,7 +282,7 @@ def text_matches(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     found = verify(around_hits(docs, candidates), distinct)
     best = found.groupBy("k1", "k2", "item").agg(F.min(F.struct("distance", "start_word", "end_word")).alias("m")).select("k1", "k2", "item", "m.*")
     out = materialize(whole.unionByName(best), "benchmark-matches")
-    discard(parts, met, candidates)
+    discard(*spent, met, candidates)
     return out
 
 
@@ -228,17 +290,17 @@ def _distinct(named: DataFrame) -> DataFrame:
     return materialize(named.drop("item_id").dropDuplicates(["item"]), "benchmark-items")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 15) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 15, crowded: int = _CROWDED) -> DataFrame:
     """Every (document, item) such that the item occurs in the document with at most ``percent`` % of its words edited.
 
     Words are runs of characters other than space and U+0009 to U+000D, A-Z as a-z; an edit inserts, drops or changes a
     word. Returns doc_id, item_id, item_words, distance, start_word, end_word of the closest occurrence (the first one of
     equal ones) in each row. Null and empty texts match nothing and items without words are in nothing; null ids stay
     null; repeated rows and items give repeated results; extra columns are ignored. ``docs`` is read three times, whatever
-    the size of the benchmark.
+    the size of the benchmark, and twice more where a piece meets over ``crowded`` pairs of text and item.
     """
     named = items(benchmark, percent)
-    found = text_matches(docs, _distinct(named))
+    found = text_matches(docs, _distinct(named), crowded)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint"), *text_keys(text))
     return (

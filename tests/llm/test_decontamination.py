@@ -59,6 +59,8 @@ def test_equals_brute_force(spark):
     for r in rows:
         part = lower(texts[r["doc_id"]])[r["start_word"] : r["end_word"]]
         assert distance(lower(items[r["item_id"]]), part) == r["distance"]
+    crowded = dc.matches(docs, bench, 15, crowded=0).collect()
+    assert sorted(map(repr, crowded)) == sorted(map(repr, rows))
     dirty = {i for i, _ in want}
     kept = dc.clean(docs, bench, 15)
     assert kept.columns == docs.columns
@@ -93,3 +95,30 @@ def test_repeated_rows_and_long_texts(spark):
         at.setdefault(" ".join(w[i : i + 3]), i)
     assert found == {(d, 10 + i): at[t] for d in (4, 5) for i, t in enumerate(short) if t in at}
     assert dc.clean(docs, bench).count() == 0
+
+
+def test_a_preamble_that_items_share(spark):
+    """Texts that hold the preamble only meet no item; every item is found with its edits, in the preamble or after it."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    preamble = [word() for _ in range(20)]
+    items = [preamble + [word() for _ in range(15)] for _ in range(120)]
+    texts, want = [], set()
+    for i in range(600):
+        w = [word() for _ in range(10)] + preamble + [word() for _ in range(20)]
+        if i % 20 == 0:
+            item = items[i // 5].copy()
+            for at in rng.sample(range(len(item)), 5):  # the whole budget
+                item[at] = "edited"
+            w, want = w[:10] + item + w[30:], want | {(i, i // 5)}
+        texts.append(" ".join(w))
+    docs = documents(spark, texts)
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id bigint, text string")
+    found = dc.matches(docs, bench, 15, crowded=1000)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+    distinct = dc._distinct(dc.items(bench, 15))
+    rare = dc.rarest_pieces(docs, distinct)
+    assert {r["count"] for r in rare.groupBy("item").count().collect()} == {6}
+    # The pieces lie behind the preamble, so the candidates are the items that are there, not all with all.
+    assert rare.where("at < 20").count() == 0
+    assert dc.hits(docs, dc._bits_of(rare), [r["length"] for r in rare.select("length").distinct().collect()]).join(rare, "piece").select("k1", "item").distinct().count() == len(want)
