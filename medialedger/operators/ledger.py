@@ -190,17 +190,21 @@ def classify(batch: DataFrame, refs: DataFrame, fields: list[str], resolved: Dat
 
     An item with a stored reference is unchanged if that has the same hash, else updated. Without one it is updated where
     ``resolved`` (of M02: source_id, external_id, match_status, media_item_id) matched it with a stored item, else inserted.
+    Each row of the batch gives one row, also where a reference is stored several times: it is unchanged if one of these has its hash.
     """
     signature = fn.signature({c: F.col(c) for c in fields})
     key = ["source_id", "external_id"]
-    old = refs.select(*key, F.col("raw_hash").alias("_old"), F.lit(True).alias("_held"))
+    # A window and not an aggregate: it gathers what one sort by key, which the join needs as well, has put together.
+    by_key = W.partitionBy(*key).orderBy("raw_hash")
+    whole = by_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    old = refs.select(*key, F.collect_set("raw_hash").over(whole).alias("_old"), F.row_number().over(by_key).alias("_held")).where("_held = 1")
     rows = batch.withColumn("raw_hash", signature).join(old, key, "left")
     matched = F.lit(None).cast("boolean")
     if resolved is not None:
-        rows = rows.join(resolved.where("match_status = 'matched'").select(*key, F.lit(True).alias("_matched")), key, "left")
+        rows = rows.join(resolved.where("match_status = 'matched'").select(*key, F.lit(True).alias("_matched")).distinct(), key, "left")
         matched = F.col("_matched")
     new = F.when(matched, "updated").otherwise("inserted")
-    kind = F.when(F.col("_held").isNull(), new).when(F.col("_old").eqNullSafe(F.col("raw_hash")), "unchanged").otherwise("updated")
+    kind = F.when(F.col("_held").isNull(), new).when(F.array_contains("_old", F.col("raw_hash")), "unchanged").otherwise("updated")
     return rows.withColumn("classification", kind).drop("_old", "_held", "_matched")
 
 

@@ -119,8 +119,12 @@ def _(t: Tables) -> DataFrame:
 
 
 def classified(t: Tables) -> DataFrame:
-    """Items as a batch against stored references whose hashes are of other titles for some, and missing for others."""
-    batch = t.refs.join(t.items.select(F.col("id").alias("media_item_id"), "kind", "title"), "media_item_id")
+    """Items as a batch against stored references whose hashes are of other titles for some, and missing for others.
+
+    Ids of large tables can be those of several items; each reference then still is one row of the batch.
+    """
+    named = t.items.groupBy(F.col("id").alias("media_item_id")).agg(F.min(F.struct("kind", "title")).alias("i")).select("media_item_id", "i.*")
+    batch = t.refs.join(named, "media_item_id")
     before = batch.withColumn("title", F.when(F.col("media_item_id") % 7 == 0, F.concat("title", F.lit("*"))).otherwise(F.col("title")))
     stored = ledger.classify(before, before.select("source_id", "external_id").withColumn("raw_hash", F.lit("")), ["kind", "title"]).where("media_item_id % 11 <> 0")
     return ledger.classify(batch, stored, ["kind", "title"])
