@@ -45,15 +45,16 @@ def bind_hierarchy(refs: DataFrame, matched: DataFrame, items: DataFrame, observ
     ``matched`` has source_id, external_id, library_id, media_item_id, season_number, show_external_id, show_title and
     season_external_id (null: made from the show's). The show and season above the stored episode get the source's references, new
     or refreshed. An episode that lies in no season of that number of a show, or whose container's reference names another item, is
-    an error and changes nothing.
+    an error and changes nothing. Each level is looked up among the items of its kind, so that others of the same id give no rows.
     """
-    up = lambda n: items.select(F.col("id").alias(f"{n}_id"), F.col("kind").alias(f"{n}_kind"), F.col("parent_id").alias(f"{n}_up"), F.col("season_number").alias(f"{n}_number"))
+    up = lambda n, kind: items.where(F.col("kind") == kind).select(F.col("id").alias(f"{n}_id"), F.col("parent_id").alias(f"{n}_up"), F.col("season_number").alias(f"{n}_number"))
     ref = lambda n: refs.select("source_id", F.col("external_id").alias(f"{n}_ext"), F.col("media_item_id").alias(f"{n}_ref"))
     season = F.coalesce("season_external_id", F.concat_ws(":", "show_external_id", F.lit("season"), F.col("season_number").cast("string")))
     rows = matched.withColumn("s_ext", season).withColumn("h_ext", F.col("show_external_id"))
-    rows = rows.join(up("e"), F.col("media_item_id") == F.col("e_id"), "left").join(up("s"), F.col("e_up") == F.col("s_id"), "left").join(up("h"), F.col("s_up") == F.col("h_id"), "left")
+    rows = rows.join(up("e", "episode"), F.col("media_item_id") == F.col("e_id"), "left").join(up("s", "season"), F.col("e_up") == F.col("s_id"), "left")
+    rows = rows.join(up("h", "show"), F.col("s_up") == F.col("h_id"), "left")
     rows = rows.join(ref("s"), ["source_id", "s_ext"], "left").join(ref("h"), ["source_id", "h_ext"], "left")
-    fits = (F.col("e_kind") == "episode") & (F.col("s_kind") == "season") & (F.col("h_kind") == "show") & F.col("s_number").eqNullSafe(F.col("season_number"))
+    fits = F.col("h_id").isNotNull() & F.col("s_number").eqNullSafe(F.col("season_number"))
     clash = F.coalesce(F.col("s_ref") != F.col("s_id"), F.lit(False)) | F.coalesce(F.col("h_ref") != F.col("h_id"), F.lit(False))
     message = F.when(~F.coalesce(fits, F.lit(False)), "incompatible hierarchy").when(clash, "conflicting container")
     rows = rows.withColumn("message", message)
