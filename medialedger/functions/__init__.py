@@ -15,9 +15,18 @@ from pyspark.sql.types import StringType
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+
+
+def _bare(c: Column) -> Column:
+    """Whether both ends are printable ASCII, so that there is nothing to strip; most texts are, and need no pattern."""
+    return F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.when(_bare(c), c).otherwise(_stripped(c))
 
 
 def single_spaced(c: Column) -> Column:
@@ -27,7 +36,7 @@ def single_spaced(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Stripped, with empty as null."""
-    return F.nullif(strip(c), F.lit(""))
+    return F.when(_bare(c), c).otherwise(F.nullif(_stripped(c), F.lit("")))
 
 
 def fold(c: Column) -> Column:

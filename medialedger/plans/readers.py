@@ -18,8 +18,17 @@ from medialedger.sources import history_export, payloads
 from medialedger.streaming import event_store, notifications
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over as many tasks as a shuffle has, whatever the size of their files."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def first_payload(t: Tables, rows: DataFrame, **fields: Column) -> DataFrame:
-    """One JSON container with one item for each row; nulls are left out of it."""
+    """One JSON container with one item for each row; nulls are left out of it.
+
+    Rows are dealt over tasks first: a payload is much more work than its row, and a small file is read by few tasks.
+    """
+    rows = spread(rows, "id")
     item = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
     text = F.concat(F.lit('{"MediaContainer": {"Metadata": ['), item, F.lit("]}}"))
     return payloads.container_items(rows.select("id", F.lit("l1").alias("library_external_id"), text.alias("value")))

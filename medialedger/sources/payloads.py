@@ -49,11 +49,12 @@ def container_items(payloads: DataFrame) -> DataFrame:
     with declarations, give one row with a null item and a ``reason``."""
     rest = [c for c in payloads.columns if c != "value"]
     is_json = F.col("value").rlike(r"^\s*[{\[]")
-    declared = ~is_json & F.upper("value").rlike("<!(DOCTYPE|ENTITY)")
+    declared = F.when(is_json, False).otherwise(F.col("value").rlike("(?iu)<!(DOCTYPE|ENTITY)"))
     doc = F.from_json("value", _JSON, {"columnNameOfCorruptRecord": "_broken"})
-    single = F.from_json("value", _SINGLE, {"columnNameOfCorruptRecord": "_broken"})
+    single = F.from_json("value", _SINGLE, {"columnNameOfCorruptRecord": "_broken"})  # only of what can't be read as lists
     xml = F.from_xml(F.when(~is_json & ~declared, F.col("value")), _XML, {"attributePrefix": "", "rowTag": "MediaContainer", "mode": "PERMISSIVE"})
-    rows = payloads.select(*rest, is_json.alias("is_json"), declared.alias("declared"), F.when(is_json, doc).alias("j"), F.when(is_json, single).alias("s"), xml.alias("x"), "value")
+    rows = payloads.select(*rest, is_json.alias("is_json"), declared.alias("declared"), F.when(is_json, doc).alias("j"), xml.alias("x"), "value")
+    rows = rows.withColumn("s", F.when(F.col("j._broken").isNotNull(), single))
     tagged = lambda tag, items: F.transform(items, lambda i: F.struct(F.lit(tag).alias("tag"), i.alias("item")))
     none = F.array().cast(f"ARRAY<STRUCT<tag: STRING, item: {_ITEM}>>")
     places = ("MediaContainer.Metadata", "MediaContainer.Directory", "Metadata", "Directory")
