@@ -128,7 +128,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def told(t: Tables, value: Column) -> DataFrame:
-    return t.playback.select("source_id", value.alias("value"), F.col("occurred_at").cast("timestamp").alias("arrived_at"))
+    return spread(t.playback, "event_id").select("source_id", value.alias("value"), F.col("occurred_at").cast("timestamp").alias("arrived_at"))
 
 
 @register("s18_f15_f16_p23_second_notifications", """SELECT CAST(event_id AS VARCHAR) AS event_key, external_id, event_type IN ('media.play', 'media.resume') AS active, progress_percent,
