@@ -43,17 +43,30 @@ def plays(raw: DataFrame) -> DataFrame:
 def match(plays: DataFrame, identifiers: DataFrame, preferred: DataFrame) -> DataFrame:
     """For each play the item that shares most of its ids; ties go to the one preferred item (media_item_id), else ambiguous.
 
-    Returns id, media_item_id (null if nothing or no single item matches), ambiguous.
+    Returns id, media_item_id (null if nothing or no single item matches), ambiguous. An item that shares two ids or more with a play
+    shares one besides the id that most items have, so plays meet items by the others only; where no item shares two, what each id's
+    items come to (how many, the smallest) is the answer. An id that very many items have thus costs their number and not their
+    pairs with plays. Plays with the same known ids are looked up once.
     """
-    wanted = plays.where("reason IS NULL").select("id", F.explode("ids").alias("i")).select("id", "i.provider", "i.external_id")
-    scored = wanted.join(identifiers, ["provider", "external_id"]).groupBy("id", "media_item_id").agg(F.count("*").alias("score"))
-    marked = scored.join(preferred.select("media_item_id").distinct().withColumn("p", F.lit(True)), "media_item_id", "left")
-    top = marked.groupBy("id").agg(F.max("score").alias("score"))
-    best = marked.join(top, ["id", "score"]).groupBy("id").agg(
-        F.count("*").alias("n"), F.min("media_item_id").alias("only"), F.count_if("p").alias("n_p"), F.min(F.when(F.col("p"), F.col("media_item_id"))).alias("only_p")
-    )
-    chosen = F.when(F.col("n") == 1, F.col("only")).when(F.col("n_p") == 1, F.col("only_p"))
-    return best.select("id", chosen.alias("media_item_id"), chosen.isNull().alias("ambiguous"))
+    one = F.struct("provider", "external_id").alias("i")
+    marks = preferred.select("media_item_id").distinct().withColumn("p", F.lit(True))
+    named = identifiers.where("provider IS NOT NULL AND external_id IS NOT NULL").select("media_item_id", one).distinct()
+    summed = (F.count("*").alias("n"), F.min("media_item_id").alias("only"), F.count_if("p").alias("n_p"), F.min(F.when(F.col("p"), F.col("media_item_id"))).alias("only_p"))
+    per_id = named.join(marks, "media_item_id", "left").groupBy("i").agg(*summed)
+    wanted = plays.where("reason IS NULL").select("id", F.explode("ids").alias("i")).select("id", F.struct("i.provider", "i.external_id").alias("i")).distinct()
+    known = wanted.join(per_id, "i").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "i", "only", "n_p", "only_p"))).alias("ids"))  # the rarest first
+    several = known.where(F.size("ids") > 1).select("ids").distinct().select(F.col("ids.i").alias("all"))
+    met = several.select("all", F.explode(F.slice("all", 1, F.size("all") - 1)).alias("i")).join(named, "i").select("all", "media_item_id").distinct()
+    own = named.groupBy("media_item_id").agg(F.collect_list("i").alias("own"))
+    scored = met.join(own, "media_item_id").select("all", "media_item_id", F.size(F.array_intersect("all", "own")).alias("score")).where("score > 1")
+    ties = scored.join(marks, "media_item_id", "left").groupBy("all", "score").agg(*summed)
+    best = ties.groupBy("all").agg(F.max_by(F.struct("n", "only", "n_p", "only_p"), "score").alias("b"))
+    total = lambda c: F.aggregate("ids", F.lit(0).cast("bigint"), lambda acc, x: acc + x[c])
+    least = lambda c: F.array_min(F.transform("ids", lambda x: x[c]))
+    alone = F.struct(total("n").alias("n"), least("only").alias("only"), total("n_p").alias("n_p"), least("only_p").alias("only_p"))
+    rows = known.withColumn("all", F.col("ids.i")).join(best, "all", "left").select("id", F.coalesce("b", alone).alias("b"))
+    chosen = F.when(F.col("b.n") == 1, F.col("b.only")).when(F.col("b.n_p") == 1, F.col("b.only_p"))
+    return rows.select("id", chosen.alias("media_item_id"), chosen.isNull().alias("ambiguous"))
 
 
 def match_in_rounds(plays: DataFrame, identifiers: DataFrame, preferred: DataFrame, show_of: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
