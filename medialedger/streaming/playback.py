@@ -72,19 +72,23 @@ def sessions(rows: DataFrame) -> DataFrame:
     """W03 in batch: the closed plays of a table of notifications, and those still open (``closed_by`` open, ended_at null).
 
     The same as ``NowPlaying`` step by step, in windows: a run is a stretch of plays and resumes of one item that nothing else ends;
-    plays over an hour after the start of theirs begin anew within it, and what ends a run closes the last of them. Windows sort a
-    user's notifications with spilling; only the times of one run are held together.
+    plays over an hour after the start of theirs begin anew within it, and what ends a run closes the last of them. All windows over
+    notifications go by one order of a user's, so these are sorted once, with spilling, and without the columns that no step reads;
+    only the times of one run are held together.
     """
-    timed = completed(rows).withColumn("t", F.unix_micros(F.col("occurred_at").cast("timestamp")))
     user = ["source_id", "playback_user"]
+    at = F.unix_micros(F.col("occurred_at").cast("timestamp"))
+    timed = completed(rows).select(*user, "external_id", "event_id", "progress_percent", "completed", "event_type", at.alias("t"))
     order = W.partitionBy(*user).orderBy("t", "event_id")
     numbered = timed.withColumn("n", F.row_number().over(order)).withColumn("plays", F.col("event_type").isin(*ACTIVE))
-    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    last_play = F.last(F.when(F.col("plays"), F.struct("n", "external_id")), ignorenulls=True).over(before(W.partitionBy(*user).orderBy("n")))
-    last_end = F.last(F.when(~F.col("plays"), F.col("n")), ignorenulls=True).over(before(W.partitionBy(*user, "external_id").orderBy("n")))
-    seen = numbered.withColumn("last_play", last_play).withColumn("last_end", last_end)
-    holds = F.coalesce((F.col("last_play.external_id") == F.col("external_id")) & (F.coalesce("last_end", F.lit(0)) < F.col("last_play.n")), F.lit(False))
-    seen = seen.withColumn("holds", holds).withColumn("run", F.sum((F.col("plays") & ~F.col("holds")).cast("int")).over(W.partitionBy(*user).orderBy("n")))
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    seen = numbered.withColumn("last_play", F.last(F.when(F.col("plays"), F.struct("n", "external_id")), ignorenulls=True).over(before))
+    # What ends the item of the last play: its latest one tells whether that play is still on.
+    same = F.coalesce(F.col("last_play.external_id") == F.col("external_id"), F.lit(False))
+    last_end = F.last(F.when(~F.col("plays") & same, F.col("n")), ignorenulls=True).over(before)
+    seen = seen.withColumn("holds", same & (F.coalesce(last_end, F.lit(0)) < F.col("last_play.n"))).drop("last_play")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = seen.withColumn("run", F.sum((F.col("plays") & ~F.col("holds")).cast("int")).over(so_far)).drop("event_id")
     end = F.struct("t", "progress_percent", "completed", "event_type")
     runs = seen.groupBy(*user, "run").agg(
         F.array_sort(F.collect_list(F.when(F.col("plays"), F.struct("n", "t", F.col("progress_percent").alias("p"))))).alias("plays"),
