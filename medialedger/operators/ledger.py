@@ -16,8 +16,8 @@ EVENT = ("media_item_id", "source_id", "source_event_id", "dedup_key", "watched_
 STATE = ("media_item_id", "source_id", "view_count", "last_watched_at", "completed", "progress_ms", "observed_at")
 
 
-def without_near_duplicates(events: DataFrame, gap_seconds: int = GAP_SECONDS, slice_seconds: int = 86_400) -> DataFrame:
-    """Completed events of which none lies within the gap (inclusive) of an earlier kept one of its item.
+def without_near_duplicates(events: DataFrame, gap_seconds: int = GAP_SECONDS, slice_seconds: int = 86_400, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Completed events of which none lies within the gap (inclusive) of an earlier kept one of its item, with further ``columns``.
 
     Order is (watched_at, source_id, id). An item's time is cut into slices, which are folded by themselves, so a busy item is
     spread over its slices; of plays at one time only the first is carried along. Where the first play of a slice lies within the
@@ -27,8 +27,8 @@ def without_near_duplicates(events: DataFrame, gap_seconds: int = GAP_SECONDS, s
     gap, width = gap_seconds * 1_000_000, slice_seconds * 1_000_000
     key = ["media_item_id", "slice"]
     micros = F.unix_micros(F.col("watched_at").cast("timestamp"))
-    rows = events.where("completed").select("id", "media_item_id", "source_id", "watched_at", micros.alias("t"))
-    first = rows.groupBy("media_item_id", "t").agg(F.min(F.struct("source_id", "id", "watched_at")).alias("e")).withColumn("slice", F.floor(F.col("t") / width))
+    rows = events.where("completed").select("id", "media_item_id", "source_id", "watched_at", *columns, micros.alias("t"))
+    first = rows.groupBy("media_item_id", "t").agg(F.min(F.struct("source_id", "id", "watched_at", *columns)).alias("e")).withColumn("slice", F.floor(F.col("t") / width))
     held = first.groupBy(*key).agg(F.sort_array(F.collect_list("t")).alias("ts"))
 
     def folded(last: Column) -> Column:
@@ -52,7 +52,7 @@ def without_near_duplicates(events: DataFrame, gap_seconds: int = GAP_SECONDS, s
         tables.discard(before)
     kept = slices.select("media_item_id", F.explode(folded(F.col("carried"))["kept"]).alias("t"))
     out = first.join(kept, ["media_item_id", "t"])
-    return out.select(F.col("e.id").alias("id"), "media_item_id", F.col("e.source_id").alias("source_id"), F.col("e.watched_at").alias("watched_at"))
+    return out.select(F.col("e.id").alias("id"), "media_item_id", *[F.col(f"e.{c}").alias(c) for c in ("source_id", "watched_at", *columns)])
 
 
 class Persisted(NamedTuple):
@@ -89,26 +89,30 @@ def merge_events(stored: DataFrame, batch: DataFrame, refs: DataFrame, gap_secon
     events are dropped, unknown media are errors. An event stored under the same source_event_id takes the new values (another
     item is an error; within a batch the first row names the item and the last one gives the values). Then repeats of a
     dedup_key are dropped, and events within the gap of a stored one of their item; what is left is folded by itself. Further
-    columns of ``stored`` stay with their rows.
+    columns of ``stored`` stay with their rows. Each step that later ones read more than once is written, so none is done again.
     """
     extra = [c for c in stored.columns if c not in EVENT and c != "id"]
     known = refs.select("source_id", F.col("external_id").alias("media_external_id"), "media_item_id")
     parts = [F.col(c) for c in ("source_id", "source_event_id", "media_external_id", "watched_at", "completed", "progress_ms", "duration_ms", "view_number")]
-    rows = batch.where("completed").join(known, ["source_id", "media_external_id"], "left").withColumn("dedup_key", fn.event_key(*parts))
-    unknown = rows.where("media_item_id IS NULL").withColumn("message", F.lit("unknown media"))
-    rows = rows.where("media_item_id IS NOT NULL")
-    identity = ["source_id", "source_event_id"]
-    first = rows.where("source_event_id IS NOT NULL").groupBy(*identity).agg(F.min_by("media_item_id", "seq").alias("_first"))
+    every = batch.where("completed").join(known, ["media_external_id", "source_id"], "left")
+    every = tables.written(every.withColumn("dedup_key", F.when(F.col("media_item_id").isNotNull(), fn.event_key(*parts))))
+    unknown = every.where("media_item_id IS NULL").withColumn("message", F.lit("unknown media"))
+    rows = every.where("media_item_id IS NOT NULL").select("seq", *EVENT, "media_external_id")
+    # Sorts compare the first column first: one of two sources tells next to nothing.
+    identity, play = ["source_event_id", "source_id"], ["dedup_key", "source_id"]
+    named = rows.where("source_event_id IS NOT NULL").withColumn("_first", F.first("media_item_id").over(W.partitionBy(*identity).orderBy("seq")))
     held = stored.where("source_event_id IS NOT NULL").select(*identity, F.col("media_item_id").alias("_held"), *extra)
-    named = rows.join(first, identity).join(held, identity, "left")
+    named = named.join(held, identity, "left")
     same = F.col("media_item_id") == F.coalesce("_held", "_first")
     changed = named.where(~same).withColumn("message", F.lit("identity changed its media"))
     pick = F.struct("seq", *EVENT)
     last = named.where(same).groupBy(*identity).agg(F.max_by(pick, "seq").alias("e"), *[F.max(c).alias(c) for c in ("_held", *extra)]).select("e.*", "_held", *extra)
+    last = tables.written(last)
     updates = last.where("_held IS NOT NULL").select(*EVENT, *extra)
     now = stored.select(*EVENT, *extra).join(updates.select(*identity), identity, "left_anti").select(*EVENT, *extra).unionByName(updates)
+    now = tables.written(now)
     new = last.where("_held IS NULL").drop("_held", *extra).unionByName(rows.where("source_event_id IS NULL").select("seq", *EVENT))
-    new = new.groupBy("source_id", "dedup_key").agg(F.min_by(pick, "seq").alias("e")).select("e.*").join(now.select("source_id", "dedup_key"), ["source_id", "dedup_key"], "left_anti")
+    new = new.withColumn("_r", F.row_number().over(W.partitionBy(*play).orderBy("seq"))).where("_r = 1").join(now.select(*play), play, "left_anti")
     # Times within the gap lie in one slice of its length or in neighbours.
     micros, gap = F.unix_micros(F.col("watched_at").cast("timestamp")), gap_seconds * 1_000_000
     piece = F.floor(F.col("t") / gap)
@@ -116,10 +120,11 @@ def merge_events(stored: DataFrame, batch: DataFrame, refs: DataFrame, gap_secon
     new = new.withColumn("t", micros).withColumn("_piece", piece).alias("n")
     near = near.alias("o")
     close = (F.col("n.media_item_id") == F.col("o.media_item_id")) & (F.col("n._piece") == F.col("o._piece")) & (F.abs(F.col("n.t") - F.col("o._t")) <= gap)
-    far = new.join(near, close, "left_anti").select("seq", *EVENT)
-    kept = without_near_duplicates(far.withColumnRenamed("seq", "id"), gap_seconds).select(F.col("id").alias("seq"))
+    far = tables.written(new.join(near, close, "left_anti").select(F.col("seq").alias("id"), *EVENT))
+    rest = tuple(c for c in EVENT if c not in ("media_item_id", "source_id", "watched_at"))
+    kept = without_near_duplicates(far, gap_seconds, columns=rest).select(F.col("id").alias("seq"), *EVENT)
     errors = [e.select("seq", "source_id", "source_event_id", "media_external_id", "message") for e in (unknown, changed)]
-    return Persisted(now, far.join(kept, "seq", "left_semi").select("seq", *EVENT), errors[0].unionByName(errors[1]))
+    return Persisted(now, kept, errors[0].unionByName(errors[1]))
 
 
 def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
