@@ -52,7 +52,7 @@ def title_key(titles: pd.Series) -> pd.Series:
     def key(t: str | None) -> str | None:
         if t is None:
             return None
-        plain = "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch))
+        plain = t if t.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch))
         return " ".join(plain.split()).casefold()
 
     return titles.map(key)

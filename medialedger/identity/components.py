@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFr
         .observe(first, F.count(F.lit(1)).alias("n"))
     )
     seen, n = None, first.get.get("n", 0)
-    while True:
+    while n:
         # Without as many edges as a hub has, no node can be one.
         met = (lambda rows, per_node: join_by_key(rows, per_node, ["u"], "v", hub_rows)) if 2 * n > hub_rows else (lambda rows, per_node: rows.join(per_node, "u"))
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -135,21 +135,28 @@ class Created(NamedTuple):
 
 def _claims(rows: DataFrame, key: Column, ids: Column, title: Column, year: Column, place: list[Column]) -> DataFrame:
     """One row for each key: its ids, and title and year of the first play. ``place`` has what stands above."""
-    named = rows.select("id", key.alias("key"), F.array_sort(F.array_distinct(F.coalesce(ids, F.array().cast("array<struct<provider: string, external_id: string>>")))).alias("ids"), title.alias("title"), year.alias("year"), *place)
+    named = rows.select("id", key.alias("key"), F.sort_array(F.array_distinct(F.coalesce(ids, F.array().cast("array<struct<provider: string, external_id: string>>")))).alias("ids"), title.alias("title"), year.alias("year"), *place)
     return named.groupBy("key").agg(F.first("ids").alias("ids"), *[F.min_by(c, "id").alias(c) for c in named.columns if c not in ("id", "key", "ids")])
 
 
-def _settle(claims: DataFrame, kind: str, held: DataFrame, identifiers: DataFrame, preferred: DataFrame, start: int, cut: Callable, drop: Callable) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, media_item_id or null where ambiguous; new items; new identifiers).
+def _settle(claims: DataFrame, kind: str, held: DataFrame | None, identifiers: DataFrame, preferred: DataFrame, start: int, cut: Callable, drop: Callable) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(key, media_item_id or null where ambiguous; new items; new identifiers), the last two None where nothing is new.
 
     A claim is the stored item of its kind that shares most of its ids (A12); one without ids is the one that ``held`` (key,
-    media_item_id) names. The others are new: those that share ids, over any number of steps, are one item, with all their ids.
+    media_item_id; None if each claim has ids) names. The others are new: those that share ids, over any number of steps, are one
+    item, with all their ids. ``claims`` is read twice and should be a written table.
     """
     own = identifiers.where(F.col("kind") == kind).select("media_item_id", "provider", "external_id")
     score = history_export.match(claims.select(F.col("key").alias("id"), F.lit(None).cast("string").alias("reason"), "ids"), own, preferred)
-    done = claims.join(score.select(F.col("id").alias("key"), "media_item_id", "ambiguous"), "key", "left").join(held.select("key", F.col("media_item_id").alias("_held")), "key", "left")
-    done = cut(done.withColumn("media_item_id", F.when(F.size("ids") > 0, F.col("media_item_id")).otherwise(F.col("_held"))).drop("_held"))
-    new = cut(numbered(done.where("media_item_id IS NULL AND ambiguous IS NULL").drop("media_item_id", "ambiguous"), ["key"], 0, "claim"))
+    done = claims.join(score.select(F.col("id").alias("key"), "media_item_id", "ambiguous"), "key", "left")
+    if held is not None:
+        done = done.join(held.select("key", F.col("media_item_id").alias("_held")), "key", "left")
+        done = done.withColumn("media_item_id", F.when(F.size("ids") > 0, F.col("media_item_id")).otherwise(F.col("_held"))).drop("_held")
+    unmet, counted = F.col("media_item_id").isNull() & F.col("ambiguous").isNull(), Observation()
+    done = cut(done.observe(counted, F.count_if(unmet).alias("n")))
+    if not counted.get.get("n", 0):
+        return done.select("key", "media_item_id"), None, None
+    new = cut(numbered(done.where(unmet).drop("media_item_id", "ambiguous"), ["key"], 0, "claim"))
     each = new.select("claim", F.explode("ids").alias("i")).select("claim", "i.provider", "i.external_id")
     key = ["provider", "external_id"]
     star = join_by_key(each, each.groupBy(*key).agg(F.min("claim").alias("first"), F.count("*").alias("n")), key, "claim")
@@ -175,49 +182,67 @@ def create_history(plays: DataFrame, items: DataFrame, identifiers: DataFrame, p
     ids = identifiers.join(kinds, "media_item_id").select("kind", "media_item_id", "provider", "external_id")
     bare = items.join(identifiers.select(F.col("media_item_id").alias("id")), "id", "left_anti")
     title_of = lambda t, y: F.concat(F.lit("t"), F.to_json(F.struct(t.alias("t"), y.alias("y")), {"ignoreNullFields": "false"}))
-    by_ids = lambda c: F.concat(F.lit("i"), F.to_json(F.array_sort(F.array_distinct(c))))
-    keyed = lambda c, other: F.when(F.size(F.coalesce(c, F.array().cast("array<struct<provider: string, external_id: string>>"))) > 0, by_ids(c)).otherwise(other)
-    rows = written(plays.withColumns({"_title": fn.title_key("title"), "_show": fn.title_key("show_title")}))
-    largest = _after(items)
+    by_ids = lambda c: F.concat(F.lit("i"), F.to_json(F.sort_array(F.array_distinct(c))))
+    without = lambda c: F.size(F.coalesce(c, F.array().cast("array<struct<provider: string, external_id: string>>"))) == 0
+    is_movie, is_episode, no_ids, no_show_ids = F.col("kind") == "movie", F.col("kind") == "episode", without(F.col("ids")), without(F.col("show_ids"))
+    untold = {"movie": is_movie & no_ids, "show": is_episode & no_show_ids, "episode": is_episode & no_ids}
+    by_id = F.when(is_movie & ~no_ids, by_ids(F.col("ids"))).when(is_episode & ~no_show_ids, by_ids(F.col("show_ids")))
+    # A few files may hold all plays, so these are dealt out first.
+    rows, seen = plays.repartition("id").withColumns({"_key": by_id, "_own": F.when(is_episode & ~no_ids, by_ids(F.col("ids"))), "_title": F.lit(None).cast("string")}), Observation()
+    rows = written(rows.observe(seen, *[F.count_if(c).alias(k) for k, c in untold.items()]))
+    if any(seen.get.values()):  # only what has no ids is known by its title
+        lacking = untold["movie"] | untold["show"] | untold["episode"]
+        told = rows.where(lacking).withColumns({"_title": fn.title_key(F.when(no_ids, F.col("title"))), "_show": fn.title_key(F.when(is_episode & no_show_ids, F.col("show_title")))})
+        by_name = F.when(is_movie, title_of(F.col("_title"), F.col("year").cast("int"))).when(is_episode, title_of(F.col("_show"), F.col("show_year").cast("int")))
+        before, rows = rows, written(rows.where(~lacking).unionByName(told.withColumn("_key", F.coalesce("_key", by_name)).drop("_show")))
+        discard(before)
+    used = _after(items)
     made, names = [], []
 
-    def settle(claims: DataFrame, kind: str, held: DataFrame) -> DataFrame:
-        start = largest + sum(m.count() for m in made)
-        assigned, new, given = _settle(claims, kind, held.groupBy("key").agg(F.min("media_item_id").alias("media_item_id")), ids, preferred, start, written, discard)
+    def add(new: DataFrame) -> DataFrame:
+        nonlocal used
         made.append(written(_like(new, items)))
-        names.append(given)
+        used += made[-1].count()
+        return made[-1]
+
+    def settle(claims: DataFrame, kind: str, held: DataFrame) -> DataFrame:
+        claims = written(claims)
+        by_key = held.groupBy("key").agg(F.min("media_item_id").alias("media_item_id")) if seen.get.get(kind, 0) else None
+        assigned, new, given = _settle(claims, kind, by_key, ids, preferred, used, written, discard)
+        if new is not None:
+            add(new)
+            names.append(written(given))
+        discard(claims)
         return assigned
 
     by_title = lambda kind: bare.where(F.col("kind") == kind).select(title_of(fn.title_key("title"), F.col("year").cast("int")).alias("key"), F.col("id").alias("media_item_id"))
     movies, episodes = rows.where("kind = 'movie'"), rows.where("kind = 'episode'")
-    movie_key = keyed(F.col("ids"), title_of(F.col("_title"), F.col("year").cast("int")))
-    movie = settle(_claims(movies, movie_key, F.col("ids"), F.col("title"), F.col("year"), []), "movie", by_title("movie"))
-    show_key = keyed(F.col("show_ids"), title_of(F.col("_show"), F.col("show_year").cast("int")))
-    show = settle(_claims(episodes, show_key, F.col("show_ids"), F.col("show_title"), F.col("show_year"), []), "show", by_title("show"))
-    with_show = episodes.withColumn("_key", show_key).join(show.select(F.col("key").alias("_key"), F.col("media_item_id").alias("show_id")), "_key", "left").drop("_key")
+    movie = settle(_claims(movies, F.col("_key"), F.col("ids"), F.col("title"), F.col("year"), []), "movie", by_title("movie"))
+    show = settle(_claims(episodes, F.col("_key"), F.col("show_ids"), F.col("show_title"), F.col("show_year"), []), "show", by_title("show"))
+    with_show = episodes.join(show.select(F.col("key").alias("_key"), F.col("media_item_id").alias("show_id")), "_key", "left")
 
     places = written(with_show.where("show_id IS NOT NULL").select(F.col("show_id").alias("parent_id"), F.col("season").cast("int").alias("season_number")).distinct())
     stored = items.where("kind = 'season'").groupBy("parent_id", "season_number").agg(F.min("id").alias("_id"))
     same = lambda a, b: (a["parent_id"] == b["parent_id"]) & a["season_number"].eqNullSafe(b["season_number"])
     met = places.join(stored, same(places, stored), "left").select(places["parent_id"], places["season_number"], "_id")
-    start = largest + sum(m.count() for m in made)
-    new = numbered(met.where("_id IS NULL").drop("_id"), ["parent_id", "season_number"], start)
+    new = numbered(met.where("_id IS NULL").drop("_id"), ["parent_id", "season_number"], used)
     title = F.concat(F.lit("Season "), F.coalesce(F.col("season_number").cast("string"), F.lit("?")))
-    made.append(written(_like(new.select("id", "parent_id", "season_number", title.alias("title"), F.lit("season").alias("kind")), items)))
+    added = add(new.select("id", "parent_id", "season_number", title.alias("title"), F.lit("season").alias("kind")))
     seasons = met.where("_id IS NOT NULL").select("parent_id", "season_number", F.col("_id").alias("season_id"))
-    seasons = written(seasons.unionByName(made[-1].select("parent_id", "season_number", F.col("id").alias("season_id"))))
+    seasons = written(seasons.unionByName(added.select("parent_id", "season_number", F.col("id").alias("season_id"))))
     s = seasons.select(F.col("parent_id").alias("_p"), F.col("season_number").alias("_s"), "season_id")
-    placed = with_show.join(s, (F.col("show_id") == F.col("_p")) & F.col("season").cast("int").eqNullSafe(F.col("_s"))).drop("_p", "_s")
+    placed = with_show.join(s, (F.col("show_id") == F.col("_p")) & F.col("season").cast("int").eqNullSafe(F.col("_s")))
 
     place_of = lambda p, n, t: F.concat(F.lit("p"), F.to_json(F.struct(p.cast("bigint").alias("p"), n.cast("int").alias("n"), F.when(n.isNull(), t).alias("t")), {"ignoreNullFields": "false"}))
-    episode_key = keyed(F.col("ids"), place_of(F.col("season_id"), F.col("number"), F.col("_title")))
+    episode_key = F.coalesce("_own", place_of(F.col("season_id"), F.col("number"), F.col("_title")))
     above = [F.col("season_id").alias("parent_id"), F.col("season").cast("int").alias("season_number"), F.col("number").cast("int").alias("episode_number")]
-    held = bare.where("kind = 'episode'").select(place_of(F.col("parent_id"), F.col("episode_number"), fn.title_key("title")).alias("key"), F.col("id").alias("media_item_id"))
-    placed = written(placed)
-    episode = settle(_claims(placed, episode_key, F.col("ids"), F.col("title"), F.lit(None).cast("int"), above), "episode", held)
-    given = lambda df, key, found: df.select("id", key.alias("key")).join(found, "key", "left").select("id", "media_item_id")
-    assigned = written(given(movies, movie_key, movie).unionByName(given(placed, episode_key, episode)))
+    named = fn.title_key(F.when(F.col("episode_number").isNull(), F.col("title")))
+    held = bare.where("kind = 'episode'").select(place_of(F.col("parent_id"), F.col("episode_number"), named).alias("key"), F.col("id").alias("media_item_id"))
+    placed = written(placed.select("id", "title", "ids", "season", "number", "season_id", episode_key.alias("_key")))
+    episode = settle(_claims(placed, F.col("_key"), F.col("ids"), F.col("title"), F.lit(None).cast("int"), above), "episode", held)
+    given = lambda df, found: df.select("id", F.col("_key").alias("key")).join(found, "key", "left").select("id", "media_item_id")
+    assigned = written(given(movies, movie).unionByName(given(placed, episode)))
     lost = with_show.where("show_id IS NULL").select("id")
     return Created(
-        assigned.where("media_item_id IS NOT NULL"), assigned.where("media_item_id IS NULL").select("id").unionByName(lost), _union(made), _union(names).select("media_item_id", "provider", "external_id")
+        assigned.where("media_item_id IS NOT NULL"), assigned.where("media_item_id IS NULL").select("id").unionByName(lost), _union(made), _union(names or [identifiers.limit(0)]).select("media_item_id", "provider", "external_id")
     )
