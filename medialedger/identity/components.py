@@ -26,10 +26,10 @@ def connected_components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFr
         .distinct()
         .observe(first, F.count(F.lit(1)).alias("n"))
     )
-    seen, n = None, first.get.get("n", 0)
-    while n:
+    seen, n = None, first.get.get("n")
+    while n != 0:  # an empty plan may give no count
         # Without as many edges as a hub has, no node can be one.
-        met = (lambda rows, per_node: join_by_key(rows, per_node, ["u"], "v", hub_rows)) if 2 * n > hub_rows else (lambda rows, per_node: rows.join(per_node, "u"))
+        met = (lambda rows, per_node: join_by_key(rows, per_node, ["u"], "v", hub_rows)) if 2 * (n or 0) > hub_rows else (lambda rows, per_node: rows.join(per_node, "u"))
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = met(both, smallest).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -44,6 +44,6 @@ def connected_components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFr
         now = counted.get
         if now == seen:
             break
-        seen, n = now, now.get("n", 0)
+        seen, n = now, now.get("n")
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

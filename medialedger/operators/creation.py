@@ -154,7 +154,7 @@ def _settle(claims: DataFrame, kind: str, held: DataFrame | None, identifiers: D
         done = done.withColumn("media_item_id", F.when(F.size("ids") > 0, F.col("media_item_id")).otherwise(F.col("_held"))).drop("_held")
     unmet, counted = F.col("media_item_id").isNull() & F.col("ambiguous").isNull(), Observation()
     done = cut(done.observe(counted, F.count_if(unmet).alias("n")))
-    if not counted.get.get("n", 0):
+    if counted.get.get("n") == 0:  # an empty plan may give no count
         return done.select("key", "media_item_id"), None, None
     new = cut(numbered(done.where(unmet).drop("media_item_id", "ambiguous"), ["key"], 0, "claim"))
     each = new.select("claim", F.explode("ids").alias("i")).select("claim", "i.provider", "i.external_id")
@@ -190,7 +190,7 @@ def create_history(plays: DataFrame, items: DataFrame, identifiers: DataFrame, p
     # A few files may hold all plays, so these are dealt out first.
     rows, seen = plays.repartition("id").withColumns({"_key": by_id, "_own": F.when(is_episode & ~no_ids, by_ids(F.col("ids"))), "_title": F.lit(None).cast("string")}), Observation()
     rows = written(rows.observe(seen, *[F.count_if(c).alias(k) for k, c in untold.items()]))
-    if any(seen.get.values()):  # only what has no ids is known by its title
+    if any(seen.get.get(k) != 0 for k in untold):  # only what has no ids is known by its title
         lacking = untold["movie"] | untold["show"] | untold["episode"]
         told = rows.where(lacking).withColumns({"_title": fn.title_key(F.when(no_ids, F.col("title"))), "_show": fn.title_key(F.when(is_episode & no_show_ids, F.col("show_title")))})
         by_name = F.when(is_movie, title_of(F.col("_title"), F.col("year").cast("int"))).when(is_episode, title_of(F.col("_show"), F.col("show_year").cast("int")))
@@ -207,7 +207,7 @@ def create_history(plays: DataFrame, items: DataFrame, identifiers: DataFrame, p
 
     def settle(claims: DataFrame, kind: str, held: DataFrame) -> DataFrame:
         claims = written(claims)
-        by_key = held.groupBy("key").agg(F.min("media_item_id").alias("media_item_id")) if seen.get.get(kind, 0) else None
+        by_key = held.groupBy("key").agg(F.min("media_item_id").alias("media_item_id")) if seen.get.get(kind) != 0 else None
         assigned, new, given = _settle(claims, kind, by_key, ids, preferred, used, written, discard)
         if new is not None:
             add(new)
